@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +11,11 @@ from eventloom.operators.pieces import (
     Merges,
     encode_column,
     encode_list_column,
+    event_encoder,
     learn,
+    special_aware_encoder,
     symbol,
-    word_encoder,
+    text_encoder,
 )
 from eventloom.operators.tokens import SPECIAL_TOKENS, Markers, assemble, string_sequences
 from eventloom.operators.word_vocab import positions, token_counts
@@ -58,13 +59,6 @@ def merges_table(spark: SparkSession, model: Merges) -> DataFrame:
     return spark.createDataFrame(rows, "rank int, left string, right string, merged string")
 
 
-def _ended_pieces(word: str, suffix: str) -> list[str]:
-    pieces = list(word)
-    if pieces:
-        pieces[-1] += suffix
-    return pieces
-
-
 class BytePairTokens:
     """Merges learned inside event strings; a pair counts once per word.
 
@@ -101,13 +95,13 @@ class BytePairTokens:
 
     def encoder(self):
         whole = {s: i for i, s in enumerate(SPECIAL_TOKENS)}
-        return word_encoder(self.model, partial(_ended_pieces, suffix=self.suffix), whole)
+        return partial(event_encoder, self.model, self.suffix, whole)
 
     def encode(self, rows: Ordered) -> DataFrame:
         """Timelines of piece ids; each piece has its word's time."""
         if self.model is None or not self.model.merges:
             raise ValueError("Tokenizer is not trained yet.")
-        ids = encode_column(self.encoder, F.col("token"))
+        ids = encode_column(self.encoder(), F.col("token"))
         return assemble(rows, ids, SPECIAL_TOKENS.index("<start>"), SPECIAL_TOKENS.index("<end>"), "tokens")
 
     def decode(self, timelines: DataFrame) -> DataFrame:
@@ -190,11 +184,11 @@ class _TextBytePairs:
         return self
 
     def encoder(self):
-        return word_encoder(self.model, list, {}, self.model.ids[self.unknown])
+        return partial(text_encoder, self.model, self.unknown)
 
     def encode_texts(self, rows: DataFrame, text: str, name: str = "tokens") -> DataFrame:
         """Add the ids of every text; narrow, one pass."""
-        return rows.withColumn(name, encode_list_column(self.encoder, type(self).split(F.col(text))))
+        return rows.withColumn(name, encode_list_column(self.encoder(), type(self).split(F.col(text))))
 
 
 class TextBpe(_TextBytePairs):
@@ -244,33 +238,16 @@ class WhitespaceBpe(_TextBytePairs):
         return self.train_words(words.groupBy("token").agg(F.sum("n").alias("count")))
 
     def encoder(self):
-        return special_aware_encoder(super().encoder(), self.specials, self.model.ids)
+        return partial(special_aware_encoder, self.model, self.unknown, self.specials)
 
     def encode(self, rows: Ordered) -> DataFrame:
         """Timelines of piece ids; each piece has its string's time."""
         ids = self.model.ids
         return assemble(
-            rows, encode_column(self.encoder, F.col("token")), ids["<start>"], ids["<end>"], "tokens"
+            rows, encode_column(self.encoder(), F.col("token")), ids["<start>"], ids["<end>"], "tokens"
         )
 
 
-def special_aware_encoder(encode, specials: list[str], ids: dict[str, int]):
-    """Encode a string: special tokens stay whole wherever they occur, the rest is split into words."""
-    whole = re.compile("(" + "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")")
-    words = re.compile(r"\w+|[^\w\s]+")
-
-    def encode_string(text: str) -> list[int]:
-        found = []
-        for piece in whole.split(text):
-            if piece in ids and whole.fullmatch(piece):
-                found.append(ids[piece])
-            else:
-                found += [i for word in words.findall(piece) for i in encode(word)]
-        return found
-
-    return encode_string
-
-
 def text_eval(encoded: DataFrame, text: str, vocab_size: int) -> DataFrame:
     """Sequence length, characters per token and token total of encoded test texts."""
     n = F.count(F.lit(1))

@@ -8,10 +8,13 @@ Word counts never leave the executors; the driver sees the best pairs of a round
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,36 +194,75 @@ def split_word(word: str, ranks: dict[tuple[str, str], int], pieces: list[str])
     return pieces
 
 
-def word_encoder(
-    model: Merges, to_pieces: Callable[[str], list[str]], whole: dict[str, int], unknown: int = 0
-) -> Callable[[str], list[int]]:
-    """Encode one word to ids, with a memo of bounded size per task."""
-    ranks = {(left, right): i for i, (left, right, _text) in reversed(list(enumerate(model.merges)))}
-    ids = model.ids
+def _memoized(encode: Callable[[str], list[int]]) -> Callable[[str], list[int]]:
+    """Remember recent words; the memo is emptied when full, so a task's memory stays bounded."""
     memo: dict[str, list[int]] = {}
 
-    def encode(word: str) -> list[int]:
+    def lookup(word: str) -> list[int]:
         found = memo.get(word)
         if found is None:
-            if word in whole:
-                found = [whole[word]]
-            else:
-                found = [ids.get(p, unknown) for p in split_word(word, ranks, to_pieces(word))]
             if len(memo) >= MEMO_WORDS:
                 memo.clear()
-            memo[word] = found
+            found = memo[word] = encode(word)
         return found
 
-    return encode
+    return lookup
+
+
+def _ranks(merges: list[tuple[str, str, str]]) -> dict[tuple[str, str], int]:
+    ranks: dict[tuple[str, str], int] = {}
+    for left, right, _text in merges:
+        ranks.setdefault((left, right), len(ranks))
+    return ranks
+
+
+def event_encoder(model: Merges, suffix: str, whole: dict[str, int]) -> Callable[[str], list[int]]:
+    """Encode one event string; special tokens stay whole, unknown pieces get id 0."""
+    ranks = _ranks(model.merges)
+
+    def encode(word: str) -> list[int]:
+        if word in whole:
+            return [whole[word]]
+        pieces = list(word)
+        if pieces:
+            pieces[-1] += suffix
+        return [model.ids.get(piece, 0) for piece in split_word(word, ranks, pieces)]
+
+    return _memoized(encode)
+
+
+def text_encoder(model: Merges, unknown: str) -> Callable[[str], list[int]]:
+    """Encode one word of a text."""
+    ranks = _ranks(model.merges)
+    missing = model.ids[unknown]
+    return _memoized(lambda word: [model.ids.get(p, missing) for p in split_word(word, ranks, list(word))])
+
+
+def special_aware_encoder(model: Merges, unknown: str, specials: list[str]) -> Callable[[str], list[int]]:
+    """Encode a string: special tokens stay whole wherever they occur, the rest is split into words."""
+    encode_word = text_encoder(model, unknown)
+    whole = re.compile("(" + "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")")
+    words = re.compile(r"\w+|[^\w\s]+")
+
+    def encode(text: str) -> list[int]:
+        found: list[int] = []
+        for i, piece in enumerate(whole.split(text)):
+            if i % 2:  # the split alternates between other text and the special tokens found
+                found.append(model.ids[piece])
+            else:
+                found += [number for word in words.findall(piece) for number in encode_word(word)]
+        return found
+
+    return _memoized(encode)
 
 
 def encode_column(make_encoder: Callable[[], Callable[[str], list[int]]], words: Column) -> Column:
     """Ids of one word per row. Narrow: no shuffle, so a frequent word skews nothing."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: pd.Series) -> pd.Series:
+    def encode(batch: pd.Series) -> pd.Series:
         encoder = _shared(make_encoder)
-        return batches.map(lambda w: None if w is None else encoder(w))
+        return batch.map(lambda w: None if w is None else encoder(w))
 
     return encode(words)
 
@@ -229,9 +271,9 @@ def encode_list_column(make_encoder: Callable[[], Callable[[str], list[int]]], w
     """Ids of an array of words per row, flattened."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: pd.Series) -> pd.Series:
+    def encode(batch: pd.Series) -> pd.Series:
         encoder = _shared(make_encoder)
-        return batches.map(lambda ws: None if ws is None else [i for w in ws for i in encoder(w)])
+        return batch.map(lambda ws: None if ws is None else [i for w in ws for i in encoder(w)])
 
     return encode(words)
 
@@ -240,9 +282,13 @@ _encoders: dict[object, Callable[[str], list[int]]] = {}
 
 
 def _shared(make_encoder: Callable[[], Callable[[str], list[int]]]) -> Callable[[str], list[int]]:
-    """One encoder per function and worker process, so its memo outlives a batch."""
+    """One encoder per task, so its memo outlives a batch."""
     encoder = _encoders.get(make_encoder)
     if encoder is None:
         _encoders.clear()
         encoder = _encoders[make_encoder] = make_encoder()
     return encoder
+
+
+# Executors need no installed copy of this module: its functions travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

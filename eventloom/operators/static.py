@@ -121,9 +121,12 @@ class LoadStaticData(Operator):
             .groupBy("cell.column_name", "cell.value")
             .agg(F.count(F.lit(1)).alias("subjects"))
         )
-        total = self.fitted.agg(F.count(F.lit(1)).alias("total"))
+        # Every subject has one value per column, so a column's counts add up to the subjects.
+        totals = counts.groupBy("column_name").agg(F.sum("subjects").alias("total"))
         share = F.round(F.col("subjects") / F.col("total") * 100, 1)
-        return counts.join(F.broadcast(total)).select("column_name", "value", "subjects", share.alias("percent"))
+        return counts.join(totals, "column_name").select(
+            "column_name", "value", "subjects", share.alias("percent")
+        )
 
     def match_rate(self, events: DataFrame) -> DataFrame:
         """How many event subjects have a static row."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.tokens import SPECIAL_TOKENS, assemble
+from eventloom.operators.tokens import SPECIAL_TOKENS, UNKNOWN, assemble
 from eventloom.ordering import Ordered
 from eventloom.session import materialize
 
@@ -23,7 +23,6 @@ def vocabulary(counts: DataFrame, vocab_size: int) -> DataFrame:
 
     ``<unknown>`` counts the occurrences of everything left out.
     """
-    spark = counts.sparkSession
     slots = max(vocab_size - len(SPECIAL_TOKENS), 0)
     # The limit keeps the ranking window to vocab_size rows.
     top = counts.orderBy(F.desc("count"), "token").limit(slots)
@@ -34,13 +33,16 @@ def vocabulary(counts: DataFrame, vocab_size: int) -> DataFrame:
         F.col("token").alias("str"),
         "count",
     )
-    kept = ranked.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("kept"))
-    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
-    unknown = total.join(F.broadcast(kept)).select((F.col("total") - F.col("kept")).alias("left_out"))
-    specials = spark.createDataFrame(list(enumerate(SPECIAL_TOKENS)), "token int, str string")
-    first = specials.join(F.broadcast(unknown)).select(
-        "token", "str", F.when(F.col("token") == 0, F.col("left_out")).otherwise(0).cast("bigint").alias("count")
-    )
+    # Total minus kept, as one sum over two one-row tables.
+    parts = counts.agg(F.sum("count").alias("n")).unionByName(top.agg((-F.sum("count")).alias("n")))
+    left_out = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    specials = [
+        F.struct(
+            F.lit(i).alias("token"), F.lit(s).alias("str"), (F.col("n") if s == UNKNOWN else F.lit(0)).cast("bigint").alias("count")
+        )
+        for i, s in enumerate(SPECIAL_TOKENS)
+    ]
+    first = left_out.select(F.explode(F.array(*specials)).alias("row")).select("row.*")
     return first.unionByName(ranked)
 
 
