@@ -26,6 +26,20 @@ def group_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(LIMIT_KEY, str(MAX_GROUP_ROWS)))
 
 
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether all of ``df`` is, by Catalyst's size estimate, no more than one scan split.
+
+    Then no group can be too large for a task and counting them is not worth a
+    job. Setting the limit explicitly always counts.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(LIMIT_KEY, None) is not None:
+        return False
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = conf.get("spark.sql.files.maxPartitionBytes").lower()
+    return estimate <= (int(split.rstrip("b")) if split.rstrip("b").isdigit() else 128 << 20)
+
+
 @dataclass(frozen=True)
 class Ordered:
     """Rows with a total order per key.
@@ -54,6 +68,8 @@ class Ordered:
 
 def order_groups(df: DataFrame, keys: list[str], order: list[str], sized_by: DataFrame | None = None) -> Ordered:
     """Attach ``chunk``; ``sized_by`` may name a cheaper table with the same rows per key."""
+    if fits_one_task(df):
+        return Ordered(df.withColumn("chunk", F.lit(0)), keys, order)
     limit = group_limit(df)
     sizes = (sized_by if sized_by is not None else df).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > limit)
