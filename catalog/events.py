@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.fixtures import with_views
 from catalog.registry import EVENT, EVENT_SQL, query, shown
+from eventloom.functions.quantiles import even_probabilities
 from eventloom.functions.match import code_matches, is_real_event
 from eventloom.functions.text import fixed_text, float_text
 from eventloom.operators import ages
@@ -389,7 +390,7 @@ def format_value_1dp(f):
 
 
 def edges_sql(column: str, prefix: str, k: int, source: str = ME) -> str:
-    cells = ", ".join(f"quantile_cont(v, {i / k!r})" for i in range(1, k))
+    cells = ", ".join(f"quantile_cont(v, {p!r})" for p in even_probabilities(k)[1:-1])
     return f"""SELECT code, [{cells}] AS edges FROM (
       SELECT code, {column} AS v FROM {source} WHERE {TRAIN} AND starts_with(code, '{prefix}')) WHERE v IS NOT NULL GROUP BY code"""
 
@@ -483,7 +484,7 @@ def subject_values_sql(kind: str) -> str:
 
 
 def bmi_edges_sql(bins: int) -> str:
-    cells = ", ".join(f"quantile_cont(value, {i / bins!r})" for i in range(1, bins))
+    cells = ", ".join(f"quantile_cont(value, {p!r})" for p in even_probabilities(bins)[1:-1])
     return f"SELECT [{cells}] AS edges FROM subject_values WHERE {TRAIN}"
 
 

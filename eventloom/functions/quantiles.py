@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.ordering import order_groups, running_total
@@ -35,28 +33,43 @@ def exact_quantiles(
     the two order statistics of every probability, so no task ever holds the
     values of a key in memory. ``midpoint`` averages the two (a median).
     """
-    ranked = running_total(order_groups(counts, keys, [value]), F.col("n"), "upto").df
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    ranked = ranked.join(totals, keys)
-    v, upto, n = F.col(value), F.col("upto"), F.col("n")
-    edges = []
-    for p in probabilities:
-        place = (F.col("total") - 1) * F.lit(float(p))
+    rows = order_groups(counts, keys, [value])
+    ranked = running_total(rows, F.col("n"), "upto").df
+    if rows.cut:
+        ranked = ranked.join(counts.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
+    else:
+        ranked = ranked.withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+
+    first, past = F.col("upto") - F.col("n"), F.col("upto")
+
+    def holds(rank: Column) -> Column:
+        return (rank >= first) & (rank < past)
+
+    def ranks(p: Column) -> tuple[Column, Column, Column]:
+        place = (F.col("total") - 1) * p
         below = F.floor(place)
-        above = F.least(below + 1, F.col("total") - 1)
-        edges.append(
-            F.struct(
-                F.max(F.when((below >= upto - n) & (below < upto), v)).alias("low"),
-                F.max(F.when((above >= upto - n) & (above < upto), v)).alias("high"),
-                F.max(place - below).alias("t"),
-            )
-        )
-    picked = ranked.groupBy(*keys).agg(F.array(*edges).alias("picked"))
-    return picked.select(*keys, F.transform("picked", lambda e: _between(e, midpoint)).alias("edges"))
-
-
-def _between(e: Column, midpoint: bool) -> Column:
-    low, high, t = e["low"], e["high"], e["t"]
+        return below, F.least(below + 1, F.col("total") - 1), place - below
+
+    def wanted(ask: Column) -> Column:
+        below, above, _ = ranks(ask["p"])
+        return holds(below) | holds(above)
+
+    asks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)])
+    hits = ranked.select(*keys, value, "n", "upto", "total", F.explode(F.filter(asks, wanted)).alias("ask"))
+    below, above, t = ranks(F.col("ask.p"))
+    found = hits.groupBy(*keys, F.col("ask.i").alias("i")).agg(
+        F.max(F.when(holds(below), F.col(value))).alias("low"),
+        F.max(F.when(holds(above), F.col(value))).alias("high"),
+        F.max(t).alias("t"),
+    )
+    edge = F.struct("i", _between(midpoint).alias("edge"))
+    # As many entries per key as there are probabilities.
+    sorted_edges = F.sort_array(F.collect_list(edge))
+    return found.groupBy(*keys).agg(F.transform(sorted_edges, lambda e: e["edge"]).alias("edges"))
+
+
+def _between(midpoint: bool) -> Column:
+    low, high, t = F.col("low"), F.col("high"), F.col("t")
     if midpoint:
         return F.when(t > 0, (low + high) / 2).otherwise(low)
     # The nearer end is the base, so an edge never leaves [low, high].
