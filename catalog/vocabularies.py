@@ -142,7 +142,7 @@ def bpe_pair_count(f):
     return words.select(F.explode(pairs).alias("pair"), "count").groupBy("pair").agg(F.sum("count").alias("weight"))
 
 
-def trained_bpe(f, vocab_size: int = 150):
+def trained_bpe(f, vocab_size: int = 110):
     rows = standard_tokens(f)
     return BytePairTokens(vocab_size).train(train_tokens(rows)), rows
 
@@ -176,7 +176,7 @@ FROM toks GROUP BY subject_id""",
 )
 def bpe_decode(f):
     rows = standard_tokens(f)
-    tokenizer = BytePairTokens(150).train(rows)
+    tokenizer = BytePairTokens(110).train(rows)
     return tokenizer.decode(tokenizer.encode(rows)).select("subject_id", "text")
 
 
@@ -185,7 +185,7 @@ def bpe_decode(f):
 
 def whitespace_bpe(f):
     rows = standard_tokens(f)
-    return WhitespaceBpe(150).train(train_tokens(rows)), rows
+    return WhitespaceBpe(120).train(train_tokens(rows)), rows
 
 
 @query("text_bpe_whitespace_train")
@@ -204,7 +204,7 @@ def texts(f, split: str | None = None):
     return rows if split is None else in_splits(rows, [split])
 
 
-def text_bpe(f, vocab_size: int = 260) -> TextBpe:
+def text_bpe(f, vocab_size: int = 150) -> TextBpe:
     return TextBpe(vocab_size, min_frequency=2).train_texts(F.col(TEXT), texts(f, "train"))
 
 
@@ -229,7 +229,7 @@ def text_bpe_vocab_counts(f):
 def vocab_sweep(f):
     from eventloom.plans.text_vocab import vocab_experiments
 
-    return vocab_experiments(texts(f, "train"), texts(f, "test"), TEXT, [200, 230, 260])
+    return vocab_experiments(texts(f, "train"), texts(f, "test"), TEXT, [120, 135, 150])
 
 
 @query("text_encode")
@@ -246,7 +246,7 @@ def text_encode(f):
 )
 def text_round_trip(f):
     """Decoding the ids of every text gives the text back."""
-    tokenizer = TextBpe(260, min_frequency=2).train_texts(F.col(TEXT), texts(f))
+    tokenizer = TextBpe(150, min_frequency=2).train_texts(F.col(TEXT), texts(f))
     encoded = tokenizer.encode_texts(texts(f), TEXT).select("subject_id", "tokens")
     return tokenizer.decode(encoded)
 

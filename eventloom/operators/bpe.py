@@ -211,7 +211,8 @@ class TextBpe(_TextBytePairs):
 
 def text_of_bytes(shown: Column) -> Column:
     latin = F.translate(shown, "".join(byte_characters()), "".join(chr(b) for b in range(256)))
-    return F.decode(F.encode(latin, "ISO-8859-1"), "UTF-8")
+    # A cut-off sequence may end inside a character: bytes that are no text become U+FFFD.
+    return F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
 
 
 class WhitespaceBpe(_TextBytePairs):

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,9 +47,23 @@ def pair_weights(words: DataFrame, once_per_word: bool) -> DataFrame:
 
 
 def _merged(word: Column, merges: list[tuple[str, str]]) -> Column:
-    for pair, product in merges:
-        word = F.replace(word, F.lit(pair), F.lit(product))
-    return word
+    """Apply merges in order. One fold over a literal list: the plan keeps its shape from
+    round to round, so its generated code is compiled once."""
+    if not merges:
+        return word
+    listed = F.lit("".join(pair + product for pair, product in merges))
+    steps = F.regexp_extract_all(listed, F.lit("(?s)(...)"), F.lit(1))
+    return F.aggregate(
+        steps,
+        word,
+        lambda w, step: F.replace(w, F.substring(step, 1, 2), F.substring(step, 3, 1)),
+    )
+
+
+def _held(words: DataFrame) -> DataFrame:
+    """Words that still have pairs, written once, spread over all cores and kept in memory."""
+    spread = words.where(F.length("word") > 1).repartition(words.sparkSession.sparkContext.defaultParallelism)
+    return materialize(spread, "bpe-words").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @dataclass
@@ -99,12 +113,13 @@ def learn(
     next_id = n_first = len(ids)
     merges: list[tuple[str, str, str]] = []
     pending: list[tuple[str, str]] = []
-    base = words
+    base = _held(words)
     while next_id < vocab_size:
         current = base.select(_merged(F.col("word"), pending).alias("word"), "freq")
         if len(pending) >= MERGES_PER_REWRITE:
-            base = current = materialize(current.where(F.length("word") > 1), "bpe-words")
-            pending = []
+            before, base = base, _held(current)
+            before.unpersist()
+            current, pending = base, []
         ranked = (
             pair_weights(current, once_per_word)
             .where(F.col("weight") >= min_weight)
@@ -127,6 +142,7 @@ def learn(
                 ids[text] = next_id
                 next_id += 1
             pending.append((symbol(left) + symbol(right), symbol(numbers[text])))
+    base.unpersist()
     return Merges(ids, merges, n_first)
 
 
