@@ -77,8 +77,9 @@ class EventPhrases:
         # Rows without a key keep a spread one of their own.
         key = F.coalesce(key, F.concat(F.lit("\u0000"), code))
         names = self.load(events).select(F.col("key").alias("_key"), F.col("name").alias("_name"))
-        joined = events.withColumn("_key", key).join(names, "_key", "left")
-        return joined.withColumn("phrase", self.phrase(events, code, lab_id)).select(*events.columns, "phrase")
+        keyed = events.withColumns({"_key": key, "_value": self.value_part(events), "_lab": lab_id.isNotNull()})
+        joined = keyed.join(names, "_key", "left")
+        return joined.withColumn("phrase", self.phrase(code)).select(*events.columns, "phrase")
 
     def value_part(self, events: DataFrame) -> Column:
         """Blank and the value: text first, else the number, else nothing."""
@@ -90,8 +91,8 @@ class EventPhrases:
         found = F.coalesce(one_decimal(F.col("text_value")), number_text)
         return F.coalesce(F.concat(F.lit(" "), found), F.lit(""))
 
-    def phrase(self, events: DataFrame, code: Column, lab_id: Column) -> Column:
-        value = self.value_part(events)
+    def phrase(self, code: Column) -> Column:
+        value = F.col("_value")
         second, third, fourth = part(code, 1), part(code, 2), part(code, 3)
         last = F.element_at(F.split(code, "//"), -1)
         plain = F.concat(code, value)
@@ -110,7 +111,7 @@ class EventPhrases:
             F.when(code.startswith("GENDER//"), F.when(second == "F", F.lit("Female")).otherwise(F.lit("Male")))
             .when(code.startswith("RACE//"), F.concat(F.lit("Race "), race))
             .when(code.startswith("MARITAL_STATUS//"), F.upper(second))
-            .when(code.startswith("LAB//"), F.when(lab_id.isNull(), plain).otherwise(lab))
+            .when(code.startswith("LAB//"), F.when(F.col("_lab"), lab).otherwise(plain))
             .when(code.startswith("DIAGNOSIS//ICD//") | code.startswith("PROCEDURE//ICD//"), icd_name)
             .when(moves, moved)
             .when(code.startswith("MEDICATION//"), medication)
@@ -148,13 +149,16 @@ def phrase_rows(phrased: DataFrame) -> Ordered:
     return rows.with_df(rows.df.withColumn("bucket", F.when(gap > 0, mimic_gap(gap))).drop("_before"))
 
 
-def patient_text(phrased: DataFrame) -> DataFrame:
-    """``text_sequence`` and ``text_sequence_with_time`` per subject (per chunk of a cut one)."""
+def patient_text(phrased: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """``text_sequence`` and ``text_sequence_with_time`` per subject (per chunk of a cut one).
+
+    ``events`` are the untranslated rows; ages read from them need no lookups.
+    """
     keys = subject_keys(phrased)
     rows = phrase_rows(phrased)
     texts = gather(rows, in_order(rows, "phrase", "bucket").alias("items"))
     edges = edge_chunks(rows)
-    ages = subject_ages(phrased)
+    ages = subject_ages(phrased if events is None else events)
     subjects = ages.join(texts, keys, "left").withColumn("chunk", F.coalesce("chunk", F.lit(0)))
     first = F.col("chunk") == 0
     if edges is not None:

@@ -20,7 +20,7 @@ def translate_dataset(
     skip_existing: bool = False,
 ) -> None:
     """Write the texts of every subject, one folder per split, in one job."""
-    texts = patient_text(phrases.translate(events))
+    texts = patient_text(phrases.translate(events), events)
     write_translated(texts, path, write_mode(overwrite, skip_existing))
 
 
