@@ -32,29 +32,28 @@ class EventFrame:
         return EventFrame(step(self.rows), moved)
 
     def insert(self, df: DataFrame, codes: set[str]) -> "EventFrame":
-        return EventFrame(self.rows, [*self.inserted, Inserted(df, frozenset(codes))])
+        """Add rows; columns they lack are null, all take the types of the source rows."""
+        return EventFrame(self.rows, [*self.inserted, Inserted(_aligned(df, self.rows), frozenset(codes))])
 
     def with_code_prefix(self, prefixes: list[str]) -> DataFrame:
         """Source rows plus the inserted rows that could carry one of the prefixes."""
         df = self.rows
         for part in self.inserted:
             if part.codes is None or any(c.startswith(p) for c in part.codes for p in prefixes):
-                df = _union(df, part.df)
+                df = df.unionByName(part.df)
         return df
 
     def union(self) -> DataFrame:
         df = self.rows
         for part in self.inserted:
-            df = _union(df, part.df)
+            df = df.unionByName(part.df)
         return df
 
 
-def _union(left: DataFrame, right: DataFrame) -> DataFrame:
-    kinds = {f.name: f.dataType for f in left.schema}
-    aligned = right.select(
+def _aligned(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select(
         *[
-            (F.col(name) if name in right.columns else F.lit(None)).cast(kind).alias(name)
-            for name, kind in kinds.items()
+            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in like.schema
         ]
     )
-    return left.unionByName(aligned)

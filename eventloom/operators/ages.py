@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from eventloom.frames import EventFrame
 from eventloom.functions.match import is_real_event
 from eventloom.functions.text import fixed_text
-from eventloom.operators.base import Operator, is_text
+from eventloom.operators.base import Operator, is_text, value_text
 from eventloom.operators.filters import as_flag, without_birth
 from eventloom.schema import BIRTH, NO_CODE, epoch_us, subject_keys
 
@@ -179,10 +179,8 @@ class RawAge(AgeOperator):
         self.as_int_text = as_int_text
 
     def apply(self, frame: EventFrame) -> EventFrame:
-        if self.as_int_text and not is_text(frame.rows, "numeric_value"):
-            from eventloom.operators.base import value_text
-
-            frame = frame.map(lambda df: _with_numeric_text(df, value_text))
+        if self.as_int_text:
+            frame = frame.map(lambda df: df.withColumn("numeric_value", value_text(df, "numeric_value")))
         return super().apply(frame)
 
     def rows(self, events: DataFrame, aged: DataFrame) -> DataFrame:
@@ -196,7 +194,3 @@ class RawAge(AgeOperator):
             *subject_keys(events), F.lit("AGE").alias("code"), value.alias("numeric_value"),
             self.inserted_seq().alias("seq"),
         )
-
-
-def _with_numeric_text(df: DataFrame, value_text) -> DataFrame:
-    return df.withColumn("numeric_value", value_text(df, "numeric_value")) if "numeric_value" in df.columns else df
