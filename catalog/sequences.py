@@ -389,5 +389,5 @@ NO_MARKERS = Markers(False, False, False)
 def standard_tokens(f) -> Ordered:
     events = f.events()
     op = QuantileBin("starts_with", "LAB", 10, "numeric_value").fit(events.where(TRAIN))
-    rows = TimeIntervals(None, True, True, "MIMIC").apply(build_sequence(op.transform(events)))
+    rows = TimeIntervals(None, True, True, "MIMIC").apply(build_sequence(op.transform(events), events))
     return token_rows(rows, NO_MARKERS)

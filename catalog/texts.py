@@ -66,7 +66,7 @@ def translate_value(f):
     ),
 )
 def time_bucket(f):
-    rows = running_total(phrase_rows(phrases(f)), F.lit(1), "pos")
+    rows = running_total(phrase_rows(phrases(f), f.events()), F.lit(1), "pos")
     return rows.df.select("subject_id", "pos", "phrase", "bucket")
 
 
@@ -78,7 +78,7 @@ FROM ages LEFT JOIN timed USING (subject_id) GROUP BY subject_id, age"""
 
 @query("patient_text", with_views(_text_sql("text_sequence", "phrase || '; '"), *VIEWS_USED, **PHRASES))
 def patient_text_plain(f):
-    return patient_text(phrases(f)).select("subject_id", "text_sequence")
+    return patient_text(phrases(f), f.events()).select("subject_id", "text_sequence")
 
 
 @query(
@@ -88,7 +88,7 @@ def patient_text_plain(f):
     ),
 )
 def patient_text_with_time(f):
-    return patient_text(phrases(f)).select("subject_id", "text_sequence_with_time")
+    return patient_text(phrases(f), f.events()).select("subject_id", "text_sequence_with_time")
 
 
 @query(
@@ -130,7 +130,7 @@ FROM words""",
     ),
 )
 def words(f):
-    rows = running_total(word_timeline(phrases(f)), F.lit(1), "pos").df
+    rows = running_total(word_timeline(phrases(f), f.events()), F.lit(1), "pos").df
     ts = F.round(F.col("ts") * 1e6).cast("bigint")
     return rows.select("subject_id", "pos", F.col("token").alias("word"), ts.alias("ts_us"))
 
@@ -142,9 +142,9 @@ def meds_text_encode_timed(f):
     from eventloom.plans.translation import encode_events_as_text
 
     phrased = phrases(f)
-    train = patient_text(phrased.where("split = 'train'"))
+    train = patient_text(phrased.where("split = 'train'"), f.events().where("split = 'train'"))
     tokenizer = TextBpe(90).train_texts(F.col("text_sequence_with_time"), train)
-    timelines = encode_events_as_text(tokenizer, phrased)
+    timelines = encode_events_as_text(tokenizer, phrased, f.events())
     return timelines.select("subject_id", joined("tokens"), joined("timestamps"))
 
 

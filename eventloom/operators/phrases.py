@@ -138,11 +138,11 @@ def subject_ages(events: DataFrame) -> DataFrame:
     return found.select(*keys, whole_day_age(F.col("birth"), F.col("first_event")).alias("age"), "first_event")
 
 
-def phrase_rows(phrased: DataFrame) -> Ordered:
+def phrase_rows(phrased: DataFrame, events: DataFrame | None = None) -> Ordered:
     """Ordered phrases without births and blanks, each with the gap to the one before."""
     code = F.coalesce("code", F.lit(""))
     df = phrased.where((code != BIRTH) & (strip(F.col("phrase")) != "")).withColumn("t_us", epoch_us())
-    rows = order_groups(df, subject_keys(phrased), ["t_us", "seq"])
+    rows = order_groups(df, subject_keys(phrased), ["t_us", "seq"], events)
     timed = F.when(F.col("time").isNotNull(), F.col("t_us"))
     rows = last_before(rows, timed, "_before")
     gap = timed - F.col("_before")
@@ -155,7 +155,7 @@ def patient_text(phrased: DataFrame, events: DataFrame | None = None) -> DataFra
     ``events`` are the untranslated rows; ages read from them need no lookups.
     """
     keys = subject_keys(phrased)
-    rows = phrase_rows(phrased)
+    rows = phrase_rows(phrased, events)
     texts = gather(rows, in_order(rows, "phrase", "bucket").alias("items"))
     edges = edge_chunks(rows)
     ages = subject_ages(phrased if events is None else events)
@@ -185,10 +185,10 @@ def patient_text(phrased: DataFrame, events: DataFrame | None = None) -> DataFra
     )
 
 
-def word_timeline(phrased: DataFrame) -> Ordered:
+def word_timeline(phrased: DataFrame, events: DataFrame | None = None) -> Ordered:
     """Lower-case words with the time of their event; the age comes first, gaps before their event."""
     keys = subject_keys(phrased)
-    rows = phrase_rows(phrased)
+    rows = phrase_rows(phrased, events)
     ts = epoch_seconds()
 
     def words(text: Column) -> Column:
@@ -201,7 +201,7 @@ def word_timeline(phrased: DataFrame) -> Ordered:
         F.posexplode(F.concat(bucket, phrase)).alias("part", "token"),
     )
     age = words(F.concat(F.lit("age "), "age", F.lit(";")))
-    ages = subject_ages(phrased).where("age is not null")
+    ages = subject_ages(phrased if events is None else events).where("age is not null")
     chunk = F.lit(0)
     if rows.cut:
         ages = ages.join(edge_chunks(rows).select(*keys, "first_chunk"), keys, "left")

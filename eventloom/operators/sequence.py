@@ -21,8 +21,11 @@ BASE_ORDER = ["t_us", "seq", "slot"]
 EVENT_SLOT = 1
 
 
-def build_sequence(events: DataFrame) -> Ordered:
-    """Order each subject's events by time (untimed first), then source order."""
+def build_sequence(events: DataFrame, source: DataFrame | None = None) -> Ordered:
+    """Order each subject's events by time (untimed first), then source order.
+
+    ``source``: the table ``events`` were derived from, to count rows per subject.
+    """
     df = events.withColumns(
         {
             "t_us": epoch_us(),
@@ -31,7 +34,7 @@ def build_sequence(events: DataFrame) -> Ordered:
             "text_value": value_text(events, "text_value"),
         }
     )
-    return order_groups(df, subject_keys(events), BASE_ORDER)
+    return order_groups(df, subject_keys(events), BASE_ORDER, source)
 
 
 class SequenceOperator:

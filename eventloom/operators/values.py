@@ -11,7 +11,7 @@ from eventloom.operators.base import ValueOperator
 from eventloom.session import materialize
 
 
-class _PerCodeEdges(ValueOperator):
+class PerCodeEdges(ValueOperator):
     """Labels from quantile edges fitted per code; unseen codes keep their value."""
 
     probabilities: list[float]
@@ -27,7 +27,7 @@ class _PerCodeEdges(ValueOperator):
         return events.join(self.fitted.withColumnRenamed("edges", "_edges"), "code", "left")
 
 
-class QuantileBin(_PerCodeEdges):
+class QuantileBin(PerCodeEdges):
     """``Q0`` .. ``Q{k-1}``: equal-frequency bins per code."""
 
     def __init__(self, matching_type: str, matching_value: str, k: int, value_column: str):
@@ -42,7 +42,7 @@ class QuantileBin(_PerCodeEdges):
         return F.when(F.col("_edges").isNotNull(), F.concat(F.lit("Q"), found))
 
 
-class QuantileBin3Level(_PerCodeEdges):
+class QuantileBin3Level(PerCodeEdges):
     """``low`` below the first quartile, ``high`` above the third, else ``normal``."""
 
     probabilities = [0.25, 0.5, 0.75]

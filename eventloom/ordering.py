@@ -67,8 +67,12 @@ class Ordered:
 
 
 def order_groups(df: DataFrame, keys: list[str], order: list[str], sized_by: DataFrame | None = None) -> Ordered:
-    """Attach ``chunk``; ``sized_by`` may name a cheaper table with the same rows per key."""
-    if fits_one_task(df):
+    """Attach ``chunk``.
+
+    ``sized_by`` may name a cheaper table with about the same rows per key, such
+    as the source a derived table was made from: only its key columns are read.
+    """
+    if fits_one_task(sized_by if sized_by is not None else df):
         return Ordered(df.withColumn("chunk", F.lit(0)), keys, order)
     limit = group_limit(df)
     sizes = (sized_by if sized_by is not None else df).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.frames import EventFrame
-from eventloom.operators.base import CodeOperator, Operator, ValueOperator
+from eventloom.functions.quantiles import exact_quantiles, value_counts
+from eventloom.operators.base import CodeOperator, Operator, value_number
 from eventloom.operators.codes import CodeEnrichment
-from eventloom.operators.values import RoundNumeric
+from eventloom.operators.values import PerCodeEdges
 from eventloom.session import materialize
 
 
@@ -50,7 +52,7 @@ def fit_operators(operators: list[Operator], train: DataFrame, fit_mode: str = "
     if fit_mode != "joint":
         raise ValueError("fit_mode must be 'joint' or 'prefix'")
     _warn_of_rewritten_codes(operators)
-    learners = [op for op in operators if isinstance(op, ValueOperator) and not isinstance(op, RoundNumeric)]
+    learners = [op for op in operators if isinstance(op, PerCodeEdges)]
     for operator in operators:
         if operator not in learners:
             operator.fit(train)
@@ -60,10 +62,8 @@ def fit_operators(operators: list[Operator], train: DataFrame, fit_mode: str = "
     return operators
 
 
-def _fit_together(learners: list[ValueOperator], train: DataFrame) -> None:
+def _fit_together(learners: list[PerCodeEdges], train: DataFrame) -> None:
     """One scan and one shuffle collect the (code, value) counts of every learner."""
-    from eventloom.operators.base import value_number
-
     hits = [
         F.when(
             op.matches() & value_number(train, op.value_column).isNotNull(),
@@ -72,22 +72,25 @@ def _fit_together(learners: list[ValueOperator], train: DataFrame) -> None:
         for i, op in enumerate(learners)
     ]
     values = train.select("code", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("code", "hit.*")
-    counts = values.where(~F.isnan("value")).groupBy("op", "code", "value").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialize(counts, "value-counts")
+    counts = materialize(value_counts(values, ["op", "code"], "value"), "value-counts")
+    by_probabilities: dict[tuple, list[int]] = {}
+    for i, op in enumerate(learners):
+        by_probabilities.setdefault(tuple(op.probabilities), []).append(i)
+    fits = [
+        exact_quantiles(counts.where(F.col("op").isin(ops)), ["op", "code"], "value", list(probabilities))
+        for probabilities, ops in by_probabilities.items()
+    ]
+    edges = materialize(reduce(DataFrame.unionByName, fits), "code-edges")
     for i, op in enumerate(learners):
-        op.fit_counts(counts.where(F.col("op") == i).drop("op"))
+        op.fitted = edges.where(F.col("op") == i).drop("op")
 
 
 def _warn_of_rewritten_codes(operators: list[Operator]) -> None:
-    kinds = [type(op) for op in operators]
-    first_enrichment = kinds.index(CodeEnrichment) if CodeEnrichment in kinds else None
-    later = [i for i, kind in enumerate(kinds) if kind is CodeEnrichment]
-    for i, op in enumerate(operators):
-        if isinstance(op, ValueOperator) and not isinstance(op, RoundNumeric) and first_enrichment is not None:
-            if any(j > i for j in later):
-                warnings.warn(
-                    "bins are fitted on enriched codes but applied before the enrichment, so enriched codes "
-                    "stay unbinned; put code_enrichment first or use fit_mode='prefix'",
-                    stacklevel=3,
-                )
-                return
+    enrichments = [i for i, op in enumerate(operators) if isinstance(op, CodeEnrichment)]
+    bins = [i for i, op in enumerate(operators) if isinstance(op, PerCodeEdges)]
+    if bins and enrichments and min(bins) < max(enrichments):
+        warnings.warn(
+            "bins are fitted on enriched codes but applied before the enrichment, so enriched codes "
+            "stay unbinned; put code_enrichment first or use fit_mode='prefix'",
+            stacklevel=3,
+        )

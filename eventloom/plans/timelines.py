@@ -54,7 +54,7 @@ class TimelineRun:
 
     def tokens(self, events: DataFrame) -> Ordered:
         """Token rows of every subject."""
-        rows = build_sequence(apply_operators(self.preprocessors, events))
+        rows = build_sequence(apply_operators(self.preprocessors, events), events)
         for operator in self.postprocessors:
             rows = operator.apply(rows)
         return token_rows(rows, self.markers)

@@ -24,9 +24,9 @@ def translate_dataset(
     write_translated(texts, path, write_mode(overwrite, skip_existing))
 
 
-def encode_events_as_text(tokenizer: TextBpe, phrased: DataFrame) -> DataFrame:
+def encode_events_as_text(tokenizer: TextBpe, phrased: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """Timelines of text ids where every piece has the time of its event."""
-    rows = word_timeline(phrased)
+    rows = word_timeline(phrased, events)
     ids = encode_list_column(tokenizer.encoder(), byte_level_words(F.col("token")))
     encoded = rows.with_df(rows.df.withColumn("ids", ids))
     grouped = gather(encoded, in_order(encoded, "ids", "ts").alias("items"))
