@@ -196,7 +196,7 @@ def word_timeline(phrased: DataFrame, events: DataFrame | None = None) -> Ordere
 
     bucket = F.coalesce(words(F.concat("bucket", F.lit(";"))), F.array().cast("array<string>"))
     phrase = words(F.concat(strip(F.lower("phrase")), F.lit(";")))
-    events = rows.df.select(
+    spoken = rows.df.select(
         *keys, "chunk", "t_us", "seq", F.lit(1).alias("kind"), ts.alias("ts"),
         F.posexplode(F.concat(bucket, phrase)).alias("part", "token"),
     )
@@ -211,4 +211,4 @@ def word_timeline(phrased: DataFrame, events: DataFrame | None = None) -> Ordere
         F.lit(None).cast("bigint").alias("seq"), F.lit(0).alias("kind"),
         epoch_seconds("first_event").alias("ts"), F.posexplode(age).alias("part", "token"),
     )
-    return replace(rows, df=heads.unionByName(events), order=["kind", "t_us", "seq", "part"])
+    return replace(rows, df=heads.unionByName(spoken), order=["kind", "t_us", "seq", "part"])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from eventloom.session import materialize
 
-MAX_GROUP_ROWS = 5_000_000
+MAX_GROUP_ROWS = 1_000_000
 LIMIT_KEY = "eventloom.maxGroupRows"
 
 
