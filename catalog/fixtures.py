@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.schema import event_table
-from eventloom.session import prepare
+from eventloom.session import prepare, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -83,7 +83,8 @@ class Fixtures:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in ("events", "documents") else df
 
     def view(self, name: str) -> DataFrame:
         statement = VIEWS[name].replace('"Description"', "Description")

@@ -51,3 +51,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table that comes in fewer splits than there are cores out over all of them.
+
+    Parsing and formatting text is narrow but heavy work. A large table already
+    has more splits than cores and keeps its layout: no shuffle is added there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.schema import event_table
+from eventloom.session import spread
 
 EVENT_SPLITS = ("train", "tuning", "held_out")
 TEXT_SPLITS = ("train", "test")
@@ -49,7 +50,7 @@ def read_split_files(
         parts.append(spark.read.parquet(folder).withColumn("split", F.lit(split)))
     if not parts:
         raise FileNotFoundError(f"none of {splits} found under {root}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return spread(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
 
 
 def read_events(spark: SparkSession, root: str, splits: tuple[str, ...] = EVENT_SPLITS) -> DataFrame:
@@ -59,7 +60,7 @@ def read_events(spark: SparkSession, root: str, splits: tuple[str, ...] = EVENT_
         folder = f"{root.rstrip('/')}/{split}"
         check_shards(spark, folder)
         parts.append(event_table(spark.read.parquet(folder)).withColumn("split", F.lit(split)))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return spread(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
 
 
 def read_text_splits(spark: SparkSession, root: str) -> DataFrame:
