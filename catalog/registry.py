@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.fixtures import Fixtures
-from eventloom.schema import NO_TIME
 from eventloom.session import scratch_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +30,7 @@ def stage_path(f: Fixtures, name: str) -> str:
 
 
 def shown(df: DataFrame, *columns: str) -> DataFrame:
-    """Events for comparison: times as microseconds, ``NO_TIME`` as null."""
+    """Events for comparison: times as microseconds, untimed as null."""
     t = F.unix_micros("time").alias("t_us")
     return df.select(*[t if c == "t_us" else F.col(c) for c in columns])
 

@@ -12,6 +12,7 @@ from catalog.events import AGES_SQL, BMI, GENDER, GENDER_SQL, MARITAL, MARITAL_S
 from catalog.events import BIN_SQL, ICU_ALLOWED, ICU_NOISE, WEIGHT_LABELS, bmi_edges_sql, subject_values_sql
 from catalog.fixtures import with_views
 from catalog.registry import joined, query, stage_path
+from catalog.reports import LABEL_SQL, LONG, SAID, TERMS
 from catalog.sequences import (
     INTERVAL_CONFIG,
     cprd_gap_sql,
@@ -66,7 +67,17 @@ def run_text_bpe(f):
     return encode_texts(tokenizer, texts).select("subject_id", "split", joined("tokens"), joined("timestamps"))
 
 
-@query("run_narrative")
+@query(
+    "run_narrative",
+    with_views(
+        "SELECT subject_id, text, label, cancer_date FROM labelled JOIN texts USING (subject_id)",
+        *TERMS,
+        "subject_labels",
+        **LONG,
+        **SAID,
+        **LABEL_SQL,
+    ),
+)
 def run_narrative(f):
     from eventloom.reports.narratives import narrative_dataset, narrative_phrases
 
@@ -74,7 +85,7 @@ def run_narrative(f):
     timelines = run.run(f.events())
     phrases = narrative_phrases(run.tokenizer.vocab, f.view("medical_terms"), f.view("lab_terms"))
     found = narrative_dataset(timelines, phrases, f.view("subject_labels"))
-    return found.select("subject_id", "text", "label", "cancer_date")
+    return found.select("subject_id", "text", F.col("label").cast("bigint").alias("label"), "cancer_date")
 
 
 # ---- configurations

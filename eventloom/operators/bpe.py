@@ -17,7 +17,7 @@ from eventloom.operators.pieces import (
     symbol,
     text_encoder,
 )
-from eventloom.operators.tokens import SPECIAL_TOKENS, Markers, assemble, string_sequences
+from eventloom.operators.tokens import SPECIAL_TOKENS, Markers, assemble
 from eventloom.operators.word_vocab import positions, token_counts
 from eventloom.ordering import Ordered
 from eventloom.session import materialize

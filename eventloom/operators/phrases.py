@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.gaps import DAY, mimic_gap
-from eventloom.functions.text import WHITESPACE, fixed_text, float_or_null, float_text, part, strip, title_text
+from eventloom.functions.text import fixed_text, float_or_null, part, strip, title_text
 from eventloom.operators.base import is_text
 from eventloom.ordering import Ordered, edge_chunks, gather, in_order, last_before, order_groups
 from eventloom.schema import BIRTH, epoch_seconds, epoch_us, subject_keys

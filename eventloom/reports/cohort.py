@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.quantiles import exact_quantiles, value_counts
 from eventloom.functions.text import fixed_text
-from eventloom.ordering import Ordered, last_before, order_groups
+from eventloom.ordering import Ordered, last_before
 
 # Strings that are not medical events.
 SPECIAL_STRINGS = [
@@ -148,14 +148,21 @@ def describe(cohort: DataFrame, metrics: list[str], *by: str) -> DataFrame:
 def value_counts_pct(cohort: DataFrame, column: str, of: Column | None = None) -> DataFrame:
     """Subjects per value and percent of all subjects (of those where ``of`` holds)."""
     rows = cohort if of is None else cohort.where(of)
-    counts = rows.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("subjects"))
-    # Adding up the few counts; the null group belongs to the total but is not shown.
-    totals = counts.agg(F.sum("subjects").alias("total")).select(F.lit(column).alias("column_name"), "total")
-    shown = counts.where("value is not null").withColumn("column_name", F.lit(column))
-    joined = shown.join(totals, "column_name")
-    return joined.select(
-        "column_name", "value", "subjects", F.round(F.col("subjects") / F.col("total") * 100, 2).alias("percent")
+    share = F.round(F.col("subjects") / F.col("total") * 100, 2)
+    counted = _counts_with_total(rows, column).select(
+        F.lit(column).alias("column_name"), F.col(column).cast("string").alias("value"), "subjects", share.alias("percent")
     )
+    return counted.where("value is not null")
+
+
+def _counts_with_total(rows: DataFrame, column: str) -> DataFrame:
+    """Subjects per value beside the total; the window sees one row per distinct value.
+
+    The null group belongs to the total.
+    """
+    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("subjects"))
+    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return counts.withColumn("total", F.sum("subjects").over(everything))
 
 
 def crosstab_margins(cohort: DataFrame, column: str) -> DataFrame:
@@ -289,14 +296,7 @@ def summary_table(cohort: DataFrame) -> DataFrame:
             ("Mean Time Between Events", F.concat(number("mean_time_between_events_mean", 2), F.lit(" days"))),
         ],
     )
-    cases = cohort.where("is_case = 1")
-    sites = cases.where("site is not null").groupBy("site").agg(n.alias("subjects"))
-    total = cases.groupBy(F.lit(1).alias("one")).agg(n.alias("total"))
-    by_site = sites.withColumn("one", F.lit(1)).join(total, "one").select(
-        F.concat(F.lit("  - "), "site").alias("metric"),
-        F.concat(
-            F.col("subjects").cast("string"), F.lit(" ("),
-            fixed_text(F.col("subjects") / F.col("total") * 100, 1), F.lit("%)"),
-        ).alias("value"),
-    )
+    by_site = _counts_with_total(cohort.where("is_case = 1"), "site").where("site is not null").select(
+        F.concat(F.lit("  - "), "site").alias("metric"), share("subjects").alias("value")
+    )
     return head.unionByName(body).unionByName(by_site)

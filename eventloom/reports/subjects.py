@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.gaps import elapsed_text
-from eventloom.ordering import Ordered, last_before, order_groups
+from eventloom.ordering import last_before, order_groups
 from eventloom.schema import BIRTH
 
 
