@@ -382,9 +382,7 @@ def summary_table(f):
 @query("metrics_sink", with_views(SUMMARY_SQL, *LABELLED, **COHORT_SQL))
 def metrics_sink(f):
     path = stage_path(f, "summary")
-    cohort.summary_table(cohort_rows(f)).coalesce(1).write.csv(
-        path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    )
+    sinks.write_report(cohort.summary_table(cohort_rows(f)), path)
     return f.spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 

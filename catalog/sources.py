@@ -22,13 +22,10 @@ def scan_splits(f):
 
 
 def _staged_texts(f):
-    path = stage_path(f, "texts")
-    sinks.write_translated(f.view("text_rows").withColumn("folder", F.col("split")), path)
-    # partitionBy names folders split=train; the reader wants plain names.
     plain = stage_path(f, "text-splits")
-    rows = f.spark.read.parquet(path)
+    rows = f.view("text_rows")
     for split in readers.TEXT_SPLITS:
-        rows.where(F.col("folder") == split).drop("split", "folder").write.parquet(f"{plain}/{split}")
+        readers.in_splits(rows, [split]).drop("split").write.parquet(f"{plain}/{split}")
     return plain
 
 
@@ -188,6 +185,6 @@ def write_mode(f):
     path = stage_path(f, "modes")
     rows = f.view("text_rows").select("subject_id")
     rows.write.mode(sinks.write_mode()).parquet(path)
-    rows.limit(1).write.mode(sinks.write_mode(skip_existing=True)).parquet(path)  # skipped: it exists
+    rows.unionByName(rows).write.mode(sinks.write_mode(skip_existing=True)).parquet(path)  # skipped: it exists
     rows.write.mode(sinks.write_mode(overwrite=True)).parquet(path)
     return f.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))

@@ -54,7 +54,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table that comes in fewer splits than there are cores out over all of them.
+    """Deal a scanned table that comes in fewer splits than there are cores out over all of them.
 
     Parsing and formatting text is narrow but heavy work. A large table already
     has more splits than cores and keeps its layout: no shuffle is added there.

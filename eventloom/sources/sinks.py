@@ -37,8 +37,10 @@ def write_translated(texts: DataFrame, path: str, mode: str = "errorifexists") -
 
 
 def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A small report table as one CSV file."""
-    report.coalesce(1).write.mode(mode).csv(path, header=True)
+    """A small report table as one CSV file; cells keep their blanks."""
+    report.coalesce(1).write.mode(mode).csv(
+        path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_shards(events: DataFrame, path: str, mode: str = "errorifexists") -> None:

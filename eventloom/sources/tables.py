@@ -21,26 +21,19 @@ def read_table(
 
     A DataFrame is ordered by its ``file_order`` column where it has one.
     """
+    kinds = {name: _TYPES.get(str(kind).lower(), kind) for name, kind in (dtypes or {}).items()}
     if isinstance(source, str):
-        # Inference first sees every cell as text where a type is given, so ids keep leading zeros.
-        df = spark.read.csv(source, header=True, inferSchema=True)
-        if dtypes:
-            text = spark.read.csv(source, header=True)
-            types = {f.name: f.dataType.simpleString() for f in df.schema}
-            df = text.select(
-                "*", "_metadata.file_path", "_metadata.file_block_start"
-            ).withColumn("_n", F.monotonically_increasing_id())
-            kinds = {name: _TYPES.get(str(dtypes.get(name, "")).lower(), kind) for name, kind in types.items()}
-            cells = [F.col(name).cast(kind).alias(name) for name, kind in kinds.items()]
-        else:
-            cells = [F.col(name) for name in df.columns]
-            df = df.select("*", "_metadata.file_path", "_metadata.file_block_start").withColumn(
-                "_n", F.monotonically_increasing_id()
-            )
-        return df.select(*cells, F.struct("file_path", "file_block_start", "_n").alias(ROW_ORDER))
+        inferred = spark.read.csv(source, header=True, inferSchema=True)
+        # Cells of typed columns are read as text, so ids keep their leading zeros.
+        df = spark.read.csv(source, header=True) if kinds else inferred
+        cells = [F.col(f.name).cast(kinds.get(f.name, f.dataType)).alias(f.name) for f in inferred.schema]
+        place = df.select("*", "_metadata.file_path", "_metadata.file_block_start").withColumn(
+            "_n", F.monotonically_increasing_id()
+        )
+        return place.select(*cells, F.struct("file_path", "file_block_start", "_n").alias(ROW_ORDER))
     df = source
-    for name, kind in (dtypes or {}).items():
-        df = df.withColumn(name, F.col(name).cast(_TYPES.get(str(kind).lower(), kind)))
+    for name, kind in kinds.items():
+        df = df.withColumn(name, F.col(name).cast(kind))
     if "file_order" in df.columns:
         return df.withColumn(ROW_ORDER, F.struct("file_order")).drop("file_order")
     return df.withColumn(ROW_ORDER, F.struct(F.monotonically_increasing_id().alias("n")))
