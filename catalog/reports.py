@@ -342,7 +342,7 @@ def histogram_equal_width(f):
 
 def _comparison_case(name: str, title: str) -> str:
     cells = ", ".join(
-        f"printf('%.2f', {fn}({name}) FILTER (is_case = {case})) AS {label}_{stat}"
+        f"coalesce(printf('%.2f', {fn}({name}) FILTER (is_case = {case})), 'nan') AS {label}_{stat}"
         for case, label in ((0, "control"), (1, "cancer"))
         for fn, stat in (("avg", "mean"), ("median", "median"))
     )
