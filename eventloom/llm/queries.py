@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import pii
+from eventloom.llm import licenses, pii
 from eventloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,12 @@ def query(function):
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return pii.digest(pii.detect(read_table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements of every document."""
+    return licenses.digest(licenses.detect(read_table(spark, sf_dir, "documents")))
+
+
+ORACLES["op10_licenses"] = licenses.oracle()
