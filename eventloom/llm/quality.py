@@ -132,9 +132,10 @@ def model(trusted: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataF
 def probabilities(needed: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     """``code`` and ``logp`` of every needed n-gram: joins with the counts of every order, shortest first."""
     order = len(tables)
-    codes_by_length = [needed]
+    codes_by_length = [write_once(needed, "needed")]
     for length in range(order, 1, -1):
-        codes_by_length.append(codes_by_length[-1].select(_shorter(F.col("code"), length).alias("code")).distinct())
+        shorter = codes_by_length[-1].select(_shorter(F.col("code"), length).alias("code")).distinct()
+        codes_by_length.append(write_once(shorter, "needed"))
     p = None
     for length, (grams, contexts) in enumerate(tables, 1):
         asked = codes_by_length[order - length].withColumn("ctx", _context(F.col("code")))
