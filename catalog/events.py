@@ -132,14 +132,14 @@ def agg_distinct_subjects(f):
     with_views(
         f"""SELECT code, round(quantile_cont(numeric_value, 0.25), 6) AS q1, round(quantile_cont(numeric_value, 0.5), 6) AS q2,
         round(quantile_cont(numeric_value, 0.75), 6) AS q3 FROM {ME}
-        WHERE numeric_value IS NOT NULL AND code IS NOT NULL GROUP BY code""",
+        WHERE numeric_value IS NOT NULL GROUP BY code""",
         ME,
     ),
 )
 def agg_quantiles(f):
     from eventloom.functions.quantiles import exact_quantiles, value_counts
 
-    rows = f.events().where("code is not null")
+    rows = f.events()
     edges = exact_quantiles(value_counts(rows, ["code"], "numeric_value"), ["code"], "numeric_value", [0.25, 0.5, 0.75])
     return edges.select("code", *[F.round(F.get("edges", F.lit(i)), 6).alias(f"q{i + 1}") for i in range(3)])
 
@@ -475,7 +475,7 @@ def fit_jointly(f):
     return bins.unionByName(ops[1].fitted.select(*shown_edges("level", F.col("edges"))))
 
 
-AGG_FUNCTIONS = {"mean": "avg(v)", "min": "min(v)", "max": "max(v)", "median": "median(v)"}
+AGG_FUNCTIONS = {"mean": "CAST(sum(CAST(v AS DECIMAL(38, 9))) AS DOUBLE) / count(v)", "min": "min(v)", "max": "max(v)", "median": "median(v)"}
 
 
 def subject_values_sql(kind: str) -> str:

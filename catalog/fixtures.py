@@ -40,6 +40,7 @@ FROM (
     'MEDS_BIRTH', CAST(NULL AS DOUBLE), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(-1 AS BIGINT)
   FROM (SELECT DISTINCT user_id FROM events) u WHERE user_id % 13 <> 0
 ) t""",
+    # Every eleventh subject has no row on purpose: the operators must cope with it.
     "static_subjects": """
 SELECT c_custkey AS subject_id, CAST(1 AS INT) AS file_order,
   CASE WHEN c_custkey % 4 = 0 THEN 'male' WHEN c_custkey % 4 = 1 THEN ' Female ' WHEN c_custkey % 4 = 2 THEN 'OTHER/UNKNOWN' END AS gender,
@@ -49,7 +50,7 @@ WHERE c_custkey % 11 <> 0
 UNION ALL
 SELECT c_custkey, CAST(2 AS INT), 'female', c_mktsegment, 'SECOND_ROW' FROM customer WHERE c_custkey % 9 = 0""",
     "lookup_labitems": """
-SELECT p_partkey AS itemid, p_name AS label, p_type AS category FROM part WHERE p_partkey < 8""",
+SELECT p_partkey AS itemid, p_name AS label, p_type AS category FROM part""",
     "lookup_icd": """
 SELECT concat('E', CAST(s_suppkey AS STRING)) AS icd_code, CAST(10 AS INT) AS icd_version, s_name AS long_title FROM supplier
 UNION ALL
@@ -69,7 +70,7 @@ SELECT concat('E', CAST(s_suppkey AS STRING)) AS code, s_name AS term, CAST(1 AS
 UNION ALL SELECT 'bmi', 'Body mass index', CAST(1 AS INT)
 UNION ALL SELECT 'BMI', 'Body Mass', CAST(2 AS INT)""",
     "lab_terms": """
-SELECT CAST(p_partkey AS STRING) AS code, p_name AS term, CAST(1 AS INT) AS file_order FROM part WHERE p_partkey < 8""",
+SELECT CAST(p_partkey AS STRING) AS code, p_name AS term, CAST(1 AS INT) AS file_order FROM part""",
     "region_terms": """
 SELECT r_regionkey AS regionid, r_name AS "Description" FROM region""",
 }

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog import byte_pairs
+from catalog.byte_pairs import checked
 from catalog.events import AGES_SQL, BMI, GENDER, GENDER_SQL, MARITAL, MARITAL_SQL, ME, TRAIN, edges_sql
 from catalog.events import BIN_SQL, ICU_ALLOWED, ICU_NOISE, WEIGHT_LABELS, bmi_edges_sql, subject_values_sql
 from catalog.fixtures import with_views
@@ -15,13 +17,15 @@ from catalog.registry import joined, query, stage_path
 from catalog.reports import LABEL_SQL, LONG, SAID, TERMS
 from catalog.sequences import (
     INTERVAL_CONFIG,
+    TOKEN_ORDER,
     cprd_gap_sql,
     gap_ctes,
     mimic_gap_sql,
     static_gap_sql,
     strings_sql,
 )
-from catalog.vocabularies import ENCODED_SQL, VOCAB, VOCAB_SIZE, shown_timelines
+from catalog.texts import PHRASES, SPLIT_TEXTS, VIEWS_USED
+from catalog.vocabularies import ENCODED_SQL, EVENT_BPE_TIMELINES, VOCAB, VOCAB_SIZE, shown_timelines
 from eventloom.plans.timelines import TimelineRun
 
 PLAIN = {"insert_event_tokens": False, "insert_numeric_tokens": False, "insert_text_tokens": False}
@@ -47,13 +51,16 @@ def run_word_level(f):
     return shown_timelines(run.run(f.events()))
 
 
-@query("run_bpe")
+@query("run_bpe", checked(byte_pairs.timelines("spelled", TOKEN_ORDER), ME, **EVENT_BPE_TIMELINES))
 def run_bpe(f):
     run = TimelineRun.from_config({**STANDARD, "tokenization": {"tokenizer": "bpe", "vocab_size": 110, **PLAIN}})
     return shown_timelines(run.run(f.events()))
 
 
-@query("run_text_bpe")
+@query(
+    "run_text_bpe",
+    checked(byte_pairs.POSITIONED, *VIEWS_USED, **PHRASES, **byte_pairs.text_learning(SPLIT_TEXTS, "text_sequence_with_time", 90), **byte_pairs.SPELLED),
+)
 def run_text_bpe(f):
     """Translate, learn a text vocabulary, encode: three jobs with Parquet between them."""
     from eventloom.operators.phrases import EventPhrases
@@ -107,9 +114,7 @@ def decoded(f, config: dict, fit_mode: str = "joint"):
     run = TimelineRun.from_config(config, fit_mode)
     timelines = run.run(f.events())
     times = F.transform("timestamps", lambda t: F.round(t * 1e6).cast("bigint").cast("string"))
-    stamped = timelines.select("subject_id", F.array_join(times, "|").alias("times"))
-    texts = run.tokenizer.decode(timelines).select("subject_id", "text")
-    return texts.join(stamped, "subject_id")
+    return run.tokenizer.decode(timelines.withColumn("times", F.array_join(times, "|"))).select("subject_id", "text", "times")
 
 
 def rank_sql(patterns: list[str]) -> str:

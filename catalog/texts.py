@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog import byte_pairs
 from catalog.events import ME
 from catalog.fixtures import with_views
 from catalog.registry import query, stage_path
@@ -135,7 +136,26 @@ def words(f):
     return rows.select("subject_id", "pos", F.col("token").alias("word"), ts.alias("ts_us"))
 
 
-@query("meds_text_encode_timed")
+# Subjects' texts with their split.
+SPLIT_TEXTS = f"""SELECT subject_id, split, text_sequence_with_time FROM ({_text_sql("text_sequence_with_time", "coalesce(bucket || '; ', '') || phrase || '; '")})
+  JOIN (SELECT DISTINCT subject_id, split FROM {ME}) USING (subject_id) WHERE text_sequence_with_time <> ''"""
+WORD_RUNS = {
+    "word_runs": f"""SELECT * EXCLUDE ws, unnest(ws) AS run, unnest(range(len(ws))) AS k
+      FROM (SELECT *, {byte_pairs.byte_level('word')} AS ws FROM words)"""
+}
+
+
+@query(
+    "meds_text_encode_timed",
+    byte_pairs.checked(
+        """SELECT subject_id, string_agg(array_to_string(ids, '|'), '|' ORDER BY kind, time NULLS FIRST, seq, part, k) AS tokens,
+string_agg(array_to_string(list_transform(ids, lambda i: ts_us), '|'), '|' ORDER BY kind, time NULLS FIRST, seq, part, k) AS timestamps
+FROM word_runs JOIN shown_runs USING (run) JOIN bp_words ON shown_runs.word = bp_words.word GROUP BY subject_id""",
+        *VIEWS_USED,
+        **WORDS,
+        **byte_pairs.text_learning(SPLIT_TEXTS, "text_sequence_with_time", 90, WORD_RUNS),
+    ),
+)
 def meds_text_encode_timed(f):
     from catalog.registry import joined
     from eventloom.operators.bpe import TextBpe
@@ -145,7 +165,8 @@ def meds_text_encode_timed(f):
     train = patient_text(phrased.where("split = 'train'"), f.events().where("split = 'train'"))
     tokenizer = TextBpe(90).train_texts(F.col("text_sequence_with_time"), train)
     timelines = encode_events_as_text(tokenizer, phrased, f.events())
-    return timelines.select("subject_id", joined("tokens"), joined("timestamps"))
+    times = F.transform("timestamps", lambda t: F.round(t * 1e6).cast("bigint").cast("string"))
+    return timelines.select("subject_id", joined("tokens"), F.array_join(times, "|").alias("timestamps"))
 
 
 @query(

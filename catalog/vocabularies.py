@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog import byte_pairs
+from catalog.byte_pairs import checked
 from catalog.events import ME
 from catalog.fixtures import with_views
 from catalog.registry import joined, query
 from catalog.sequences import TOKEN_ORDER, TOKENS, standard_tokens
 from eventloom.operators.bpe import (
+    END_OF_WORD,
     BytePairTokens,
     TextBpe,
     WhitespaceBpe,
@@ -19,6 +22,7 @@ from eventloom.operators.bpe import (
     vocab_table,
 )
 from eventloom.operators.pieces import neighbour_pairs
+from eventloom.operators.tokens import SPECIAL_TOKENS, Markers
 from eventloom.operators.word_vocab import WordLevel, positions, token_counts, vocabulary
 from eventloom.sources.events import in_splits, text_column
 
@@ -147,19 +151,29 @@ def trained_bpe(f, vocab_size: int = 110):
     return BytePairTokens(vocab_size).train(train_tokens(rows)), rows
 
 
-@query("bpe_train")
+# Words of all strings; those that train nothing have weight 0.
+EVENT_BPE = {
+    **TOKENS,
+    "all_words": "SELECT token AS word, count(*) FILTER (split = 'train') AS freq FROM toks GROUP BY token",
+    **byte_pairs.learning("all_words", SPECIAL_TOKENS, 110, suffix=END_OF_WORD, once=True, reuse=False),
+}
+EVENT_BPE_TIMELINES = {**EVENT_BPE, "spelled": "SELECT toks.*, ids FROM toks JOIN bp_words ON toks.token = bp_words.word"}
+VOCAB_ROWS = "SELECT token, str, CAST(0 AS BIGINT) AS count FROM bp_vocab"
+
+
+@query("bpe_train", checked(VOCAB_ROWS, ME, **EVENT_BPE))
 def bpe_train(f):
     tokenizer, _ = trained_bpe(f)
     return vocab_table(f.spark, tokenizer.model)
 
 
-@query("bpe_merges")
+@query("bpe_merges", checked("SELECT * FROM bp_merges", ME, **EVENT_BPE))
 def bpe_merges(f):
     tokenizer, _ = trained_bpe(f)
     return merges_table(f.spark, tokenizer.model)
 
 
-@query("bpe_encode")
+@query("bpe_encode", checked(byte_pairs.timelines("spelled", TOKEN_ORDER), ME, **EVENT_BPE_TIMELINES))
 def bpe_encode(f):
     tokenizer, rows = trained_bpe(f)
     return shown_timelines(tokenizer.encode(rows))
@@ -188,12 +202,33 @@ def whitespace_bpe(f):
     return WhitespaceBpe(120).train(train_tokens(rows)), rows
 
 
-@query("text_bpe_whitespace_train")
+WORDS = r"regexp_extract_all({0}, '\w+|[^\w\s]+')"
+SPACE_SPECIALS = [*SPECIAL_TOKENS, *Markers().tokens()]
+SPACE_BPE = {
+    **TOKENS,
+    "used": f"""SELECT unnest({WORDS.format('token')}) AS word, CAST(split = 'train' AS INTEGER) AS n FROM toks
+      UNION ALL SELECT unnest({WORDS.format('edge')}), CAST(split = 'train' AS INTEGER)
+      FROM (SELECT DISTINCT subject_id, split FROM ev), (VALUES ('<start>'), ('<end>')) AS edges(edge)""",
+    "all_words": "SELECT word, sum(n) AS freq FROM used GROUP BY word",
+    **byte_pairs.learning("all_words", SPACE_SPECIALS, 120),
+}
+
+
+@query("text_bpe_whitespace_train", checked(VOCAB_ROWS, ME, **SPACE_BPE))
 def text_bpe_whitespace_train(f):
     return vocab_table(f.spark, whitespace_bpe(f)[0].model)
 
 
-@query("text_bpe_whitespace_encode")
+@query(
+    "text_bpe_whitespace_encode",
+    checked(
+        byte_pairs.timelines("spelled", f"{TOKEN_ORDER}, place"),
+        ME,
+        **SPACE_BPE,
+        pieces=f"SELECT *, unnest({WORDS.format('token')}) AS word, unnest(range(len({WORDS.format('token')}))) AS place FROM toks",
+        spelled="SELECT pieces.*, ids FROM pieces JOIN bp_words USING (word)",
+    ),
+)
 def text_bpe_whitespace_encode(f):
     tokenizer, rows = whitespace_bpe(f)
     return shown_timelines(tokenizer.encode(rows))
@@ -208,31 +243,66 @@ def text_bpe(f, vocab_size: int = 150) -> TextBpe:
     return TextBpe(vocab_size, min_frequency=2).train_texts(F.col(TEXT), texts(f, "train"))
 
 
-@query("text_bpe_bytelevel_train")
+TEXT_BPE = byte_pairs.text_learning(f"SELECT * FROM text_rows WHERE {TEXT} <> ''", TEXT, 150)
+SPELLED = byte_pairs.SPELLED
+EVAL_SQL = f"""SELECT CAST({{size}} AS BIGINT) AS vocab_size, round(total / n, 2) AS avg_seq_length, round(chars / total, 2) AS compression_ratio, total AS total_tokens_in_test
+FROM (SELECT CAST(sum(len(ids)) AS BIGINT) AS total FROM spelled WHERE split = 'test'), (SELECT count(*) AS n, sum(len({TEXT})) AS chars FROM chosen WHERE split = 'test')"""
+
+
+@query("text_bpe_bytelevel_train", checked(VOCAB_ROWS, "text_rows", **TEXT_BPE))
 def text_bpe_bytelevel_train(f):
     return vocab_table(f.spark, text_bpe(f).model)
 
 
-@query("text_bpe_eval")
+@query("text_bpe_eval", checked(EVAL_SQL.format(size=150), "text_rows", **TEXT_BPE, **SPELLED))
 def text_bpe_eval(f):
     tokenizer = text_bpe(f)
     return text_eval(tokenizer.encode_texts(texts(f, "test"), TEXT), TEXT, tokenizer.vocab_size)
 
 
-@query("text_bpe_vocab_counts")
+@query(
+    "text_bpe_vocab_counts",
+    checked(
+        """SELECT v.token, v.str, coalesce(c.n, 0) AS count FROM bp_vocab v
+LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM spelled WHERE split = 'test') GROUP BY id) c ON c.id = v.token""",
+        "text_rows",
+        **TEXT_BPE,
+        **SPELLED,
+    ),
+)
 def text_bpe_vocab_counts(f):
     tokenizer = text_bpe(f)
     return vocab_counts(tokenizer.encode_texts(texts(f, "test"), TEXT), tokenizer.model, tokenizer.specials)
 
 
-@query("vocab_sweep")
+@query(
+    "vocab_sweep",
+    checked(
+        f"""SELECT CAST(size AS BIGINT) AS vocab_size, round(total / n, 2) AS avg_seq_length, round(chars / total, 2) AS compression_ratio,
+CAST(total AS BIGINT) AS total_tokens_in_test
+FROM (SELECT size, sum(len(form)) AS total FROM reached JOIN bp_run USING (n) JOIN shown_runs USING (word) JOIN runs USING (run) WHERE split = 'test' GROUP BY size),
+  (SELECT count(*) AS n, sum(len({TEXT})) AS chars FROM chosen WHERE split = 'test')""",
+        "text_rows",
+        **TEXT_BPE,
+        reached="""SELECT size, min(n) AS n FROM bp_run, (VALUES (120), (135), (150)) AS sizes(size)
+          WHERE word IS NULL AND len(syms) >= size GROUP BY size""",
+    ),
+)
 def vocab_sweep(f):
     from eventloom.plans.text_vocab import vocab_experiments
 
     return vocab_experiments(texts(f, "train"), texts(f, "test"), TEXT, [120, 135, 150])
 
 
-@query("text_encode")
+@query(
+    "text_encode",
+    checked(
+        byte_pairs.POSITIONED,
+        "text_rows",
+        **TEXT_BPE,
+        **SPELLED,
+    ),
+)
 def text_encode(f):
     from eventloom.plans.text_vocab import encode_texts
 
@@ -267,11 +337,22 @@ def positional_timestamps(f):
     )
 
 
-@query("decode_preview")
-def decode_preview(f):
-    """The first ids of every text with their pieces."""
+@query(
+    "decode_preview",
+    checked(
+        f"""SELECT subject_id, string_agg(array_to_string(ids, '|'), '|' ORDER BY k) AS ids,
+string_agg(array_to_string(list_transform(ids, lambda i: strs[i + 1]), '|'), '|' ORDER BY k) AS pieces, any_value({TEXT}) AS text
+FROM spelled JOIN chosen USING (subject_id), (SELECT list(str ORDER BY token) AS strs FROM bp_vocab) GROUP BY subject_id""",
+        "text_rows",
+        **TEXT_BPE,
+        **SPELLED,
+    ),
+)
+def decode_preview(f, length: int | None = None):
+    """The ids of every text (its first ``length`` where given) with their pieces."""
     tokenizer = text_bpe(f)
-    encoded = tokenizer.encode_texts(texts(f), TEXT).select("subject_id", F.slice("tokens", 1, 40).alias("tokens"))
+    shown = F.col("tokens") if length is None else F.slice("tokens", 1, length)
+    encoded = tokenizer.encode_texts(texts(f), TEXT).select("subject_id", shown.alias("tokens"))
     ids = positions(encoded, "subject_id").join(vocab_table(f.spark, tokenizer.model).drop("count"), "token")
     ordered = F.sort_array(F.collect_list(F.struct("pos", "token", "str")))
     pieces = ids.groupBy("subject_id").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,9 @@ def exact_quantiles(
     rows = order_groups(counts, keys, [value])
     ranked = running_total(rows, F.col("n"), "upto").df
     if rows.cut:
-        ranked = ranked.join(counts.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
+        totals = counts.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("n").alias("total"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        ranked = ranked.join(totals, same).drop(*[f"_{k}" for k in keys])
     else:
         ranked = ranked.withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
 

@@ -90,9 +90,9 @@ class EthosQuantileAge(AgeOperator):
     ):
         super().__init__(keep_meds_birth)
         if num_quantiles < 2:
-            raise ValueError("num_quantiles must be at least 2")
+            raise ValueError(f"{num_quantiles} age quantiles cannot tell ages apart")
         if time_unit not in SECONDS:
-            raise ValueError("time_unit must be one of: years, days, hours")
+            raise ValueError(f"unknown age unit {time_unit!r}; known: {', '.join(SECONDS)}")
         self.time_unit = time_unit
         self.num_quantiles = num_quantiles
         self.prefix = prefix or ""

@@ -51,7 +51,7 @@ class Operator:
 class MatchingOperator(Operator):
     def __init__(self, matching_type: str, matching_value: str):
         if matching_type not in KINDS:
-            raise ValueError(f"Invalid matching type: {matching_type}")
+            raise ValueError(f"codes cannot be matched by {matching_type!r}")
         self.matching_type = matching_type
         self.matching_value = matching_value
 

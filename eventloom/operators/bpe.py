@@ -100,7 +100,7 @@ class BytePairTokens:
     def encode(self, rows: Ordered) -> DataFrame:
         """Timelines of piece ids; each piece has its word's time."""
         if self.model is None or not self.model.merges:
-            raise ValueError("Tokenizer is not trained yet.")
+            raise ValueError("train before encoding")
         ids = encode_column(self.encoder(), F.col("token"))
         return assemble(rows, ids, SPECIAL_TOKENS.index("<start>"), SPECIAL_TOKENS.index("<end>"), "tokens")
 

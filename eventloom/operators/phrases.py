@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.gaps import DAY, mimic_gap
 from eventloom.functions.text import fixed_text, float_or_null, part, strip, title_text
 from eventloom.operators.base import is_text
-from eventloom.ordering import Ordered, edge_chunks, gather, in_order, last_before, order_groups
+from eventloom.ordering import Ordered, edge_chunks, gather, in_order, last_before, order_groups, whole_groups
 from eventloom.schema import BIRTH, epoch_seconds, epoch_us, subject_keys
 from eventloom.session import materialize
 from eventloom.sources.tables import ROW_ORDER, read_table
@@ -150,21 +150,16 @@ def phrase_rows(phrased: DataFrame, events: DataFrame | None = None) -> Ordered:
 
 
 def patient_text(phrased: DataFrame, events: DataFrame | None = None) -> DataFrame:
-    """``text_sequence`` and ``text_sequence_with_time`` per subject (per chunk of a cut one).
+    """``text_sequence`` and ``text_sequence_with_time``, one row per subject.
 
     ``events`` are the untranslated rows; ages read from them need no lookups.
     """
     keys = subject_keys(phrased)
     rows = phrase_rows(phrased, events)
-    texts = gather(rows, in_order(rows, "phrase", "bucket").alias("items"))
-    edges = edge_chunks(rows)
+    texts = whole_groups(rows, gather(rows, in_order(rows, "phrase", "bucket").alias("items")), "items")
     ages = subject_ages(phrased if events is None else events)
     subjects = ages.join(texts, keys, "left").withColumn("chunk", F.coalesce("chunk", F.lit(0)))
-    first = F.col("chunk") == 0
-    if edges is not None:
-        subjects = subjects.join(edges, keys, "left")
-        first = first | (F.col("chunk") == F.col("first_chunk"))
-    age = F.when(first & F.col("age").isNotNull(), F.concat(F.lit("age "), "age", F.lit("; ")))
+    age = F.when(F.col("age").isNotNull(), F.concat(F.lit("age "), "age", F.lit("; ")))
 
     def joined(piece) -> Column:
         pieces = F.transform(F.coalesce("items", F.array()), piece)

@@ -61,7 +61,7 @@ class TimeIntervals(SequenceOperator):
         self.wrap = as_flag(wrap_token)
         self.dataset = (dataset or "CPRD").strip().upper()
         if self.dataset not in LADDERS:
-            raise ValueError(f"Unsupported dataset mode: {dataset}. Expected 'CPRD' or 'MIMIC'.")
+            raise ValueError(f"no gap ladder for {dataset!r}; known: {', '.join(LADDERS)}")
         if not self.dynamic and not interval_tokens:
             raise ValueError("interval_tokens are needed without dynamic bucketing")
         self.intervals = interval_tokens or {}

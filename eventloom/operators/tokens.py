@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.ordering import Ordered, edge_chunks, gather, in_order
+from eventloom.ordering import Ordered, edge_chunks, gather, in_order, whole_groups
 from eventloom.schema import NO_CODE, epoch_seconds
 
 UNKNOWN, START, END = "<unknown>", "<start>", "<end>"
@@ -64,10 +64,10 @@ def token_rows(rows: Ordered, markers: Markers) -> Ordered:
 
 
 def assemble(rows: Ordered, values: Column, start, end, name: str) -> DataFrame:
-    """Collect token rows into one sequence per subject (per chunk of a cut subject).
+    """Collect token rows into one sequence per subject; a cut subject's chunks are put together again.
 
     ``values`` is an array per token row (its ids or its string). ``start`` opens
-    the first chunk at time 0, ``end`` closes the last at the last event's time.
+    the sequence at time 0, ``end`` closes it at the last event's time.
     """
     prepared = rows.with_df(rows.df.withColumn("_values", values))
     grouped = gather(
@@ -102,7 +102,8 @@ def assemble(rows: Ordered, values: Column, start, end, name: str) -> DataFrame:
         times,
         F.when(F.col("_last"), F.array(F.col("_end_ts"))).otherwise(no_time),
     )
-    return grouped.select(*rows.keys, "chunk", tokens.alias(name), stamps.alias("timestamps"))
+    pieces = grouped.select(*rows.keys, "chunk", tokens.alias(name), stamps.alias("timestamps"))
+    return whole_groups(rows, pieces, name, "timestamps")
 
 
 def string_sequences(rows: Ordered) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +14,6 @@ from eventloom.operators.tokens import SPECIAL_TOKENS, UNKNOWN, assemble
 from eventloom.ordering import Ordered
 from eventloom.session import materialize
 
-BROADCAST_VOCABULARY = 1_000_000
-
 
 def token_counts(tokens: DataFrame) -> DataFrame:
     """Occurrences of every token except the special ones (partial sums before the shuffle)."""
@@ -49,8 +52,7 @@ def vocabulary(counts: DataFrame, vocab_size: int) -> DataFrame:
 def with_ids(tokens: DataFrame, vocab: DataFrame, vocab_size: int) -> DataFrame:
     """Attach ``id`` to token rows; strings outside the vocabulary get id 0."""
     ids = vocab.select(F.col("token").alias("id"), F.col("str").alias("token"))
-    if vocab_size <= BROADCAST_VOCABULARY:
-        ids = F.broadcast(ids)  # at most vocab_size rows
+    # The vocabulary is a written table, so its true size decides whether it is broadcast.
     return tokens.join(ids, "token", "left").withColumn("id", F.coalesce("id", F.lit(0)))
 
 
@@ -67,7 +69,7 @@ class WordLevel:
     def encode(self, rows: Ordered) -> DataFrame:
         """Timelines: ``tokens`` and ``timestamps`` per subject."""
         if self.vocab is None:
-            raise ValueError("Tokenizer is not trained yet.")
+            raise ValueError("train before encoding")
         known = rows.with_df(with_ids(rows.df, self.vocab, self.vocab_size))
         start, end = SPECIAL_TOKENS.index("<start>"), SPECIAL_TOKENS.index("<end>")
         return assemble(known, F.array("id"), start, end, "tokens")
@@ -81,11 +83,39 @@ def positions(timelines: DataFrame, *keep: str) -> DataFrame:
     return timelines.select(*keep, F.posexplode("tokens").alias("pos", "token"))
 
 
+def spoken(timelines: DataFrame, strings: DataFrame, separator: str, strict: bool) -> DataFrame:
+    """Add ``text``: each timeline's ids looked up inside its array and joined; no shuffle.
+
+    ``strings`` has ``token`` and ``str``, at most one row per vocabulary entry. Ids without a
+    string are left out, or fail if ``strict``.
+    """
+    rows = strings.collect()
+    table: list[str | None] = [None] * (max((r["token"] for r in rows), default=-1) + 1)
+    for row in rows:
+        table[row["token"]] = row["str"]
+    shared = timelines.sparkSession.sparkContext.broadcast(table)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.value, pa.string())
+        for batch in batches:
+            lists = batch.column("tokens")
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            inside = (ids >= 0) & (ids < len(known))
+            found = known.take(pa.array(np.where(inside, ids, 0))) if len(known) else pa.nulls(len(ids), pa.string())
+            missing = ~inside | found.is_null().to_numpy(zero_copy_only=False)
+            if strict and missing.any():
+                raise ValueError(f"the vocabulary has no entry for id {ids[missing][0]}")
+            counts = np.concatenate([[0], np.cumsum(~missing)])
+            sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+            bounds = counts[np.concatenate([[0], np.cumsum(sizes)])]
+            kept = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), found.filter(pa.array(~missing)))
+            text = pc.binary_join(kept.cast(pa.list_(pa.string())), separator)
+            yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "text"])
+
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in timelines.dtypes)
+    return timelines.mapInArrow(look_up, f"{kinds}, text string")
+
+
 def decode(timelines: DataFrame, vocab: DataFrame) -> DataFrame:
     """``text``: the strings of a timeline joined by blanks; an id outside the vocabulary fails."""
-    keys = [c for c in timelines.columns if c not in ("tokens", "timestamps")]
-    looked_up = positions(timelines, *keys).join(vocab.select("token", "str"), "token", "left")
-    message = F.concat(F.lit("Found invalid token not in vocabulary: "), F.col("token").cast("string"))
-    known = F.when(F.col("str").isNull(), F.raise_error(message).cast("string")).otherwise(F.col("str"))
-    ordered = F.sort_array(F.collect_list(F.struct("pos", known.alias("str"))))
-    return looked_up.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda t: t["str"]), " ").alias("text"))
+    return spoken(timelines, vocab.select("token", "str"), " ", strict=True).drop("tokens", "timestamps")

@@ -26,20 +26,6 @@ def group_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(LIMIT_KEY, str(MAX_GROUP_ROWS)))
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether all of ``df`` is, by Catalyst's size estimate, no more than one scan split.
-
-    Then no group can be too large for a task and counting them is not worth a
-    job. Setting the limit explicitly always counts.
-    """
-    conf = df.sparkSession.conf
-    if conf.get(LIMIT_KEY, None) is not None:
-        return False
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = conf.get("spark.sql.files.maxPartitionBytes").lower()
-    return estimate <= (int(split.rstrip("b")) if split.rstrip("b").isdigit() else 128 << 20)
-
-
 @dataclass(frozen=True)
 class Ordered:
     """Rows with a total order per key.
@@ -72,8 +58,6 @@ def order_groups(df: DataFrame, keys: list[str], order: list[str], sized_by: Dat
     ``sized_by`` may name a cheaper table with about the same rows per key, such
     as the source a derived table was made from: only its key columns are read.
     """
-    if fits_one_task(sized_by if sized_by is not None else df):
-        return Ordered(df.withColumn("chunk", F.lit(0)), keys, order)
     limit = group_limit(df)
     sizes = (sized_by if sized_by is not None else df).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > limit)
@@ -170,6 +154,20 @@ def in_order(rows: Ordered, *fields: Column | str, keep: Column | None = None) -
     return F.transform(F.sort_array(F.collect_list(item)), lambda pair: pair["item"])
 
 
+def whole_groups(rows: Ordered, gathered: DataFrame, *arrays: str) -> DataFrame:
+    """One row per group at every size: the arrays of a cut group's chunks end to end.
+
+    Other columns are the same in all chunks of a group; ``chunk`` becomes 0.
+    """
+    if not rows.cut:
+        return gathered
+    others = [c for c in gathered.columns if c not in (*rows.keys, "chunk", *arrays)]
+    parts = F.array_sort(F.collect_list(F.struct("chunk", *arrays))).alias("_parts")
+    together = gathered.groupBy(*rows.keys).agg(parts, *[F.any_value(c, True).alias(c) for c in others])
+    ends = [F.flatten(F.transform("_parts", lambda p, name=name: p[name])).alias(name) for name in arrays]
+    return together.select(*rows.keys, F.lit(0).alias("chunk"), *others, *ends)
+
+
 def edge_chunks(rows: Ordered) -> DataFrame | None:
     """First and last chunk number of every cut group, or None when there is none."""
     if not rows.cut:

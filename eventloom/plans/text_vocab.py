@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators.bpe import TextBpe, merges_table, text_eval, vocab_counts
-from eventloom.sources.events import first_rows, in_splits, read_text_splits, text_column
+from eventloom.sources.events import in_splits, read_text_splits, text_column
 from eventloom.sources.sinks import write_mode, write_report, write_timelines, write_vocab
 
 # Defaults of the text vocabulary tools.
@@ -44,11 +44,11 @@ def positional(tokens: Column) -> Column:
 
 
 def encode_texts(
-    tokenizer: TextBpe, rows: DataFrame, column: str = DEFAULT_COLUMN, max_rows: int | None = None
+    tokenizer: TextBpe, rows: DataFrame, column: str = DEFAULT_COLUMN
 ) -> DataFrame:
     """Timelines of a text column with positions as times."""
     keep = [c for c in ("subject_id", "split") if c in rows.columns]
-    kept = first_rows(text_column(rows, column, *keep), max_rows, "subject_id")
+    kept = text_column(rows, column, *keep)
     encoded = tokenizer.encode_texts(kept, column)
     return encoded.select(*keep, "tokens", positional(F.col("tokens")).alias("timestamps"))
 
@@ -60,15 +60,12 @@ def run_text_vocab(
     column: str = DEFAULT_COLUMN,
     vocab_sizes: list[int] = DEFAULT_VOCAB_SIZES,
     min_frequency: int = DEFAULT_MIN_FREQUENCY,
-    max_train_rows: int | None = None,
-    max_test_rows: int | None = None,
     encode_size: int | None = None,
     overwrite: bool = False,
 ) -> TextBpe:
     """Train, evaluate and save each size; with ``encode_size`` also encode both splits."""
     texts = text_column(read_text_splits(spark, data_root), column, "subject_id", "split")
-    train = first_rows(in_splits(texts, ["train"]), max_train_rows, "subject_id")
-    test = first_rows(in_splits(texts, ["test"]), max_test_rows, "subject_id")
+    train, test = in_splits(texts, ["train"]), in_splits(texts, ["test"])
     mode = write_mode(overwrite=overwrite)
     largest = train_to_largest(train, column, vocab_sizes, min_frequency)
     rows = []

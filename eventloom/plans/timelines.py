@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from eventloom.operators.bpe import vocab_table
 from eventloom.ordering import Ordered
 from eventloom.plans.chain import apply_operators, fit_operators
 from eventloom.plans.registry import build_postprocessors, build_preprocessors, build_tokenizer
+from eventloom.session import materialize
 from eventloom.sources.events import read_events
 from eventloom.sources.sinks import write_mode, write_timelines, write_vocab
 
@@ -74,18 +74,13 @@ class TimelineRun:
     def run(self, events: DataFrame) -> DataFrame:
         """Fit, train and encode; timelines for every split in ``events``.
 
-        The token rows are kept (spilling to disk) between vocabulary and
-        encoding: they are already partitioned by subject, so assembling the
-        sequences needs no further shuffle.
+        The token rows are written to the shared folder between vocabulary and
+        encoding: a lost executor does not cost the run its events again.
         """
         rows = self.fit(events).tokens(events)
-        rows = rows.with_df(rows.df.persist(StorageLevel.MEMORY_AND_DISK))
-        self.held = rows.df
+        rows = rows.with_df(materialize(rows.df, "token-rows"))
         return self.train(rows).encode(rows)
 
-    def release(self) -> None:
-        self.held.unpersist()
-
 
 def train_part(df: DataFrame) -> DataFrame:
     return df.where(F.col("split") == "train") if "split" in df.columns else df
@@ -103,5 +98,4 @@ def run_config(spark, config: dict, run_name: str, overwrite: bool = False) -> s
     timelines = run.run(events)
     write_timelines(timelines, f"{target}/timelines", mode)
     write_vocab(run.vocab(events), f"{target}/vocab.csv", mode)
-    run.release()
     return target

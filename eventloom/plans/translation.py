@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from eventloom.operators.bpe import TextBpe, byte_level_words
 from eventloom.operators.phrases import EventPhrases, patient_text, word_timeline
 from eventloom.operators.pieces import encode_list_column
-from eventloom.ordering import gather, in_order
+from eventloom.ordering import gather, in_order, whole_groups
+from eventloom.sources.events import path_exists
 from eventloom.sources.sinks import write_mode, write_translated
 
 
@@ -19,7 +20,15 @@ def translate_dataset(
     overwrite: bool = False,
     skip_existing: bool = False,
 ) -> None:
-    """Write the texts of every subject, one folder per split, in one job."""
+    """Write the texts of every subject, one folder per split; ``skip_existing`` leaves out the splits already there."""
+    if skip_existing and "split" in events.columns:
+        names = [row["split"] for row in events.select("split").distinct().collect()]
+        there = [name for name in names if path_exists(events.sparkSession, f"{path}/split={name}")]
+        if len(there) == len(names):
+            return
+        events = events.where(~F.col("split").isin(there)) if there else events
+        write_translated(patient_text(phrases.translate(events), events), path, "append")
+        return
     texts = patient_text(phrases.translate(events), events)
     write_translated(texts, path, write_mode(overwrite, skip_existing))
 
@@ -30,9 +39,10 @@ def encode_events_as_text(tokenizer: TextBpe, phrased: DataFrame, events: DataFr
     ids = encode_list_column(tokenizer.encoder(), byte_level_words(F.col("token")))
     encoded = rows.with_df(rows.df.withColumn("ids", ids))
     grouped = gather(encoded, in_order(encoded, "ids", "ts").alias("items"))
-    return grouped.select(
+    pieces = grouped.select(
         *rows.keys,
         "chunk",
         F.flatten(F.transform("items", lambda i: i["ids"])).alias("tokens"),
         F.flatten(F.transform("items", lambda i: F.array_repeat(i["ts"], F.size(i["ids"])))).alias("timestamps"),
     )
+    return whole_groups(rows, pieces, "tokens", "timestamps")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.quantiles import exact_quantiles, value_counts
 from eventloom.functions.text import fixed_text
-from eventloom.ordering import Ordered, last_before
+from eventloom.session import materialize
 
 # Strings that are not medical events.
 SPECIAL_STRINGS = [
@@ -29,18 +29,13 @@ def vocab_special_ids(vocab: DataFrame) -> DataFrame:
 
 
 def sequence_metrics(timelines: DataFrame, vocab: DataFrame) -> DataFrame:
-    """One row of metrics per subject.
+    """One row of metrics per subject, measured inside its arrays without a shuffle.
 
-    Whole timelines are measured inside their arrays, with no shuffle. Subjects
-    that were cut into chunks are measured by aggregates over their token rows.
+    A written table: the reports aggregate it several times over.
     """
     # At most one id per special string.
     special = [r["token"] for r in vocab_special_ids(vocab).collect()]
-    whole = _metrics_of_arrays(timelines.where("chunk = 0"), special)
-    cut = timelines.where("chunk > 0")
-    if cut.isEmpty():
-        return whole
-    return whole.unionByName(_metrics_of_chunks(cut, special))
+    return materialize(_metrics_of_arrays(timelines, special), "cohort-metrics")
 
 
 def _keys(timelines: DataFrame) -> list[str]:
@@ -78,39 +73,6 @@ def _whole_days(latest: Column, earliest: Column) -> Column:
     return F.coalesce(F.floor(micros / 86_400_000_000), F.lit(0)).cast("bigint")
 
 
-def _metrics_of_chunks(timelines: DataFrame, special: list[int]) -> DataFrame:
-    keys = _keys(timelines)
-    rows = timelines.select(*keys, "chunk", F.posexplode(F.arrays_zip("tokens", "timestamps")).alias("pos", "t")).select(
-        *keys, "chunk", "pos", F.col("t.tokens").alias("token"), F.col("t.timestamps").alias("ts")
-    )
-    medical = ~F.col("token").isin(special) if special else F.lit(True)
-    real = F.when(F.col("ts") > 0, F.col("ts"))
-    place = F.when(F.col("ts") > 0, F.struct("chunk", "pos"))
-    sums = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("sequence_length"),
-        _whole_days(F.max(real), F.min(real)).alias("obs_period_days"),
-        F.count(real).alias("n_real"),
-        (F.max_by("ts", place) - F.min_by("ts", place)).alias("spread"),
-    )
-    # Distinct counts in two steps, so that no task sees all of a subject's values at once.
-    tokens = rows.where(medical).select(*keys, "token").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("num_medical_events"))
-    visits = rows.select(*keys, "ts").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_visits"))
-    ordered = last_before(Ordered(rows, keys, ["pos"], cut=True), real, "before")
-    gaps = ordered.df.where("ts > 0 and before is not null").withColumn("gap", (F.col("ts") - F.col("before")) / DAY_SECONDS)
-    middle = exact_quantiles(value_counts(gaps, keys, "gap"), keys, "gap", [0.5], midpoint=True)
-    joined = sums.join(tokens, keys, "left").join(visits, keys).join(middle, keys, "left")
-    mean = F.when(F.col("n_real") > 1, F.col("spread") / DAY_SECONDS / (F.col("n_real") - 1)).otherwise(0.0)
-    return joined.select(
-        *keys,
-        "sequence_length",
-        F.coalesce("num_medical_events", F.lit(0)).alias("num_medical_events"),
-        "unique_visits",
-        "obs_period_days",
-        mean.alias("mean_time_between_events"),
-        F.coalesce(F.get("edges", F.lit(0)), F.lit(0.0)).alias("median_time_between_events"),
-    )
-
-
 def cohort_table(metrics: DataFrame, attributes: DataFrame) -> DataFrame:
     """Metrics with subject attributes, status and years of observation."""
     status = F.when(F.col("is_case") == 0, F.lit("Control")).when(F.col("is_case") == 1, F.lit("Cancer"))

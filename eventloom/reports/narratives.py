@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.text import part, title_text
 from eventloom.operators.sequence import term_lookup
-from eventloom.operators.word_vocab import positions
+from eventloom.operators.word_vocab import spoken
 from eventloom.sources.events import subject_labels
-from eventloom.sources.tables import read_table
+from eventloom.sources.tables import ROW_ORDER, read_table
 
 SILENT = ["<start>", "<end>", "<unknown>", "MEDS_BIRTH"]
 
@@ -77,12 +77,12 @@ def narrative_text(timelines: DataFrame, phrases: DataFrame) -> DataFrame:
     Ids outside the vocabulary are silent. Phrases are computed once per
     vocabulary entry, not per token.
     """
-    keys = [c for c in timelines.columns if c not in ("tokens", "timestamps")]
-    said = phrases.where((F.col("phrase") != "") & F.col("phrase").isNotNull()).select("token", "phrase")
-    spoken = positions(timelines, *keys).join(said, "token", "left")
-    heard = F.when(F.col("phrase").isNotNull(), F.struct("pos", "phrase"))
-    ordered = F.transform(F.sort_array(F.collect_list(heard)), lambda p: p["phrase"])
-    return spoken.groupBy(*keys).agg(F.array_join(ordered, ", ").alias("text"))
+    return _narrated(timelines, phrases).drop("tokens", "timestamps")
+
+
+def _narrated(timelines: DataFrame, phrases: DataFrame) -> DataFrame:
+    said = phrases.where((F.col("phrase") != "") & F.col("phrase").isNotNull())
+    return spoken(timelines, said.select("token", F.col("phrase").alias("str")), ", ", strict=False)
 
 
 def narrative_labels(labels: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def narrative_labels(labels: DataFrame) -> DataFrame:
     # Site names are few; only their distinct values are ranked.
     sites = named.where((F.col("name") != "Control") & F.col("name").isNotNull()).select("name").distinct()
     numbered = sites.withColumn("label", F.dense_rank().over(Window.orderBy("name")))
-    row_order = "file_order" if "file_order" in labels.columns else None
+    row_order = next((c for c in (ROW_ORDER, "file_order") if c in labels.columns), None)
     kept = named.join(numbered, "name", "left").select(
         "subject_id",
         F.when(F.col("name") == "Control", F.lit(0)).otherwise(F.col("label")).alias("label"),
@@ -111,7 +111,5 @@ def narrative_dataset(timelines: DataFrame, phrases: DataFrame, labels: DataFram
     known = narrative_labels(labels).where("label is not null")
     keys = [c for c in timelines.columns if c not in ("tokens", "timestamps")]
     labelled = timelines.join(known, "subject_id")
-    texts = narrative_text(labelled.select(*timelines.columns), phrases)
     iso = F.date_format("cancer_date", "yyyy-MM-dd'T'HH:mm:ss")
-    stamped = labelled.select(*keys, "label", "timestamps", iso.alias("cancer_date"))
-    return stamped.join(texts, keys).select(*keys, "text", "label", "timestamps", "cancer_date")
+    return _narrated(labelled, phrases).select(*keys, "text", "label", "timestamps", iso.alias("cancer_date"))

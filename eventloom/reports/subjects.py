@@ -34,15 +34,13 @@ def validation_summary(raw: DataFrame, tokenized: DataFrame) -> DataFrame:
 
 
 def shard_index(timelines: DataFrame, notes: DataFrame | None = None) -> DataFrame:
-    """Shard file of every subject's timeline and, where there are any, of its notes.
+    """Shard files of every subject's timeline and, where there are any, of its notes: one row per pair of files.
 
     Both tables must be read straight from files.
     """
 
     def shards(df: DataFrame, name: str) -> DataFrame:
-        return df.select("subject_id", F.input_file_name().alias("file")).groupBy("subject_id").agg(
-            F.max("file").alias(name)
-        )
+        return df.select("subject_id", F.input_file_name().alias(name)).distinct()
 
     index = shards(timelines, "ehr_shard_filepath")
     if notes is None:

@@ -30,9 +30,7 @@ def event_table(df: DataFrame) -> DataFrame:
     file, with the file as the high bits.
     """
     if "seq" not in df.columns:
-        in_file = F.col("_metadata.row_index")
-        file_rank = F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(1 << 20))
-        df = df.withColumn("seq", F.shiftleft(file_rank, 40) + in_file)
+        df = _with_source_order(df)
     columns = {}
     for name, kind in EVENT_TYPES.items():
         if name not in df.columns:
@@ -44,6 +42,22 @@ def event_table(df: DataFrame) -> DataFrame:
     return df.withColumns({**columns, "seq": F.col("seq").cast("bigint")})
 
 
+def _with_source_order(df: DataFrame) -> DataFrame:
+    """``seq`` from the rank of the file among the sorted paths and the row's place in it.
+
+    The ranks are a table of as many rows as the scan lists files. A stream has no
+    list of its files; there the hash of the path stands for the rank.
+    """
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    if df.isStreaming:
+        return df.withColumn("seq", F.shiftleft(F.pmod(F.xxhash64(path), F.lit(1 << 20)), 40) + row)
+    ranks = df.sparkSession.createDataFrame(list(enumerate(sorted(df.inputFiles()))), "_rank bigint, _file string")
+    placed = df.withColumns({"_file": path, "_row": row}).join(F.broadcast(ranks), "_file", "left")
+    # Every row's file is listed; a file that is not would have its rows fail here rather than tie.
+    rank = F.when(F.col("_rank").isNull(), F.raise_error(F.concat(F.lit("unlisted file "), "_file")).cast("bigint")).otherwise(F.col("_rank"))
+    return placed.withColumn("seq", F.shiftleft(rank, 40) + F.col("_row")).drop("_file", "_row", "_rank")
+
+
 def subject_keys(df: DataFrame) -> list[str]:
     """Columns that identify one subject's timeline."""
     return ["subject_id", "split"] if "split" in df.columns else ["subject_id"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.schema import event_table
 from eventloom.session import spread
+from eventloom.sources.tables import ROW_ORDER, read_table
 
 EVENT_SPLITS = ("train", "tuning", "held_out")
 TEXT_SPLITS = ("train", "test")
@@ -73,11 +74,6 @@ def text_column(rows: DataFrame, column: str, *keep: str) -> DataFrame:
     return rows.select(*keep, column).where(F.col(column) != "")
 
 
-def first_rows(rows: DataFrame, max_rows: int | None, order: str) -> DataFrame:
-    """Debug cap of a run: the first rows in the given order; None takes all."""
-    return rows if max_rows is None else rows.orderBy(order).limit(int(max_rows))
-
-
 def in_splits(rows: DataFrame, splits: list[str] | tuple[str, ...]) -> DataFrame:
     return rows.where(F.col("split").isin(list(splits)))
 
@@ -101,6 +97,7 @@ def subject_labels(labels: DataFrame) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     schema = "subject_id bigint, is_case int, site string, cancerdate string"
-    raw = spark.read.csv(path, header=True)
+    raw = read_table(spark, path)
     columns = [f.strip().split(" ") for f in schema.split(",")]
-    return subject_labels(raw.select(*[F.col(name).try_cast(kind).alias(name) for name, kind in columns]))
+    cells = [F.col(name).cast("string").try_cast(kind).alias(name) for name, kind in columns]
+    return subject_labels(raw.select(*cells, ROW_ORDER))

@@ -44,10 +44,12 @@ def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def write_shards(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Event shards in one folder per split (``path/train`` ...), a subject always in one shard."""
+    """Event shards in one folder per split (``path/train`` ...), ordered by subject and time.
+
+    Ranges of (subject, time, place) are the shards: a subject with a large share of the rows spans several.
+    """
     splits = [r["split"] for r in events.select("split").distinct().collect()]
     for split in splits:
         part = events.where(F.col("split") == split).drop("split")
-        part.repartition("subject_id").sortWithinPartitions("subject_id", F.asc_nulls_first("time"), "seq").write.mode(
-            mode
-        ).parquet(f"{path}/{split}")
+        order = ["subject_id", F.asc_nulls_first("time"), "seq"]
+        part.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).parquet(f"{path}/{split}")

@@ -9,7 +9,6 @@ def test_new_shards_are_encoded_once(spark, fixtures, tmp_path):
     events = fixtures.events()
     run = TimelineRun.from_config(CONFIG)
     whole = {r.subject_id: (r.tokens, r.timestamps) for r in run.run(events).collect()}
-    run.release()
     shards, out, done = (f"{tmp_path}/{name}" for name in ("shards", "out", "done"))
     schema = events.drop("split").schema
 
