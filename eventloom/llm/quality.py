@@ -39,7 +39,7 @@ ORDER = 5
 #: Share of a language's trusted documents that lie below its threshold.
 QUANTILE = 0.995
 #: Added to the threshold for a text of n bytes: MARGIN / sqrt(n).
-MARGIN = 4.0
+MARGIN = 8.0
 #: Width of the histogram bins of log perplexity.
 BIN = 0.001
 #: N-grams of a shard of answers at most.
