@@ -29,8 +29,8 @@ from eventloom.llm.common import filled, slices, write_once
 from eventloom.llm.encode import encoder, with_end
 
 CAPACITY = 2048
-#: Groups of equal cardinality among the large lengths.
-GROUPS = 96
+#: Groups of equal cardinality among the large lengths; fewer leave more room unused after rounding.
+GROUPS = 2048
 #: Lengths above this share of the capacity are large.
 LARGE = 1 / 8
 #: Pieces ranked in one group at most, about.

@@ -58,17 +58,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def sample_pivots(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Pivots by vector length: the vectors with the least hashes, a bounded sample that partitioning cannot change."""
+def sample_pivots(classes: DataFrame, n: int) -> dict[int, tuple[int, np.ndarray]]:
+    """First pivot id and pivots by vector length: the vectors with the least hashes, a bounded sample that partitioning cannot change."""
     wanted = int(np.clip(4 * np.sqrt(n), MIN_PIVOTS, MAX_PIVOTS))
     rows = classes.select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(wanted).select("vector").collect()
     by_length: dict[int, list] = {}
     for row in rows:
         by_length.setdefault(len(row["vector"]), []).append(row["vector"])
-    return {d: _matrix(pa.array(v, pa.list_(pa.float64()))) for d, v in by_length.items()}
+    starts = np.concatenate([[0], np.cumsum([len(v) for v in by_length.values()])])
+    return {d: (int(first), _matrix(pa.array(v, pa.list_(pa.float64())))) for first, (d, v) in zip(starts, by_length.items())}
 
 
-def describe(classes: DataFrame, pivots: dict[int, np.ndarray], prefix: int = PREFIX) -> DataFrame:
+def describe(classes: DataFrame, pivots: dict[int, tuple[int, np.ndarray]], prefix: int = PREFIX) -> DataFrame:
     """Add ``pivots``: ids of the nearest pivots, nearest first.
 
     A vector whose length has no pivot is described by one list for its length (a negative id), compared whole.
@@ -80,7 +81,7 @@ def describe(classes: DataFrame, pivots: dict[int, np.ndarray], prefix: int = PR
             lengths = pc.list_value_length(batch.column("vector")).to_numpy()
             for d in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == d))
-                known = shared.value.get(int(d))
+                first, known = shared.value.get(int(d), (0, None))
                 if known is None:
                     names = np.full((part.num_rows, 1), -int(d))
                 else:
@@ -88,7 +89,7 @@ def describe(classes: DataFrame, pivots: dict[int, np.ndarray], prefix: int = PR
                     k = min(prefix, known.shape[0])
                     top = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
                     order = np.argsort(-np.take_along_axis(cosines, top, axis=1), axis=1, kind="stable")
-                    names = np.take_along_axis(top, order, axis=1)
+                    names = first + np.take_along_axis(top, order, axis=1)
                 lists = pa.ListArray.from_arrays(np.arange(0, names.size + 1, names.shape[1]).astype(np.int32), pa.array(names.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("class"), part.column("vector"), lists], ["class", "vector", "pivots"])
 

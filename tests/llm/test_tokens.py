@@ -61,8 +61,12 @@ def test_files_round_trip_in_document_order(spark):
     texts = ODD + random_texts(60)
     rows = [(i * 7 % 101, t, "x") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5)
-    manifest = tokenids.write(df, WORD_BPE, 49408, 2, file_ids=50)
-    assert manifest.count() > 3
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files of a few documents
+    try:
+        manifest = tokenids.write(df, WORD_BPE, 49408, 2, file_ids=50)
+        assert manifest.count() > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     got = sorted(tuple(r) for r in tokenids.read_back(manifest).collect())
     want, at = [], 0
     by_id = sorted(zip([r[0] for r in rows], library_ids(texts)))
@@ -110,9 +114,9 @@ def test_plan_is_valid_and_tight(seed):
     counts = np.zeros(capacity + 1, np.int64)
     for length in rng.integers(1, capacity + 1, 400):
         counts[int(min(length, rng.integers(1, capacity + 1)))] += 1
-    used = check_plan(counts, capacity, groups=int(rng.choice([3, 12, 96])))
     lower = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
-    assert used <= lower * 1.12 + 2
+    for groups, slack in ((3, 1.6), (12, 1.15), (96, 1.02), (packing.GROUPS, 1.02)):
+        assert check_plan(counts, capacity, groups=groups) <= lower * slack + 2
 
 
 def test_plan_of_edge_cases():
