@@ -36,9 +36,11 @@ from eventloom.llm.components import components
 
 THRESHOLD = 0.9
 #: Nearest pivots that describe a vector, in order.
-PREFIX = 6
+PREFIX = 8
 #: Pivots two vectors must share.
 SHARED = 2
+#: Pivots closer than this to an earlier one are left out.
+PIVOT_COSINE = 0.8
 MIN_PIVOTS, MAX_PIVOTS = 64, 8192
 
 
@@ -61,12 +63,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def sample_pivots(classes: DataFrame, n: int) -> dict[int, tuple[int, np.ndarray]]:
     """First pivot id and pivots by vector length: the vectors with the least hashes, a bounded sample that partitioning cannot change."""
     wanted = int(np.clip(4 * np.sqrt(n), MIN_PIVOTS, MAX_PIVOTS))
-    rows = classes.select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(wanted).select("vector").collect()
+    rows = classes.select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(2 * wanted).select("vector").collect()
     by_length: dict[int, list] = {}
     for row in rows:
         by_length.setdefault(len(row["vector"]), []).append(row["vector"])
-    starts = np.concatenate([[0], np.cumsum([len(v) for v in by_length.values()])])
-    return {d: (int(first), _matrix(pa.array(v, pa.list_(pa.float64())))) for first, (d, v) in zip(starts, by_length.items())}
+    chosen, first = {}, 0
+    for length, found in by_length.items():
+        apart = _apart(_matrix(pa.array(found, pa.list_(pa.float64()))), wanted)
+        chosen[length] = (first, apart)
+        first += len(apart)
+    return chosen
+
+
+def _apart(unit: np.ndarray, wanted: int) -> np.ndarray:
+    """The first ``wanted`` rows no two of which are closer than ``PIVOT_COSINE``.
+
+    Otherwise a large group of near copies would hold many pivots, and which of them
+    are the nearest would differ from one member to the next.
+    """
+    kept = np.empty((min(wanted, len(unit)), unit.shape[1]))
+    n = 0
+    for row in unit:
+        if n == len(kept):
+            break
+        if not n or (kept[:n] @ row).max() < PIVOT_COSINE:
+            kept[n] = row
+            n += 1
+    return kept[:n]
 
 
 def describe(classes: DataFrame, pivots: dict[int, tuple[int, np.ndarray]], prefix: int = PREFIX) -> DataFrame:
