@@ -46,6 +46,8 @@ MIN_ITEM_WORDS = 8
 THRESHOLD = 0.6
 #: Share of the words of question and answer that must stand in order.
 OVERLAP = 0.8
+#: Share of an item's three-word phrases that must stand there too: common words alone can stand in any order.
+PHRASES = 0.5
 K1, B = 1.2, 0.75
 _SEPARATORS = r"[^\p{L}\p{N}]+"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -221,6 +223,13 @@ def in_order(wanted: list[str], words: list[str]) -> float:
     return (len(wanted) - state.bit_count()) / len(wanted)
 
 
+def shared_phrases(wanted: list[str], words: list[str]) -> float:
+    """Share of the three-word phrases of ``wanted`` that stand in ``words``."""
+    phrases = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    own = phrases(wanted)
+    return len(own & phrases(words)) / len(own) if own else 1.0
+
+
 def _shards(rows: Iterator, limit: int) -> Iterator[list]:
     """Runs of units of at most ``limit``; units of an item come one after another."""
     held: list = []
@@ -271,7 +280,7 @@ def _search(shared, threshold: float, overlap: float):
                 low, high = max(int(bounds[row]), int(start[p]) - reach), min(int(bounds[row + 1]), int(end[p]) + reach)
                 around = distinct.take(pa.array(at[low:high])).to_pylist()
                 q, a = in_order(question, around), in_order(answer, around)
-                if q >= overlap and a >= overlap:
+                if q >= overlap and a >= overlap and shared_phrases(question + answer, around) >= PHRASES:
                     best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), (float(score), q, a))
             if best:
                 ids = batch.column("doc_id").take(pa.array([row for row, _ in best]))

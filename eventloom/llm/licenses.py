@@ -35,7 +35,7 @@ BASE = [
 #: License families (fixed values): label, key word, names. In a name ``[w]`` is optional and ``a|b`` a choice.
 FAMILIES = [
     ("mit", "mit", ["mit license", "mit expat license"]),
-    ("apache-2", "apache", ["apache license [version|v] 2 [0]", "apache 2 0 license"]),
+    ("apache-2", "apache", ["apache license [version|v] 2|v2 [0]", "apache 2 0 license"]),
     ("apache-1.1", "apache", ["apache [software] license [version] 1 1"]),
     ("cc-by-nc", "nc", ["cc by nc [4|3|2] [0|5]"]),
     ("cc-by-nc-sa", "nc", ["cc by nc sa [4|3|2] [0|5]"]),
@@ -46,23 +46,25 @@ FAMILIES = [
     ("cc-by-sa", "sharealike", ["creative commons attribution sharealike [4|3] [0] [international] license"]),
     ("cc-by-nc", "noncommercial", ["creative commons attribution noncommercial [4|3] [0] [international] license"]),
     ("cc0-1.0", "cc0", ["cc0 [1] [0] [universal]"]),
-    ("gpl-2.0", "2", ["gnu general public license [version|v] 2", "gpl version|v 2", "gnu gpl v2"]),
-    ("gpl-3.0", "3", ["gnu general public license [version|v] 3", "gpl version|v 3", "gnu gpl v3"]),
-    ("gpl-2.0-or-later", "later", ["gnu general public license [version|v] 2 or [any] [at] [your] [option] later"]),
-    ("gpl-3.0-or-later", "later", ["gnu general public license [version|v] 3 or [any] [at] [your] [option] later"]),
+    ("gpl-2.0", "general", ["gnu general public license [version|v] 2|v2"]),
+    ("gpl-2.0", "gpl", ["gpl [version|v] 2|v2"]),
+    ("gpl-3.0", "general", ["gnu general public license [version|v] 3|v3"]),
+    ("gpl-3.0", "gpl", ["gpl [version|v] 3|v3"]),
+    ("gpl-2.0-or-later", "later", ["gnu general public license [version|v] 2|v2 or [any] [at] [your] [option] later"]),
+    ("gpl-3.0-or-later", "later", ["gnu general public license [version|v] 3|v3 or [any] [at] [your] [option] later"]),
     ("gpl-2.0", "gplv2", ["gplv2"]),
     ("gpl-3.0", "gplv3", ["gplv3"]),
     ("gpl", "general", ["gnu general public license"]),
-    ("lgpl-2.1", "lesser", ["gnu lesser general public license [version|v] 2 1"]),
-    ("lgpl-3.0", "lesser", ["gnu lesser general public license [version|v] 3"]),
+    ("lgpl-2.1", "lesser", ["gnu lesser general public license [version|v] 2|v2 1"]),
+    ("lgpl-3.0", "lesser", ["gnu lesser general public license [version|v] 3|v3"]),
     ("lgpl", "lesser", ["gnu lesser general public license"]),
-    ("lgpl-2.0", "library", ["gnu library general public license [version|v] 2"]),
-    ("agpl-3.0", "affero", ["gnu affero general public license [version|v] 3", "gnu affero general public license"]),
+    ("lgpl-2.0", "library", ["gnu library general public license [version|v] 2|v2"]),
+    ("agpl-3.0", "affero", ["gnu affero general public license [version|v] 3|v3", "gnu affero general public license"]),
     ("gfdl", "documentation", ["gnu free documentation license [version] [1]"]),
-    ("mpl-2.0", "mozilla", ["mozilla public license [version|v] 2 [0]"]),
-    ("mpl-1.1", "mozilla", ["mozilla public license [version|v] 1 1"]),
-    ("epl-1.0", "eclipse", ["eclipse public license [version|v] 1 [0]"]),
-    ("epl-2.0", "eclipse", ["eclipse public license [version|v] 2 [0]"]),
+    ("mpl-2.0", "mozilla", ["mozilla public license [version|v] 2|v2 [0]"]),
+    ("mpl-1.1", "mozilla", ["mozilla public license [version|v] 1|v1 1"]),
+    ("epl-1.0", "eclipse", ["eclipse public license [version|v] 1|v1 [0]"]),
+    ("epl-2.0", "eclipse", ["eclipse public license [version|v] 2|v2 [0]"]),
     ("bsd-2-clause", "bsd", ["bsd 2|two clause license", "2|two clause bsd license", "simplified bsd license"]),
     ("bsd-3-clause", "bsd", ["bsd 3|three clause license", "3|three clause bsd license", "new|revised|modified bsd license"]),
     ("bsd-4-clause", "bsd", ["bsd 4|four clause license", "4|four clause bsd license", "original bsd license"]),
@@ -71,7 +73,7 @@ FAMILIES = [
     ("zlib", "zlib", ["zlib license", "zlib libpng license"]),
     ("unlicense", "unlicense", ["the unlicense"]),
     ("wtfpl", "wtfpl", ["wtfpl"]),
-    ("cddl-1.0", "cddl", ["cddl [version|v] 1 0"]),
+    ("cddl-1.0", "cddl", ["cddl [version|v] 1|v1 0"]),
     ("cddl-1.0", "distribution", ["common development and distribution license"]),
     ("boost-1.0", "boost", ["boost software license [version] [1] [0]"]),
     ("artistic-2.0", "artistic", ["artistic license [version] 2 [0]"]),
@@ -82,12 +84,12 @@ FAMILIES = [
     ("openssl", "openssl", ["openssl license"]),
     ("ms-pl", "microsoft", ["microsoft public license"]),
     ("ms-rl", "microsoft", ["microsoft reciprocal license"]),
-    ("eupl-1.2", "european", ["european union public licence [version|v] 1 2", "european union public license [version|v] 1 2"]),
-    ("eupl-1.1", "european", ["european union public licence [version|v] 1 1", "european union public license [version|v] 1 1"]),
+    ("eupl-1.2", "european", ["european union public licence [version|v] 1|v1 2", "european union public license [version|v] 1|v1 2"]),
+    ("eupl-1.1", "european", ["european union public licence [version|v] 1|v1 1", "european union public license [version|v] 1|v1 1"]),
     ("odbl-1.0", "database", ["open database license"]),
     ("odc-by-1.0", "commons", ["open data commons attribution license"]),
     ("afl-3.0", "academic", ["academic free license [version|v] [3]"]),
-    ("osl-3.0", "open", ["open software license [version|v] 3"]),
+    ("osl-3.0", "open", ["open software license [version|v] 3|v3"]),
     ("zpl-2.1", "zope", ["zope public license [version] [2] [1]"]),
     ("php-3.01", "php", ["php license [version] [3] [01]"]),
     ("ruby", "ruby", ["ruby license"]),
@@ -101,7 +103,7 @@ FAMILIES = [
     ("upl-1.0", "universal", ["universal permissive license [version] [1] [0]"]),
     ("busl-1.1", "business", ["business source license [version] [1] [1]"]),
     ("sspl-1.0", "server", ["server side public license [version] [1]"]),
-    ("elastic-2.0", "elastic", ["elastic license [version|v] 2 [0]"]),
+    ("elastic-2.0", "elastic", ["elastic license [version|v] 2|v2 [0]"]),
     ("llama", "community", ["community license agreement"]),
     ("bloom-rail", "responsible", ["responsible ai license"]),
 ]

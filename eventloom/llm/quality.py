@@ -50,7 +50,7 @@ def codes(raw: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
     """The n-gram that ends at each byte, as an integer; bytes before a text's first are zero."""
     out = np.zeros(len(raw), np.int64)
     place = np.arange(len(raw)) - np.repeat(bounds[:-1], np.diff(bounds))
-    for back in range(order):
+    for back in range(min(order, len(raw))):
         shifted = np.zeros(len(raw), np.int64)
         shifted[back:] = raw[: len(raw) - back]
         shifted[place < back] = 0
@@ -206,7 +206,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quanti
     """
     ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), filled().alias("text"))
-    tables = model(rows.join(ids, "doc_id", "left_semi"), order)
+    # Labels grow with the documents, so they are never broadcast: one plan at every size.
+    tables = model(rows.join(ids.hint("merge"), "doc_id", "left_semi"), order)
     logs = probabilities(needed_ngrams(rows, order), tables)
     scored = scores(rows, logs, order).join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     mean = F.when(F.col("n_bytes") > 0, -F.col("total") / F.col("n_bytes")).otherwise(0.0)
