@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import eventloom
 from eventloom.session import materialize, prepare, scratch_root
 
 #: Text bytes handled at once inside a task; a single longer text is a slice of its own.
@@ -18,8 +22,26 @@ SLICE_BYTES = 4 << 20
 BATCH_ROWS = 512
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application: they need no installed copy."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(eventloom.__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="eventloom-")) / "eventloom-package.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as bundle:
+        for file in sorted(package.rglob("*.py")):
+            bundle.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Session options of these operators: UTC, skew handling, small Arrow batches."""
+    ship(spark)
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
