@@ -51,6 +51,19 @@ def run_word_level(f):
     return shown_timelines(run.run(f.events()))
 
 
+@query("run_saved", with_views(ENCODED_SQL, ME, **VOCAB))
+def run_saved(f):
+    """A run that is saved, loaded again and then encodes."""
+    from catalog.registry import stage_path
+
+    config = {**STANDARD, "tokenization": word_level(VOCAB_SIZE)}
+    run, path = TimelineRun.from_config(config), stage_path(f, "run")
+    run.train(run.fit(f.events()).tokens(f.events()))
+    run.save(f.spark, path)
+    loaded = TimelineRun.load(f.spark, config, path)
+    return shown_timelines(loaded.encode(loaded.tokens(f.events())))
+
+
 @query("run_bpe", checked(byte_pairs.timelines("spelled", TOKEN_ORDER), ME, **EVENT_BPE_TIMELINES))
 def run_bpe(f):
     run = TimelineRun.from_config({**STANDARD, "tokenization": {"tokenizer": "bpe", "vocab_size": 110, **PLAIN}})

@@ -9,12 +9,13 @@ from eventloom.operators.base import Operator
 from eventloom.operators.sequence import SequenceOperator, build_sequence
 from eventloom.operators.tokens import Markers, token_rows
 from eventloom.operators.word_vocab import WordLevel
-from eventloom.operators.bpe import vocab_table
+from eventloom.operators.bpe import merges_table, vocab_table
+from eventloom.operators.pieces import Merges
 from eventloom.ordering import Ordered
-from eventloom.plans.chain import apply_operators, fit_operators
+from eventloom.plans.chain import apply_operators, fit_operators, number_operators
 from eventloom.plans.registry import build_postprocessors, build_preprocessors, build_tokenizer
 from eventloom.session import materialize
-from eventloom.sources.events import read_events
+from eventloom.sources.events import path_exists, read_events
 from eventloom.sources.sinks import write_mode, write_timelines, write_vocab
 
 REQUIRED = ("data", "save_path", "tokenization")
@@ -82,6 +83,38 @@ class TimelineRun:
         return self.train(rows).encode(rows)
 
 
+    def save(self, spark, path: str, mode: str = "errorifexists") -> None:
+        """What was learned, as tables: each operator's fit, and the vocabulary with its merges."""
+        for i, operator in enumerate(self.preprocessors):
+            if operator.fitted is not None:
+                operator.save_fit(f"{path}/operators/{i}", mode)
+        if isinstance(self.tokenizer, WordLevel):
+            self.tokenizer.vocab.write.mode(mode).parquet(f"{path}/vocab")
+            return
+        model = self.tokenizer.model
+        vocab_table(spark, model).write.mode(mode).parquet(f"{path}/vocab")
+        merges_table(spark, model).withColumn("n_first", F.lit(model.n_first)).write.mode(mode).parquet(f"{path}/merges")
+
+    @classmethod
+    def load(cls, spark, config: dict, path: str) -> "TimelineRun":
+        """A saved run under the configuration that it was made with, ready to encode other events."""
+        run = cls.from_config(config)
+        number_operators(run.preprocessors)
+        for i, operator in enumerate(run.preprocessors):
+            if path_exists(spark, f"{path}/operators/{i}"):
+                operator.load_fit(spark, f"{path}/operators/{i}")
+        vocab = spark.read.parquet(f"{path}/vocab")
+        if isinstance(run.tokenizer, WordLevel):
+            run.tokenizer.vocab = vocab
+            return run
+        # As many rows as the vocabulary has entries.
+        merges = spark.read.parquet(f"{path}/merges").orderBy("rank").collect()
+        ids = {row["str"]: row["token"] for row in vocab.collect()}
+        first = merges[0]["n_first"] if merges else len(ids)
+        run.tokenizer.model = Merges(ids, [(m["left"], m["right"], m["merged"]) for m in merges], first)
+        return run
+
+
 def train_part(df: DataFrame) -> DataFrame:
     return df.where(F.col("split") == "train") if "split" in df.columns else df
 
