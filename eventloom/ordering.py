@@ -164,7 +164,7 @@ def whole_groups(rows: Ordered, gathered: DataFrame, *arrays: str) -> DataFrame:
     others = [c for c in gathered.columns if c not in (*rows.keys, "chunk", *arrays)]
     parts = F.array_sort(F.collect_list(F.struct("chunk", *arrays))).alias("_parts")
     together = gathered.groupBy(*rows.keys).agg(parts, *[F.any_value(c, True).alias(c) for c in others])
-    ends = [F.flatten(F.transform("_parts", lambda p, name=name: p[name])).alias(name) for name in arrays]
+    ends = [F.flatten(F.col("_parts").getField(name)).alias(name) for name in arrays]
     return together.select(*rows.keys, F.lit(0).alias("chunk"), *others, *ends)
 
 

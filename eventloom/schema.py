@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,8 @@ EVENT_TYPES = {
     "unit": T.StringType(),
 }
 
+SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):/+"
+
 # Sorts before every real timestamp; stands for "no time".
 NO_TIME = -(2**63)
 
@@ -51,8 +55,11 @@ def _with_source_order(df: DataFrame) -> DataFrame:
     path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     if df.isStreaming:
         return df.withColumn("seq", F.shiftleft(F.pmod(F.xxhash64(path), F.lit(1 << 20)), 40) + row)
-    ranks = df.sparkSession.createDataFrame(list(enumerate(sorted(df.inputFiles()))), "_rank bigint, _file string")
-    placed = df.withColumns({"_file": path, "_row": row}).join(F.broadcast(ranks), "_file", "left")
+    # Paths are listed as ``file:///a`` and shown as ``file:/a``.
+    listed = sorted(re.sub(SCHEME, r"\1:/", name) for name in df.inputFiles())
+    ranks = df.sparkSession.createDataFrame(list(enumerate(listed)), "_rank bigint, _file string")
+    shown = F.regexp_replace(path, SCHEME, "$1:/")
+    placed = df.withColumns({"_file": shown, "_row": row}).join(F.broadcast(ranks), "_file", "left")
     # Every row's file is listed; a file that is not would have its rows fail here rather than tie.
     rank = F.when(F.col("_rank").isNull(), F.raise_error(F.concat(F.lit("unlisted file "), "_file")).cast("bigint")).otherwise(F.col("_rank"))
     return placed.withColumn("seq", F.shiftleft(rank, 40) + F.col("_row")).drop("_file", "_row", "_rank")
