@@ -9,7 +9,7 @@ Scoring asks first which n-grams occur in the documents at all (distinct within
 task before the shuffle), then gets the probability of each of those by joining the
 counts of every order, and cuts the answers into shards of bounded size. Documents
 meet one shard after another and add up what it knows, so no model of unbounded size
-is ever broadcast and no text is ever shuffled.
+is ever broadcast. Texts are shuffled once, to pick the trusted ones by id; scoring shuffles none.
 
 A document is rejected if its log perplexity lies above its language's threshold: a
 quantile of the trusted documents of that language, plus a margin for short texts,
