@@ -177,3 +177,47 @@ def redact(found: DataFrame, spans: str = "pii", text: str = "text") -> DataFram
     tail = F.substring(whole, F.element_at("_merged", -1)["end"] + 1, F.length(whole))
     clean = F.when(F.col("_merged").isNotNull(), F.concat(head, tail)).otherwise(F.col(text))
     return found.withColumn("_merged", merged).withColumn(text, clean).drop("_merged", spans)
+
+
+#: The stated base patterns, and the added one, as plain regular expressions for the SQL below (fixed values).
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
+}
+
+
+def oracle() -> str:
+    """The same in DuckDB SQL, from the plain patterns: places by running lengths of matches and of what stands between."""
+    branches = " UNION ALL ".join(
+        f"SELECT doc_id, text, '{kind}' AS kind, {i} AS ord, regexp_extract_all(text, '{rx}') AS found, string_split_regex(text, '{rx}') AS gaps FROM docs"
+        for i, (kind, rx) in enumerate(PLAIN.items())
+    )
+    near = " ".join(f"WHEN '{kind}' THEN regexp_matches(before, '(?i)\\b(?:{words})')" for kind, words in CONTEXT.items())
+    score = " ".join(f"WHEN '{kind}' THEN {value}" for kind, value in BASE_SCORE.items())
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in KINDS)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+hits AS ({branches}),
+each AS (SELECT doc_id, text, kind, ord, unnest(range(len(found))) AS k, unnest(found) AS v, unnest(gaps[:len(found)]) AS g FROM hits),
+placed AS (
+  SELECT *, CAST(sum(len(v) + len(g)) OVER (PARTITION BY doc_id, kind ORDER BY k) AS BIGINT) AS e, regexp_replace(v, '[^0-9]', '', 'g') AS d,
+    substr(replace(v, ' ', ''), 5) || substr(v, 1, 4) AS moved FROM each),
+checked AS (
+  SELECT *, e - len(v) AS s, CASE kind WHEN 'email' THEN true WHEN 'ip' THEN regexp_full_match(v, '(?:{_PART}\\.){{3}}{_PART}')
+    WHEN 'card' THEN len(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(len(d)), lambda i:
+      CAST(d[len(d) - i] AS INTEGER) * (1 + i % 2) - CASE WHEN CAST(d[len(d) - i] AS INTEGER) * (1 + i % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0
+    WHEN 'phone' THEN len(d) BETWEEN 8 AND 15
+    ELSE list_reduce(list_concat([0], list_transform(range(1, len(moved) + 1), lambda i:
+      CASE WHEN moved[i] BETWEEN '0' AND '9' THEN ascii(moved[i]) - 48 ELSE ascii(moved[i]) - 55 END)), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1
+    END AS ok FROM placed),
+span AS (
+  SELECT doc_id, kind, ord, s, kind || ':' || s || ':' || e AS place, substr(text, greatest(s - {CONTEXT_CHARS}, 0) + 1, s - greatest(s - {CONTEXT_CHARS}, 0)) AS before
+  FROM checked WHERE ok),
+found AS (
+  SELECT doc_id, {counts}, string_agg(place, ',' ORDER BY ord, s) AS spans, string_agg(place, ',' ORDER BY ord, s) FILTER (ord < {len(BASE_KINDS)}) AS base,
+    max(CASE kind {score} END + CASE WHEN CASE kind {near} END THEN {CONTEXT_SCORE} ELSE 0 END)::DOUBLE AS top_score FROM span GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in KINDS)}, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(top_score, 0.0) AS top_score FROM docs LEFT JOIN found USING (doc_id)"""

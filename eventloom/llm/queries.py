@@ -67,6 +67,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(read_table(spark, sf_dir, "documents")))
 
 
+ORACLES["op6_pii"] = pii.oracle()
+
+
 @query
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places, lengths and checksums of all documents' ids, read back from their files."""
