@@ -14,11 +14,13 @@ is ever broadcast. Texts are shuffled once, to pick the trusted ones by id; scor
 A document is rejected if its log perplexity lies above its language's threshold: a
 quantile of the trusted documents of that language, plus a margin for short texts,
 whose mean varies more. Thresholds come from a histogram with bins of fixed width over
-all trusted documents, so they do not depend on partitioning.
+all trusted documents, so they do not depend on partitioning. With ``held_out`` the trusted
+documents are scored without their own counts, as documents outside the labels are.
 
 Results by case: null and empty texts have no bytes, perplexity 1 and are kept; a
-language without trusted documents takes the threshold of all; without any trusted
-document nothing is rejected; an empty table gives no rows; repeated rows each give
+language without trusted documents takes the threshold of all, with ``held_out`` one of
+fewer than ``MIN_TRUSTED`` has no threshold and is kept whole (no language is one too);
+without any trusted document nothing is rejected; an empty table gives no rows; repeated rows each give
 their own row; extra columns are ignored.
 """
 
@@ -40,6 +42,8 @@ ORDER = 5
 QUANTILE = 0.995
 #: Added to the threshold for a text of n bytes: MARGIN / sqrt(n).
 MARGIN = 8.0
+#: Trusted documents a language needs to have a threshold of its own.
+MIN_TRUSTED = 20
 #: Width of the histogram bins of log perplexity.
 BIN = 0.001
 #: N-grams of a shard of answers at most.
@@ -59,14 +63,23 @@ def codes(raw: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
 
 
 def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """``code`` and ``n`` of all n-grams of the texts, added up within each slice before the shuffle."""
+    """``code`` and ``n`` of all n-grams of the texts, added up within each slice before the shuffle.
+
+    ``low`` and ``high`` are the least and greatest mark of the texts that hold it: equal if it is one text's own.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = pa.array(codes(*text_bytes(batch.column("text")), order)).value_counts()
-            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["code", "n"])
+            raw, bounds = text_bytes(batch.column("text"))
+            mark = np.repeat(batch.column("mark").to_numpy(), np.diff(bounds))
+            found = pa.table({"code": codes(raw, bounds, order), "mark": mark}).group_by("code").aggregate([("code", "count"), ("mark", "min"), ("mark", "max")])
+            found = found.select(["code", "code_count", "mark_min", "mark_max"]).rename_columns(["code", "n", "low", "high"])
+            yield from found.combine_chunks().to_batches()
 
-    return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    # Copies of a text have its mark. A short tells two texts apart but for one pair in 65,536.
+    marked = docs.select("text", F.shiftright(F.xxhash64("text"), 48).cast("short").alias("mark"))
+    marks = [F.min("low").alias("low"), F.max("high").alias("high")]
+    return marked.mapInArrow(count, "code long, n long, low short, high short").groupBy("code").agg(F.sum("n").alias("n"), *marks)
 
 
 def needed_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -111,26 +124,33 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 def model(trusted: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
     """Per length 1 to ``order``: n-grams (``code``, ``top``: discounted count) and contexts (``ctx``, ``total``, ``back``: discount mass).
 
+    ``gone`` is the count that a text which holds the n-gram is taken to bring itself: all if no other text holds
+    it, else one; ``top_q`` is ``top`` without it; ``ctx_own`` says that no other text holds the context.
+
     The longest n-grams have their counts, shorter ones the number of different bytes that precede them.
     """
     tables = []
     counts = write_once(count_ngrams(trusted, order), "ngrams")
     for length in range(order, 0, -1):
         d1, d2, d3 = _discounts(counts)
-        cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        grams = counts.select("code", (F.col("n") - cut).alias("top"))
+        less = lambda n: F.when(n < 1, 0.0).otherwise(n - F.when(n == 1, d1).when(n == 2, d2).otherwise(d3))  # noqa: B023, E731
+        gone = F.when(F.col("low") == F.col("high"), F.col("n")).otherwise(1)
+        grams = counts.select("code", less(F.col("n")).alias("top"), gone.alias("gone"), less(F.col("n") - gone).alias("top_q"))
         sums = [F.sum("n").alias("total")] + [F.sum(t.cast("long")).alias(f"k{k}") for k, t in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))]
-        totals = counts.groupBy(_context(F.col("code")).alias("ctx")).agg(*sums)
-        contexts = totals.select("ctx", "total", (F.lit(d1) * F.col("k1") + F.lit(d2) * F.col("k2") + F.lit(d3) * F.col("k3")).alias("back"))
+        totals = counts.groupBy(_context(F.col("code")).alias("ctx")).agg(*sums, (F.min("low") == F.max("high")).alias("ctx_own"))
+        contexts = totals.select("ctx", "total", "ctx_own", (F.lit(d1) * F.col("k1") + F.lit(d2) * F.col("k2") + F.lit(d3) * F.col("k3")).alias("back"))
         tables.append((grams, write_once(contexts, "contexts")))
         if length > 1:
-            shorter = counts.groupBy(_shorter(F.col("code"), length).alias("code")).agg(F.count("*").alias("n"))
+            shorter = counts.groupBy(_shorter(F.col("code"), length).alias("code")).agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
             counts = write_once(shorter, "ngrams")
     return tables[::-1]
 
 
 def probabilities(needed: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """``code`` and ``logp`` of every needed n-gram: joins with the counts of every order, shortest first."""
+    """``code`` and ``logp`` of every needed n-gram: joins with the counts of every order, shortest first.
+
+    ``logq`` is the same for a trusted text that holds the n-gram, its own counts left out.
+    """
     order = len(tables)
     codes_by_length = [write_once(needed, "needed")]
     for length in range(order, 1, -1):
@@ -141,16 +161,20 @@ def probabilities(needed: DataFrame, tables: list[tuple[DataFrame, DataFrame]])
         asked = codes_by_length[order - length].withColumn("ctx", _context(F.col("code")))
         found = asked.join(grams, "code", "left").join(contexts, "ctx", "left")
         if p is None:
-            lower = F.lit(1 / 256)
+            lower = lower_q = F.lit(1 / 256)
         else:
-            found = found.withColumn("below", _shorter(F.col("code"), length)).join(p.select(F.col("code").alias("below"), F.col("p").alias("lower")), "below")
-            lower = F.col("lower")
+            found = found.withColumn("below", _shorter(F.col("code"), length)).join(p.select(F.col("code").alias("below"), F.col("p").alias("lower"), F.col("q").alias("lower_q")), "below")
+            lower, lower_q = F.col("lower"), F.col("lower_q")
         value = F.when(F.col("total").isNull(), lower).otherwise((F.coalesce("top", F.lit(0.0)) + F.col("back") * lower) / F.col("total"))
-        p = write_once(found.select("code", value.alias("p")), "ngram-p")
-    return p.select("code", F.log("p").alias("logp"))
+        # The discount mass changes by what the n-gram's own discount does.
+        without = (F.col("top_q") + (F.col("back") + F.col("top") - F.col("top_q") - F.col("gone")) * lower_q) / (F.col("total") - F.col("gone"))
+        unknown = F.col("gone").isNull() | F.col("ctx_own") | (F.col("total") <= F.col("gone"))
+        held_out = F.when(unknown, lower_q).otherwise(without)
+        p = write_once(found.select("code", value.alias("p"), held_out.alias("q")), "ngram-p")
+    return p.select("code", F.log("p").alias("logp"), F.log("q").alias("logq"))
 
 
-_SCORED = "_row long, doc_id long, lang string, n_bytes long, total double"
+_SCORED = "_row long, doc_id long, lang string, n_bytes long, total double, held_out double"
 
 
 def scores(docs: DataFrame, logs: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -163,31 +187,30 @@ def scores(docs: DataFrame, logs: DataFrame, order: int = ORDER, shard_rows: int
     parts = write_once(logs.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int")), "ngram-shards") if shards > 1 else logs.withColumn("shard", F.lit(0))
     found = None
     for shard in range(shards):
-        table = parts.where(F.col("shard") == shard).select("code", "logp").toArrow()
-        known = spark.sparkContext.broadcast((table.column("code").to_numpy(), table.column("logp").to_numpy()))
+        table = parts.where(F.col("shard") == shard).select("code", "logp", "logq").toArrow()
+        known = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("code", "logp", "logq")))
 
         def add(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            keys, logp = known.value
-            keys, values = pa.array(keys), np.append(logp, 0.0)
+            keys, logp, logq = known.value
+            keys, values = pa.array(keys), [np.append(v, 0.0) for v in (logp, logq)]
             for batch in slices(batches):
                 raw, bounds = text_bytes(batch.column("text"))
                 at = pc.index_in(pa.array(codes(raw, bounds, order)), keys).fill_null(len(logp)).to_numpy()
-                each = values[at]
-                total = np.array([each[a:b].sum() for a, b in zip(bounds[:-1], bounds[1:])])
+                sums = [pa.array(np.array([each[a:b].sum() for a, b in zip(bounds[:-1], bounds[1:])])) for each in (v[at] for v in values)]
                 columns = [batch.column(c) for c in ("_row", "doc_id", "lang")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(total)], ["_row", "doc_id", "lang", "n_bytes", "total"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), *sums], ["_row", "doc_id", "lang", "n_bytes", "total", "held_out"])
 
         one = numbered.mapInArrow(add, _SCORED)
         found = one if found is None else found.union(one)
     if shards > 1:
         # Equal rows meet in one group: as many as it has parts, divided by the shards.
-        added = found.groupBy("_row", "doc_id", "lang", "n_bytes").agg(F.sum("total").alias("total"), (F.count("*") / shards).cast("int").alias("copies"))
-        found = added.withColumn("total", F.col("total") / F.col("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return found.select("doc_id", "lang", "n_bytes", "total")
+        added = found.groupBy("_row", "doc_id", "lang", "n_bytes").agg(F.sum("total").alias("total"), F.sum("held_out").alias("held_out"), (F.count("*") / shards).cast("int").alias("copies"))
+        found = added.withColumns({c: F.col(c) / F.col("copies") for c in ("total", "held_out")}).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return found.select("doc_id", "lang", "n_bytes", "total", "held_out")
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """``lang`` (null: all languages) and ``limit``: the bin below which the quantile of its trusted documents lies."""
+    """``lang`` (null: all languages), ``limit``: the bin below which the quantile of its trusted documents lies, and their number ``texts``."""
     trusted = scored.where("trusted and n_bytes > 0").select("lang", F.floor(F.col("log_perplexity") / BIN).alias("bin"))
     bins = trusted.groupBy("lang", "bin").count()
     every = bins.groupBy("bin").agg(F.sum("count").alias("count")).select(F.lit(None).cast("string").alias("lang"), "bin", "count")
@@ -196,13 +219,14 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     running = Window.partitionBy("lang").orderBy("bin")
     whole = Window.partitionBy("lang")
     ranked = both.withColumn("below", F.sum("count").over(running)).withColumn("all", F.sum("count").over(whole))
-    return ranked.where(F.col("below") >= F.col("all") * quantile).groupBy("lang").agg(((F.min("bin") + 1) * BIN).alias("limit"))
+    return ranked.where(F.col("below") >= F.col("all") * quantile).groupBy("lang").agg(((F.min("bin") + 1) * BIN).alias("limit"), F.max("all").alias("texts"))
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, held_out: bool = False) -> DataFrame:
     """``doc_id``, ``lang``, ``n_bytes``, ``perplexity``, ``limit``, ``keep``, one row per document.
 
     ``trusted_ids`` holds the ``doc_id`` of documents known to be good; all of their text trains the model.
+    ``held_out`` takes the thresholds from scores that leave each trusted document's own counts out.
     """
     ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), filled().alias("text"))
@@ -210,18 +234,22 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quanti
     tables = model(rows.join(ids.hint("merge"), "doc_id", "left_semi"), order)
     logs = probabilities(needed_ngrams(rows, order), tables)
     scored = scores(rows, logs, order).join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    mean = F.when(F.col("n_bytes") > 0, -F.col("total") / F.col("n_bytes")).otherwise(0.0)
-    scored = write_once(scored.withColumn("log_perplexity", mean), "scored")
+    mean = lambda c: F.when(F.col("n_bytes") > 0, -F.col(c) / F.col("n_bytes")).otherwise(0.0)
+    scored = write_once(scored.withColumns({"log_perplexity": mean("total"), "held_out": mean("held_out")}), "scored")
+    scored = scored.withColumn("_lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
+    if held_out:
+        limits = thresholds(scored.select("trusted", "n_bytes", F.col("_lang").alias("lang"), F.col("held_out").alias("log_perplexity")), quantile)
+        own = limits.where(F.col("lang").isNotNull() & (F.col("texts") >= MIN_TRUSTED)).select(F.col("lang").alias("_lang"), "limit")
+        return decide(scored, own, None, margin)
     limits = thresholds(scored, quantile)
-    own = limits.where("lang is not null")
+    own = limits.where("lang is not null").select(F.concat(F.lit("="), "lang").alias("_lang"), "limit")
     common = limits.where("lang is null").select(F.max("limit").alias("_common"))
-    return decide(scored, own, common, margin)
+    return decide(scored, own, common.first()["_common"], margin)
 
 
-def decide(scored: DataFrame, own: DataFrame, common: DataFrame, margin: float) -> DataFrame:
-    """Keep what lies at or below its limit; few rows of limits are joined by language."""
-    fallback = common.first()["_common"]
+def decide(scored: DataFrame, own: DataFrame, fallback: float | None, margin: float) -> DataFrame:
+    """Keep what lies at or below its limit, or has none; few rows of limits are joined by language."""
     limit = F.coalesce("limit", F.lit(fallback).cast("double")) + F.lit(margin) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
-    joined = scored.join(F.broadcast(own), "lang", "left").withColumn("limit", limit)
+    joined = scored.join(F.broadcast(own), "_lang", "left").withColumn("limit", limit)
     keep = (F.col("n_bytes") == 0) | F.coalesce(F.col("log_perplexity") <= F.col("limit"), F.lit(True))
     return joined.select("doc_id", "lang", "n_bytes", F.exp("log_perplexity").alias("perplexity"), "limit", keep.alias("keep"))

@@ -88,7 +88,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under a model of the trusted ones, and whether it is kept."""
     labels = read_table(spark, sf_dir, "labels")
-    return quality.classify(read_table(spark, sf_dir, "documents"), labels.where("quality = 1"))
+    return quality.classify(read_table(spark, sf_dir, "documents"), labels.where("quality = 1"), held_out=True)
 
 
 @query
