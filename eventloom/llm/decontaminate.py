@@ -13,7 +13,8 @@ through their lists for the bound: their greatest impact anywhere is added inste
 
 A retrieved item counts as leaked if enough words of its question and of its answer
 stand in order around the passage. The answer is the item's last sentence, or its last
-third if it has one sentence only.
+third if it has one sentence only. Where one of the two has fewer than ``SHORT_WORDS``
+words, so that an edit or two would decide alone, enough words of both together do.
 
 The index is cut into shards of bounded size; documents are scanned once per shard and
 never shuffled, and what is sent to executors is bounded by the shard.
@@ -46,6 +47,8 @@ MIN_ITEM_WORDS = 8
 THRESHOLD = 0.6
 #: Share of the words of question and answer that must stand in order.
 OVERLAP = 0.8
+#: Words of a question or answer that need not reach OVERLAP by itself.
+SHORT_WORDS = 8
 #: Share of an item's three-word phrases that must stand there too: common words alone can stand in any order.
 PHRASES = 0.5
 K1, B = 1.2, 0.75
@@ -223,6 +226,15 @@ def in_order(wanted: list[str], words: list[str]) -> float:
     return (len(wanted) - state.bit_count()) / len(wanted)
 
 
+def stands(question: list[str], answer: list[str], words: list[str], overlap: float) -> tuple[float, float] | None:
+    """Overlaps of question and answer if the item counts as standing in ``words``."""
+    q, a = in_order(question, words), in_order(answer, words)
+    short = min(len(question), len(answer)) < SHORT_WORDS
+    if not (q >= overlap and a >= overlap) and not (short and in_order(question + answer, words) >= overlap):
+        return None
+    return (q, a) if shared_phrases(question + answer, words) >= PHRASES else None
+
+
 def shared_phrases(wanted: list[str], words: list[str]) -> float:
     """Share of the three-word phrases of ``wanted`` that stand in ``words``."""
     phrases = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
@@ -279,9 +291,9 @@ def _search(shared, threshold: float, overlap: float):
                 row = int(text[p])
                 low, high = max(int(bounds[row]), int(start[p]) - reach), min(int(bounds[row + 1]), int(end[p]) + reach)
                 around = distinct.take(pa.array(at[low:high])).to_pylist()
-                q, a = in_order(question, around), in_order(answer, around)
-                if q >= overlap and a >= overlap and shared_phrases(question + answer, around) >= PHRASES:
-                    best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), (float(score), q, a))
+                found = stands(question, answer, around, overlap)
+                if found:
+                    best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), (float(score), *found))
             if best:
                 ids = batch.column("doc_id").take(pa.array([row for row, _ in best]))
                 columns = list(zip(*best.values()))
