@@ -15,7 +15,8 @@ A document is rejected if its log perplexity lies above its language's threshold
 quantile of the trusted documents of that language, plus a margin for short texts,
 whose mean varies more. Thresholds come from a histogram with bins of fixed width over
 all trusted documents, so they do not depend on partitioning. With ``held_out`` the trusted
-documents are scored without their own counts, as documents outside the labels are.
+documents are scored without their own counts, as documents outside the labels are, and
+the quantile is taken of the score less the margin, so that length is allowed for once.
 
 Results by case: null and empty texts have no bytes, perplexity 1 and are kept; a
 language without trusted documents takes the threshold of all, with ``held_out`` one of
@@ -238,7 +239,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quanti
     scored = write_once(scored.withColumns({"log_perplexity": mean("total"), "held_out": mean("held_out")}), "scored")
     scored = scored.withColumn("_lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
     if held_out:
-        limits = thresholds(scored.select("trusted", "n_bytes", F.col("_lang").alias("lang"), F.col("held_out").alias("log_perplexity")), quantile)
+        # Limits grow for short texts again, so the quantile is taken of what is left without that.
+        long_text = F.col("held_out") - F.lit(margin) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
+        limits = thresholds(scored.select("trusted", "n_bytes", F.col("_lang").alias("lang"), long_text.alias("log_perplexity")), quantile)
         own = limits.where(F.col("lang").isNotNull() & (F.col("texts") >= MIN_TRUSTED)).select(F.col("lang").alias("_lang"), "limit")
         return decide(scored, own, None, margin)
     limits = thresholds(scored, quantile)

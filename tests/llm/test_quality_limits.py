@@ -29,3 +29,14 @@ def test_clean_documents_outside_the_labels_stay(spark):
     assert sum(not keep[i] for i in [*range(60), *range(100, 160)]) <= 2
     assert all(keep[i] for i in [*range(200, 210), 300])
     assert not any(keep[400 + i] for i in range(5))
+
+
+def test_short_trusted_texts_do_not_loosen_the_limit(spark):
+    rng = random.Random(2)
+    de, other = vocabulary(rng, "abcdeghinrstu"), vocabulary(rng, "abcdeghinrstu")
+    mixed = [*de, *other[:100]]
+    rows = [(i, prose(rng, de, 150), "de") for i in range(80)] + [(100 + i, rng.choice(de).title() + ".", "de") for i in range(40)]
+    rows += [(200 + i, prose(rng, mixed, 400), "de") for i in range(10)]
+    keep = judged(spark, rows, [*range(60), *range(100, 140)])
+    assert sum(not keep[i] for i in [*range(80), *range(100, 140)]) <= 1
+    assert not any(keep[i] for i in range(200, 210))
