@@ -21,8 +21,8 @@ never shuffled, and what is sent to executors is bounded by the shard.
 
 Results by case: null and empty texts and items match nothing; items of fewer than
 ``MIN_ITEM_WORDS`` words cannot tell a leak and are left out; an empty table on either
-side gives no rows; repeated document or item rows give one row per pair of ids; other
-columns are ignored.
+side gives no rows; repeated document or item rows give one row per pair of ids, and items
+that share an id (null too) are each looked for; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,7 +131,8 @@ class Index:
 
     def __init__(self, rows: list) -> None:
         self.items = [r["item_id"] for r in rows]
-        self.texts = {r["item_id"]: (r["question"], r["answer"]) for r in rows}
+        #: Question and answer per unit: ids may be null or shared, so they are labels only.
+        self.texts = [(r["question"], r["answer"]) for r in rows]
         self.n_blocks = -(-len(rows) // BLOCK_UNITS)
         names = sorted({w for r in rows for w in r["words"]})
         number = {w: i for i, w in enumerate(names)}
@@ -286,7 +287,7 @@ def _search(shared, threshold: float, overlap: float):
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for p, unit, score in zip(*retrieve(index, terms, start, end, threshold)):
                 item = index.items[unit]
-                question, answer = index.texts[item]
+                question, answer = index.texts[unit]
                 reach = len(question) + len(answer)
                 row = int(text[p])
                 low, high = max(int(bounds[row]), int(start[p]) - reach), min(int(bounds[row + 1]), int(end[p]) + reach)

@@ -175,6 +175,11 @@ def probabilities(needed: DataFrame, tables: list[tuple[DataFrame, DataFrame]])
     return p.select("code", F.log("p").alias("logp"), F.log("q").alias("logq"))
 
 
+def row_hash() -> Column:
+    """What tells rows of one id, or of none, apart."""
+    return F.xxhash64(F.col("doc_id").cast("long"), filled())
+
+
 _SCORED = "_row long, doc_id long, lang string, n_bytes long, total double, held_out double"
 
 
@@ -182,7 +187,7 @@ def scores(docs: DataFrame, logs: DataFrame, order: int = ORDER, shard_rows: int
     """Log probability of every document: one pass per shard of answers, each adding up the n-grams it knows."""
     spark = docs.sparkSession
     logs = write_once(logs, "ngram-log")
-    numbered = docs.select(F.xxhash64("doc_id", "text").alias("_row"), "doc_id", "lang", "text")
+    numbered = docs.select(row_hash().alias("_row"), "doc_id", "lang", "text")
     shards = max(1, -(-logs.count() // shard_rows))
     # Salted hashing spreads n-grams evenly: a shard is within a few rows of its share.
     parts = write_once(logs.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int")), "ngram-shards") if shards > 1 else logs.withColumn("shard", F.lit(0))
@@ -207,7 +212,7 @@ def scores(docs: DataFrame, logs: DataFrame, order: int = ORDER, shard_rows: int
         # Equal rows meet in one group: as many as it has parts, divided by the shards.
         added = found.groupBy("_row", "doc_id", "lang", "n_bytes").agg(F.sum("total").alias("total"), F.sum("held_out").alias("held_out"), (F.count("*") / shards).cast("int").alias("copies"))
         found = added.withColumns({c: F.col(c) / F.col("copies") for c in ("total", "held_out")}).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return found.select("doc_id", "lang", "n_bytes", "total", "held_out")
+    return found.select("_row", "doc_id", "lang", "n_bytes", "total", "held_out")
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -223,18 +228,18 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return ranked.where(F.col("below") >= F.col("all") * quantile).groupBy("lang").agg(((F.min("bin") + 1) * BIN).alias("limit"), F.max("all").alias("texts"))
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, held_out: bool = False) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, held_out: bool = False, rows: bool = False) -> DataFrame:
     """``doc_id``, ``lang``, ``n_bytes``, ``perplexity``, ``limit``, ``keep``, one row per document.
 
     ``trusted_ids`` holds the ``doc_id`` of documents known to be good; all of their text trains the model.
-    ``held_out`` takes the thresholds from scores that leave each trusted document's own counts out.
+    ``held_out`` takes the thresholds from scores that leave each trusted document's own counts out. ``rows`` adds ``_row``, the ``row_hash`` of each row.
     """
     ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), filled().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), filled().alias("text"))
     # Labels grow with the documents, so they are never broadcast: one plan at every size.
-    tables = model(rows.join(ids.hint("merge"), "doc_id", "left_semi"), order)
-    logs = probabilities(needed_ngrams(rows, order), tables)
-    scored = scores(rows, logs, order).join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    tables = model(texts.join(ids.hint("merge"), "doc_id", "left_semi"), order)
+    logs = probabilities(needed_ngrams(texts, order), tables)
+    scored = scores(texts, logs, order).join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     mean = lambda c: F.when(F.col("n_bytes") > 0, -F.col(c) / F.col("n_bytes")).otherwise(0.0)
     scored = write_once(scored.withColumns({"log_perplexity": mean("total"), "held_out": mean("held_out")}), "scored")
     scored = scored.withColumn("_lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
@@ -243,16 +248,16 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quanti
         long_text = F.col("held_out") - F.lit(margin) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
         limits = thresholds(scored.select("trusted", "n_bytes", F.col("_lang").alias("lang"), long_text.alias("log_perplexity")), quantile)
         own = limits.where(F.col("lang").isNotNull() & (F.col("texts") >= MIN_TRUSTED)).select(F.col("lang").alias("_lang"), "limit")
-        return decide(scored, own, None, margin)
+        return decide(scored, own, None, margin, rows)
     limits = thresholds(scored, quantile)
     own = limits.where("lang is not null").select(F.concat(F.lit("="), "lang").alias("_lang"), "limit")
     common = limits.where("lang is null").select(F.max("limit").alias("_common"))
-    return decide(scored, own, common.first()["_common"], margin)
+    return decide(scored, own, common.first()["_common"], margin, rows)
 
 
-def decide(scored: DataFrame, own: DataFrame, fallback: float | None, margin: float) -> DataFrame:
+def decide(scored: DataFrame, own: DataFrame, fallback: float | None, margin: float, rows: bool = False) -> DataFrame:
     """Keep what lies at or below its limit, or has none; few rows of limits are joined by language."""
     limit = F.coalesce("limit", F.lit(fallback).cast("double")) + F.lit(margin) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
     joined = scored.join(F.broadcast(own), "_lang", "left").withColumn("limit", limit)
     keep = (F.col("n_bytes") == 0) | F.coalesce(F.col("log_perplexity") <= F.col("limit"), F.lit(True))
-    return joined.select("doc_id", "lang", "n_bytes", F.exp("log_perplexity").alias("perplexity"), "limit", keep.alias("keep"))
+    return joined.select("doc_id", "lang", "n_bytes", F.exp("log_perplexity").alias("perplexity"), "limit", keep.alias("keep"), *["_row"] * rows)

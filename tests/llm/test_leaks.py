@@ -12,6 +12,13 @@ def leaked(spark, docs, items):
     return {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b).collect()}
 
 
+def test_items_that_share_an_id_are_each_found(spark):
+    other = "".join(reversed(QUESTION.rstrip("."))) + "."
+    items = [(None, f"{QUESTION} Er und sie und es und wir und ihr."), (None, f"{other} Omega psi chi phi upsilon tau sigma rho pi."), (None, CLEAN)]
+    docs = [(1, items[0][1]), (2, items[1][1]), (3, items[2][1]), (4, "nothing of it")]
+    assert leaked(spark, docs, items) == {(1, None), (2, None), (3, None)}
+
+
 def test_edited_short_answers_are_found(spark):
     items = [(1, f"{QUESTION} Er."), (2, f"{QUESTION.replace('alpha', 'gamma').replace('beta', 'delta')} Omega psi chi phi."), (3, CLEAN)]
     two = items[1][1]
