@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from eventloom.llm import decontaminate, language, licenses, packing, pii, quality, simhash, token_counts, tokenids, vectors
+from eventloom.llm import decontaminate, language, licenses, packing, pii, quality, resample, simhash, token_counts, tokenids, vectors
 from eventloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_licenses"] = licenses.oracle()
+
+
+@query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document for the test collection, and its rank in the sample."""
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_resampling"] = resample.oracle()
