@@ -52,13 +52,16 @@ class Ordered:
         return replace(self, df=df)
 
 
-def order_groups(df: DataFrame, keys: list[str], order: list[str], sized_by: DataFrame | None = None) -> Ordered:
+def order_groups(
+    df: DataFrame, keys: list[str], order: list[str], sized_by: DataFrame | None = None, limit: int | None = None
+) -> Ordered:
     """Attach ``chunk``.
 
     ``sized_by`` may name a cheaper table with about the same rows per key, such
     as the source a derived table was made from: only its key columns are read.
+    ``limit`` (by default the session's): rows of a key that stay in one piece.
     """
-    limit = group_limit(df)
+    limit = limit or group_limit(df)
     sizes = (sized_by if sized_by is not None else df).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > limit)
     found = large.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows")).first()
