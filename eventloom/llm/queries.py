@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from eventloom.llm import decontaminate, language, licenses, packing, pii, quality, resample, simhash, token_counts, tokenids, vectors
+from eventloom.llm import decontaminate, language, licenses, packing, pii, quality, repair, resample, simhash, token_counts, tokenids, vectors
 from eventloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,12 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_resampling"] = resample.oracle()
+
+
+@query
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation after planted damage, and the cheapest repair."""
+    return repair.damaged_and_repaired(read_table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_repair"] = repair.oracle()
