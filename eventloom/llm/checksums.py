@@ -22,5 +22,5 @@ def crc32_sql(text: str, table: str) -> str:
 def base32_sql(hexadecimal: str) -> str:
     """Upper-case base32 of 40 hexadecimal digits: five of them are four letters."""
     number = "list_reduce(range(5), lambda n, k: n * 16 + strpos('0123456789abcdef', substr({0}, 5 * g + k + 1, 1)) - 1, 0::BIGINT)".format(hexadecimal)
-    letter = f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (({number}) >> (15 - 5 * j)) & 31 AS BIGINT), 1)"
+    letter = f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((({number}) >> (15 - 5 * j)) & 31) AS BIGINT), 1)"
     return f"array_to_string(flatten(list_transform(range(8), lambda g: list_transform(range(4), lambda j: {letter}))), '')"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from eventloom.llm import decontaminate, language, licenses, packing, pii, quality, repair, resample, simhash, token_counts, tokenids, vectors
+from eventloom.llm import archive, decontaminate, language, licenses, packing, pii, quality, repair, resample, simhash, token_counts, tokenids, vectors
 from eventloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,15 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_resampling"] = resample.oracle()
 
 
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record type, size and digest of every page, read back from the archive."""
+    return archive.archived(read_table(spark, sf_dir, "pages"))
+
+
+ORACLES["op12_warc"] = archive.oracle()
+
+
 @query
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every conversation after planted damage, and the cheapest repair."""
