@@ -6,13 +6,17 @@ a vote, and margins break ties. Features are relative frequencies of hashed byte
 trigrams of the whole lower-cased text, so a text's margin is the mean weight of its
 n-grams: one table lookup per n-gram and machine.
 
-The machines are trained on a bounded sample: the ``SAMPLE_ROWS`` training texts of
-each language with the least hashes of their ids. Everything else sees all texts.
+The machines are trained on a bounded sample: of the distinct pairs of id and text of
+each language the ``SAMPLE_ROWS`` with the least hashes, one row each, however often a row
+is repeated or an id shared. The driver holds their non-zero features. Everything else sees
+all texts.
 
 Results by case: a null text or one without a letter gives ``und`` with score 0;
 without training texts every text gives ``und``; with one language all texts with
-letters get it; an empty table gives no rows; repeated rows each give their own
-row; columns of the input other than id, text and language are ignored.
+letters get it; an empty table gives no rows; repeated rows and rows of null or shared
+ids each give their own row and may all train; equal votes go by margin, then to the
+language first in the alphabet; a very long text is one slice and one row of features;
+columns of the input other than id, text and language are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import filled, slices, text_bytes
+from eventloom.llm.common import filled, segment_sums, slices, text_bytes
 
 #: Training texts per language at most (documented bound of the sample).
 SAMPLE_ROWS = 800
@@ -88,29 +92,46 @@ def frequencies(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights of a linear machine (hinge loss, averaged sub-gradient steps in a fixed order). ``y`` is +1 or -1."""
+class Rows:
+    """Sparse rows of features: the bins of row i and their values lie from ``bounds[i]`` to ``bounds[i + 1]``."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.bounds = np.concatenate([[0], np.cumsum([len(at) for at, _ in rows])]).astype(np.int64)
+        self.bins = np.concatenate([np.zeros(0, np.int32), *[at for at, _ in rows]]).astype(np.int32)
+        self.values = np.concatenate([np.zeros(0, np.float32), *[v for _, v in rows]]).astype(np.float32)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bins and values of some rows end to end, and the bounds between them."""
+        sizes = self.bounds[rows + 1] - self.bounds[rows]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.bounds[rows] - ends[:-1], sizes) + np.arange(ends[-1])
+        return self.bins[at], self.values[at], ends
+
+
+def train_svm(x: Rows, rows: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights of a linear machine over some rows (hinge loss, averaged sub-gradient steps in a fixed order). ``y`` is +1 or -1."""
     rng = np.random.default_rng(7)
     share = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum())) * len(y) / 2
-    weights, total, regular = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 1e-4
+    weights, total, regular = np.zeros(BINS), np.zeros(BINS), 1e-4
     step = 0
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
             step += 1
             rate = 1 / (regular * (step + 1000))
-            wrong = y[part] * (x[part] @ weights) < 1
+            bins, values, ends = x.take(rows[part])
+            wrong = y[part] * segment_sums(values * weights[bins], ends) < 1
             weights *= 1 - rate * regular
             if wrong.any():
-                pull = (y[part] * share[part])[wrong] / len(part)
-                weights += rate * (pull.astype(np.float32) @ x[part][wrong])
+                pull = np.where(wrong, y[part] * share[part], 0.0) / len(part)
+                weights += rate * np.bincount(bins, np.repeat(pull, np.diff(ends)) * values, minlength=BINS)
             total += weights
-    return total / max(1, step)
+    return (total / max(1, step)).astype(np.float32)
 
 
 class Model:
     """Machines of the families (one against the rest) and of language pairs within a family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]) -> None:
+    def __init__(self, x: Rows, langs: list[str]) -> None:
         names = np.array(langs, object)
         self.langs = sorted(set(langs))
         self.families = sorted({family(lang) for lang in self.langs})
@@ -120,14 +141,14 @@ class Model:
         if len(self.families) > 1:
             for name in self.families:
                 self.family_row[name] = len(rows)
-                rows.append(train_svm(x, np.where(groups == name, 1.0, -1.0)))
+                rows.append(train_svm(x, np.arange(len(langs)), np.where(groups == name, 1.0, -1.0)))
         self.pair_row: dict[tuple[str, str], int] = {}
         for i, first in enumerate(self.langs):
             for second in self.langs[i + 1 :]:
                 if family(first) == family(second):
-                    either = (names == first) | (names == second)
+                    either = np.flatnonzero((names == first) | (names == second))
                     self.pair_row[first, second] = len(rows)
-                    rows.append(train_svm(x[either], np.where(names[either] == first, 1.0, -1.0)))
+                    rows.append(train_svm(x, either, np.where(names[either] == first, 1.0, -1.0)))
         self.weights = np.stack(rows) if rows else np.zeros((0, BINS), np.float32)
         self.weights[:, 0] = 0
 
@@ -177,22 +198,20 @@ class Model:
 def fit(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Train on at most ``sample_rows`` texts of each language: columns ``doc_id``, ``text``, ``lang``."""
     usable = training.where("lang is not null and text is not null and trim(lang) <> ''").where(F.col("text").rlike(r"\p{L}"))
-    # Ids with the least hashes: counted first on the ids alone, so that no text is sorted.
-    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    keys = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
-    salted = Window.partitionBy("lang", F.pmod("_h", F.lit(64))).orderBy("_h", "doc_id")
-    few = keys.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= sample_rows)
-    chosen = few.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample_rows).select("lang", "doc_id")
-    rows = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).select("doc_id", "lang", "text")
-    found = rows.mapInArrow(_features, "doc_id long, lang string, bins binary").collect()
+    usable = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    # The least hashes are found on hashes alone, so that no text is sorted; each stands for one row.
+    hashes = usable.select("lang", "h").distinct()
+    salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
+    few = hashes.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= sample_rows)
+    chosen = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("_r") <= sample_rows)
+    # Bounded by languages times ``sample_rows``; repeated rows are one before anything is shuffled whole.
+    rows = usable.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.any_value("text").alias("text"))
+    found = rows.mapInArrow(_features, "lang string, h long, bins binary").collect()
     if not found:
         return None
-    found.sort(key=lambda r: (r["lang"], r["doc_id"]))
-    x = np.zeros((len(found), BINS), np.float32)
-    for i, row in enumerate(found):
-        pairs = np.frombuffer(row["bins"], np.float32).reshape(2, -1)
-        x[i, pairs[0].astype(np.int64)] = pairs[1]
-    return Model(x, [r["lang"] for r in found])
+    found.sort(key=lambda r: (r["lang"], r["h"]))
+    pairs = [np.frombuffer(row["bins"], np.float32).reshape(2, -1) for row in found]
+    return Model(Rows([(at.astype(np.int32), values) for at, values in pairs]), [r["lang"] for r in found])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +221,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dense = frequencies(batch.column("text").slice(i, 1))[0]
             at = np.flatnonzero(dense)
             rows.append(np.stack([at.astype(np.float32), dense[at]]).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(rows, pa.binary())], ["doc_id", "lang", "bins"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(rows, pa.binary())], ["lang", "h", "bins"])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -102,6 +102,27 @@ def test_language_on_documents_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_language_sample_is_bounded_whatever_the_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(7, f"the and of with number {i}", "en") for i in range(1500)] + [(7, "the and of", "en")] * 500
+    rows += [(None, f"les des une avec {chr(97 + i % 26)}{i}", "fr") for i in range(300)] + [(9, "der und nicht", "de")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    seen = []
+    model = language.fit(train, sample_rows=50)
+    held = language.Model.__init__
+    try:
+        language.Model.__init__ = lambda self, x, langs: (seen.append((len(x.bounds) - 1, langs)), held(self, x, langs))[1]
+        language.fit(train, sample_rows=50)
+        language.fit(train.withColumn("doc_id", F.lit(None).cast("long")), sample_rows=50)
+    finally:
+        language.Model.__init__ = held
+    for n, langs in seen:
+        assert n == len(langs) == 101 and langs.count("en") == langs.count("fr") == 50 and langs.count("de") == 1
+    asked = spark.createDataFrame([(None, "the and of with them"), (None, "les des une avec"), (7, "und der nicht")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language.identify(asked, model).collect()] == ["en", "fr", "de"]
+
+
 def test_language_of_odd_texts(spark):
     rows = [(1, None), (2, ""), (3, "12 !? \n"), (4, "a"), (5, "é" * 10000), (6, "the and of " * 5), (6, "the and of " * 5)]
     df = spark.createDataFrame([(i, t, "xx") for i, t in rows], "doc_id long, text string, lang_pred string")
