@@ -13,18 +13,21 @@ plane after plane go through carry-save counters, and words all of whose members
 have passed the radius are abandoned.
 
 Results by case: null and empty texts have no words and the fingerprint zero, which
-is linked like any other; an empty table gives no rows; repeated rows each give
-their own row; other columns are ignored.
+is linked like any other; a null id is less than none in a component of other ids and stays
+null in one of null ids only; an empty table gives no rows; repeated rows and rows of shared
+ids each give their own row; a very long text is a slice of its own; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.blocks import by_block, deal, lowest_labels
@@ -63,8 +66,8 @@ def bit_majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", carry: list[Column] | None = None) -> DataFrame:
+    """``doc_id``, the columns of ``carry`` and ``fp``, the fingerprint as a signed long."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -72,10 +75,11 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
             hashes = np.fromiter((h for x in lists for h in x), np.uint64, int(bounds[-1]))
             fps = bit_majority(hashes, bounds).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], [*batch.schema.names[:-1], "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(text).alias("text"))
-    return rows.mapInArrow(make, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(carry or []), filled(text).alias("text"))
+    kinds = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes[:-1])
+    return rows.mapInArrow(make, f"{kinds}, fp long")
 
 
 def close_pairs(rows: np.ndarray, columns: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -126,22 +130,65 @@ def _compare(low: pa.Table, high: pa.Table | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes[moved].view(np.int64)), pa.array(nodes[labels[moved]].view(np.int64))], ["a", "b"])
 
 
+def key_pieces(n_classes: int, radius: int = RADIUS) -> tuple[int, list[list[tuple[int, int]]]]:
+    """Bits of the keys, and per choice of pieces their (lowest bit, width): as few pieces as keep groups small."""
+    wanted = max(1, math.ceil(math.log2(max(2, n_classes / GROUP_ROWS))))
+    for k in range(1, 5):
+        edges = [64 * i // (radius + k) for i in range(radius + k + 1)]
+        pieces = [(low, high - low) for low, high in zip(edges, edges[1:])]
+        choices = [list(c) for c in itertools.combinations(pieces, k)]
+        most = min(sum(width for _, width in c) for c in choices)
+        if most >= wanted:
+            break
+    return min(wanted, most), choices
+
+
+def _key(choice: list[tuple[int, int]], bits: int, number: int):
+    """The leading ``bits`` of the chosen pieces one after another, under the number of the choice."""
+    joined, width = F.lit(0).cast("long"), 0
+    for low, size in choice:
+        piece = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
+        joined, width = F.shiftleft(joined, size).bitwiseOR(piece), width + size
+    return F.shiftrightunsigned(joined, width - bits) + F.lit(number << 48).cast("long")
+
+
 def links(classes: DataFrame, n_classes: int, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) of a forest that spans the links between distinct fingerprints ``fp``."""
-    pieces = radius + 1
-    width = 64 // pieces
-    bits = int(np.clip(np.ceil(np.log2(max(2, n_classes / GROUP_ROWS))), 1, width))
-    keys = [F.shiftrightunsigned("fp", p * width + width - bits).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(p << width) for p in range(pieces)]
+    bits, choices = key_pieces(n_classes, radius)
+    keys = [_key(choice, bits, number) for number, choice in enumerate(choices)]
     members = classes.select("fp", F.explode(F.array(*keys)).alias("key"))
     return by_block(deal(members, "key", "fp"), "key", _compare, "a long, b long")
 
 
+def _rooted(classes: DataFrame, radius: int) -> DataFrame:
+    """Classes ``fp`` with the ``root`` of their component."""
+    roots = components(links(classes, classes.count(), radius))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+#: What tells the rows of a table apart: is the id null, the id, the hash of the text.
+ROW = ["no_id", "id", "text_hash"]
+
+
+def row_key(text: str = "text") -> list[Column]:
+    """The columns ``ROW``, none of them ever null."""
+    doc_id = F.col("doc_id").cast("long")
+    return [doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(filled(text)).alias("text_hash")]
+
+
+def first_rows(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Per group of near duplicates the ``ROW`` key of the row with the least id (null ids last)."""
+    prints = write_once(fingerprints(docs, carry=row_key()), "fingerprints")
+    classes = write_once(prints.groupBy("fp").agg(F.min(F.struct(*ROW)).alias("first")), "classes")
+    least = _rooted(classes, radius).groupBy("root").agg(F.min("first").alias("first"))
+    return least.select(*[F.col("first")[c].alias(c) for c in ROW])
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``: the least document id reachable over links, one row per document."""
     prints = write_once(fingerprints(docs), "fingerprints")
     classes = write_once(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes, classes.count(), radius))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(classes, radius)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = write_once(rooted.join(least, "root").select("fp", "component_id"), "class-components")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")

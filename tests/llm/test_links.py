@@ -126,3 +126,46 @@ def test_vector_links_equal_all_pairs(spark, monkeypatch, chunk):
 def test_vectors_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("n_classes", [10, 10**6, 10**8, 10**11, 10**15])
+def test_some_choice_of_pieces_agrees_within_the_radius(n_classes):
+    bits, choices = simhash.key_pieces(n_classes)
+    assert bits <= min(sum(width for _, width in c) for c in choices)
+    assert n_classes / 2**bits <= simhash.GROUP_ROWS or bits >= 36
+    rng = random.Random(n_classes)
+    for _ in range(300):
+        differ = sum(1 << b for b in rng.sample(range(64), simhash.RADIUS))
+        assert any(all((differ >> low) & ((1 << width) - 1) == 0 for low, width in c) for c in choices)
+
+
+def test_links_are_the_same_with_keys_of_several_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    prints = [rng.getrandbits(64) for _ in range(120)]
+    for p in list(prints):
+        for _ in range(3):
+            prints.append(p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))))
+    signed = [p - (1 << 64) if p >> 63 else p for p in set(prints)]
+    classes = spark.createDataFrame([(p,) for p in signed], "fp long")
+
+    def groups():
+        found = {}
+        for r in components(simhash.links(classes, len(signed))).collect():
+            found.setdefault(r["root"], set()).add(r["node"])
+        return sorted(map(sorted, found.values()))
+
+    few = groups()
+    monkeypatch.setattr(simhash, "GROUP_ROWS", len(signed) / 2**24)
+    assert len(simhash.key_pieces(len(signed))[1]) == 10
+    assert groups() == few
+    monkeypatch.setattr(simhash, "GROUP_ROWS", len(signed) / 2**30)
+    assert len(simhash.key_pieces(len(signed))[1]) == 20
+    assert groups() == few
+
+
+def test_first_rows_of_null_and_shared_ids(spark):
+    rows = [(None, "a b c d"), (None, "a b c d"), (5, "a b c d"), (5, "other words here now"), (None, "quite another text"), (9, "A  B c\nd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {tuple(r)[:2] for r in simhash.first_rows(df).collect()}
+    assert first == {(False, 5), (True, 0)} and simhash.first_rows(df).count() == 3
+    assert simhash.first_rows(df.where("false")).count() == 0
