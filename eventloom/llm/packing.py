@@ -3,16 +3,20 @@
 1. Every document is encoded and cut into pieces; pieces are a written table.
 2. The counts of the lengths, at most ``capacity`` numbers, describe the whole
    problem. ``plan`` solves it on the driver in work that does not grow with the
-   corpus: large lengths are rounded up within groups of equal cardinality, a few
-   rounded sizes are filled into configurations, the real lengths take the places
-   of the rounded ones, and small pieces go to the fullest sequence with room.
+   corpus: large lengths are rounded up within ``GROUPS`` groups of about equal
+   cardinality, the few rounded sizes are filled into configurations, real lengths
+   take the places of the rounded ones, the last place of a sequence going to the
+   longest piece that its real room holds, and small pieces go to the fullest
+   sequence with room.
 3. A plan is a list of intervals: pieces of one length with ranks ``r .. r + n``
    go to sequences ``s .. s + n`` at one offset. Pieces are ranked within their
    length in salted groups, so that a length which a third of the corpus shares
    is no single task, and look their place up by binary search.
 
 Results by case: null and empty texts are a piece of the end id alone; an empty
-table gives no rows; repeated rows are packed each; extra columns are ignored.
+table gives no rows; repeated rows and rows of null or shared ids are packed each;
+pieces of one length take their places in the order of the written table, so equal
+ones are interchangeable; a very long text is many pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from eventloom.llm.common import filled, slices, write_once
 from eventloom.llm.encode import encoder, with_end
 
 CAPACITY = 2048
-#: Groups of equal cardinality among the large lengths; fewer leave more room unused after rounding.
-GROUPS = 2048
+#: Groups of about equal cardinality among the large lengths, each one size for the configurations.
+GROUPS = 192
 #: Lengths above this share of the capacity are large.
 LARGE = 1 / 8
 #: Pieces ranked in one group at most, about.
@@ -39,10 +43,12 @@ RANK_ROWS = 200_000
 SALTS = 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
+#: Tells the pieces of a written table apart, whatever their ids.
+ROW = "row"
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
-    """Pieces of at most ``capacity`` tokens: place in the document and ids, little-endian unsigned 32-bit. A written table."""
+    """Pieces of at most ``capacity`` tokens: place in the document, ids (little-endian unsigned 32-bit) and ``row``. A written table."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
@@ -64,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(text).alias("text"))
-    return write_once(rows.mapInArrow(cut, _PIECES), "pieces")
+    return write_once(rows.mapInArrow(cut, _PIECES).withColumn(ROW, F.monotonically_increasing_id()), "pieces")
 
 
 def length_counts(cut: DataFrame, capacity: int = CAPACITY) -> np.ndarray:
@@ -99,25 +105,48 @@ class _Room:
         return run
 
 
-def _group(counts: np.ndarray, large: int, groups: int) -> list[tuple[int, list[list[int]]]]:
-    """Linear grouping: (rounded length, segments [length, first rank, count]), longest first."""
+def _groups(counts: np.ndarray, large: int, groups: int) -> list[tuple[int, int]]:
+    """Linear grouping: (shortest, longest) length of each group, longest group first; a length is in one group whole."""
     total = int(counts[large:].sum())
     each = max(1, -(-total // groups))
-    found: list[tuple[int, list[list[int]]]] = []
-    room = 0
+    found: list[tuple[int, int]] = []
+    held, longest = 0, 0
     for length in range(len(counts) - 1, large - 1, -1):
-        rank, left = 0, int(counts[length])
-        while left:
-            if not room:
-                room = each
-                if not found or found[-1][0] != length:
-                    found.append((length, []))
-            n = min(left, room)
-            found[-1][1].append([length, rank, n])
-            rank, left, room = rank + n, left - n, room - n
+        if not counts[length]:
+            continue
+        longest = longest or length
+        held += int(counts[length])
+        if held >= each:
+            found.append((length, longest))
+            held, longest = 0, 0
+    if held:
+        found.append((large, longest))
     return found
 
 
+class _Large:
+    """Large pieces not placed yet: counts and next rank of every length."""
+
+    def __init__(self, counts: np.ndarray, large: int) -> None:
+        self.left = [int(n) if length >= large else 0 for length, n in enumerate(counts)]
+        self.rank = [0] * len(counts)
+        self.mask = sum(1 << length for length, n in enumerate(self.left) if n)
+
+    def longest(self, at_most: int, at_least: int = 0) -> int:
+        """The longest length left in a range, or -1."""
+        found = ((self.mask & ((1 << (at_most + 1)) - 1)) >> at_least).bit_length() - 1
+        return -1 if found < 0 else found + at_least
+
+    def take(self, length: int, n: int) -> int:
+        """Take ``n`` pieces; the rank of the first."""
+        first = self.rank[length]
+        self.rank[length] += n
+        self.left[length] -= n
+        if not self.left[length]:
+            self.mask &= ~(1 << length)
+        return first
+
+
 def _configuration(sizes: list[int], left: list[int], capacity: int) -> list[int]:
     """Copies of each size that fill a sequence best, the largest size left being one of them."""
     first = next(i for i, n in enumerate(left) if n)
@@ -147,46 +176,43 @@ def _configuration(sizes: list[int], left: list[int], capacity: int) -> list[int
 def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, large_share: float = LARGE) -> dict[str, np.ndarray]:
     """Intervals of the packing: length, first rank, count, first sequence, offset; and the number of sequences."""
     large = max(1, int(capacity * large_share) + 1)
-    grouped = _group(counts, large, groups)
-    sizes = [size for size, _ in grouped]
-    segments = [list(map(list, parts)) for _, parts in grouped]
-    left = [sum(part[2] for part in parts) for parts in segments]
+    ranges = _groups(counts, large, groups)
+    pieces_left = _Large(counts, large)
     rooms = _Room(capacity)
 
     def substitute(chosen: list[int], times: int) -> None:
-        """Fill ``times`` sequences of a configuration with real lengths, in runs of equal ones."""
+        """Fill about ``times`` sequences of a configuration with real lengths, in runs of equal ones."""
         slots = [i for i, n in enumerate(chosen) for _ in range(n)]
-        # A size used n times takes n consecutive stretches of ``times`` pieces each.
-        stretches: list[list[list[int]]] = []
-        for i in slots:
-            need, parts = times, []
-            while need:
-                length, rank, n = segments[i][0]
-                used = min(n, need)
-                parts.append([length, rank, used])
-                need -= used
-                if used == n:
-                    segments[i].pop(0)
-                else:
-                    segments[i][0] = [length, rank + used, n - used]
-            left[i] -= times
-            stretches.append(parts)
-        done = 0
-        while done < times:
-            n = min(parts[0][2] for parts in stretches)
+        while times > 0:
+            lengths: list[int] = []
+            room = capacity
+            for place, i in enumerate(slots):
+                # The last place takes the longest piece that the real room holds, of whatever group.
+                low, high = (large, room) if place and place == len(slots) - 1 else (ranges[i][0], min(ranges[i][1], room))
+                length = pieces_left.longest(high, low)
+                while length >= 0 and pieces_left.left[length] <= lengths.count(length):
+                    length = pieces_left.longest(length - 1, low)
+                if length < 0:
+                    break
+                lengths.append(length)
+                room -= length
+            if not lengths:
+                return
+            n = min(times, *[pieces_left.left[length] // lengths.count(length) for length in lengths])
             items, offset = [], 0
-            for parts in stretches:
-                length, rank, have = parts[0]
-                items.append((length, rank, offset))
+            for length in lengths:
+                items.append((length, pieces_left.take(length, n), offset))
                 offset += length
-                if have == n:
-                    parts.pop(0)
-                else:
-                    parts[0] = [length, rank + n, have - n]
             rooms.put(capacity - offset, n, items)
-            done += n
-
-    while any(left):
+            times -= n
+            if len(lengths) < len(slots):
+                return  # a group ran out: another configuration is due
+
+    while pieces_left.mask:
+        present = [(low, high) for low, high in ranges if pieces_left.longest(high, low) >= 0]
+        ranges = present
+        sizes = [pieces_left.longest(high, low) for low, high in present]
+        left = [sum(pieces_left.left[low : high + 1]) for low, high in present]
         chosen = _configuration(sizes, left, capacity)
         substitute(chosen, min(left[i] // n for i, n in enumerate(chosen) if n))
 
@@ -229,19 +255,19 @@ _RANK_BITS = 44
 
 
 def place(cut: DataFrame, counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces (``doc_id``, ``piece``, ``start``, ``length`` and any others)."""
+    """Add ``sequence_id`` and ``offset`` to pieces (``length``, ``row`` and any others); ``row`` goes."""
     spark = cut.sparkSession
     solved = plan(counts, capacity, groups)
     # Bounded by the capacity and the number of groups, whatever the corpus.
     shared = spark.sparkContext.broadcast({k: solved[k] for k in ("sequence", "offset")} | {"key": (solved["length"] << _RANK_BITS) + solved["rank"]})
     salts = int(max(SALTS, -(-int(counts.sum()) // RANK_ROWS)))
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(ROW), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").count()
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start")
+    within = Window.partitionBy("length", "_salt").orderBy(ROW)
     ranked = salted.join(bases, ["length", "_salt"]).withColumn("_rank", F.row_number().over(within) - 1 + F.col("_base"))
-    columns = cut.columns
+    columns = [c for c in cut.columns if c != ROW]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -251,7 +277,7 @@ def place(cut: DataFrame, counts: np.ndarray, capacity: int = CAPACITY, groups:
             sequence = table["sequence"][at] + key - table["key"][at]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(sequence), pa.array(table["offset"][at])], [*columns, "sequence_id", "offset"])
 
-    schema = ", ".join(f"{name} {kind}" for name, kind in cut.dtypes) + ", sequence_id long, offset long"
+    schema = ", ".join(f"{name} {kind}" for name, kind in cut.dtypes if name != ROW) + ", sequence_id long, offset long"
     return ranked.select(*columns, F.col("_rank").cast("long")).mapInArrow(look_up, schema)
 
 
@@ -261,14 +287,14 @@ def with_checksum(cut: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = pa.array([zlib.crc32(i.as_buffer()) for i in batch.column("ids")], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "piece", "start", "length")], sums], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            kept = ["doc_id", "piece", "start", "length", ROW]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], sums], [*kept, "ids_crc32"])
 
-    return cut.mapInArrow(check, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return cut.mapInArrow(check, f"doc_id long, piece int, start long, length long, {ROW} long, ids_crc32 long")
 
 
-def sequences(placed: DataFrame, cut: DataFrame) -> DataFrame:
-    """The packed sequences themselves: ids of each, gapless, in order of place."""
-    joined = placed.join(cut.select("doc_id", "piece", "ids"), ["doc_id", "piece"])
-    parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))  # at most ``capacity`` tokens
-    packed = joined.groupBy("sequence_id").agg(parts.alias("parts"))
+def sequences(placed: DataFrame) -> DataFrame:
+    """The packed sequences themselves, from placed pieces with their ``ids``: gapless, in order of place."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # at most ``capacity`` tokens
+    packed = placed.groupBy("sequence_id").agg(parts.alias("parts"))
     return packed.select("sequence_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))

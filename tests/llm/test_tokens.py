@@ -153,10 +153,34 @@ def test_packed_documents(spark):
         assert [o for o, _ in sorted(parts)] == np.concatenate([[0], np.cumsum([n for _, n in sorted(parts)])])[:-1].tolist()
         assert sum(n for _, n in parts) <= 2048
     assert len(packed) == -(-sum(map(len, ids)) // 2048)
-    sequences = packing.sequences(placed, cut).collect()
+    sequences = packing.sequences(packing.place(cut, packing.length_counts(cut))).collect()
     assert sorted(len(s["ids"]) // 4 for s in sequences) == sorted(sum(n for _, n in p) for p in packed.values())
 
 
+def test_pieces_of_null_and_shared_ids_keep_their_own_ids(spark):
+    texts = [f"text number {i} " * (i + 1) for i in range(40)] + ["the same"] * 60
+    df = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    cut = packing.pieces(df, WORD_BPE, 0)
+    placed = packing.place(cut, packing.length_counts(cut))
+    assert placed.columns == ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
+    whole = b"".join(sorted(bytes(r["ids"]) for r in placed.collect()))
+    assert whole == b"".join(sorted(np.array([*x, 0], "<u4").tobytes() for x in library_ids(texts)))
+    found = {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(placed).collect()}
+    for r in placed.collect():
+        at = 4 * r["offset"]
+        assert found[r["sequence_id"]][at : at + len(r["ids"])] == bytes(r["ids"])
+
+
+def test_linear_grouping_rounds_to_few_sizes():
+    rng = np.random.default_rng(2)
+    counts = np.bincount(rng.integers(1, 2049, 20_000), minlength=2049)
+    ranges = packing._groups(counts, 257, packing.GROUPS)
+    assert len(ranges) <= packing.GROUPS
+    assert all(low <= high for low, high in ranges) and all(a[0] > b[1] for a, b in zip(ranges, ranges[1:]))
+    lower = -(-int(counts @ np.arange(2049)) // 2048)
+    assert check_plan(counts, 2048) <= lower * 1.005
+
+
 def greedy(word, pieces, longest):
     at = count = 0
     while at < len(word):
