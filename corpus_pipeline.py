@@ -15,10 +15,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontaminate, near_copies, packing, pii, quality
+from eventloom.llm import decontaminate, packing, pii, quality, simhash
 from eventloom.llm.common import read_table, ready, write_once
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,13 +37,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word shingles, similarity 0.8) stays: the one with the least id."""
+    """One document of each group of near duplicates by SimHash (3-word shingles, 3 bits) stays: the one with the least id."""
     ready(spark)
     # Written before the join: the choice is made once, whatever is computed again.
-    first = write_once(near_copies.first_rows(docs), "first-rows")
-    keyed = docs.select(*COLUMNS, *near_copies.row_key()).join(first, near_copies.ROW, "left_semi")
-    one = F.row_number().over(Window.partitionBy(*near_copies.ROW).orderBy("text", "lang", "source"))
-    return keyed.withColumn("_one", one).where("_one = 1").select(*COLUMNS)
+    first = write_once(simhash.first_rows(docs), "first-rows")
+    # Rows equal in id and text are one before they are shuffled; the join keeps that partitioning.
+    one = docs.select(*COLUMNS, *simhash.row_key()).groupBy(*simhash.ROW).agg(F.min(F.struct(*COLUMNS)).alias("first"))
+    return one.join(first, simhash.ROW, "left_semi").select(*[F.col("first")[c].alias(c) for c in COLUMNS])
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", good_quality),
-    ("near duplicates", without_near_duplicates),
+    ("SimHash near-dedup", without_near_duplicates),
     ("benchmark decontamination", without_benchmarks),
     ("personal data", without_personal_data),
     ("packing", packed),
