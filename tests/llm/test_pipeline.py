@@ -1,40 +1,32 @@
-"""Near copies by Jaccard similarity against all pairs, and what the pipeline's stage keeps."""
+"""The pipeline's stages: what they keep, and odd tables through all of them."""
 
 import random
 
-import pyarrow as pa
-import pytest
-
 import corpus_pipeline as pipeline
-from eventloom.llm import blocks, near_copies
+from eventloom.llm import simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def plain_set(text):
-    words = (text or "").encode().lower().split()
-    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
-
-
-def jaccard(a, b):
-    return len(a & b) / len(a | b) if a | b else 1.0
-
-
-def kept(texts):
-    """Least place of every component of pairs with similarity 0.8 and more."""
-    sets, root = [plain_set(t) for t in texts], list(range(len(texts)))
+def kept(rows):
+    """Least place of every component of fingerprints at most three bits apart."""
+    prints = []
+    for _, text in rows:
+        hashes = simhash.shingle_hashes((text or "").encode())
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(sets)):
+    for i in range(len(rows)):
         for j in range(i):
-            if jaccard(sets[i], sets[j]) >= 0.8:
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return {find(i) for i in range(len(sets))}
+    return {rows[find(i)][0] for i in range(len(rows))}
 
 
 def corpus(seed=5):
@@ -42,13 +34,13 @@ def corpus(seed=5):
     words = [f"w{i}" for i in range(500)]
     texts = ["", None, " \n", "one", "One", "a b", "A  b", "a b c d e", "é b c d E", "x " * 40, "x " * 90]
     for _ in range(25):
-        base = [rng.choice(words) for _ in range(rng.choice([40, 150, 300]))]
+        base = [rng.choice(words) for _ in range(rng.choice([40, 300, 900]))]
         for _ in range(rng.randint(1, 9)):
             copy = list(base)
-            for _ in range(rng.randint(0, 6)):
+            for _ in range(rng.randint(0, 3)):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             texts.append(" ".join(copy) if rng.random() < 0.5 else "\n".join(copy).upper())
-    return texts
+    return list(enumerate(texts))
 
 
 def stage(spark, rows):
@@ -56,21 +48,10 @@ def stage(spark, rows):
     return pipeline.without_near_duplicates(spark, frame, "").collect()
 
 
-def test_shingle_sets_are_those_of_the_definition():
-    texts = [t or "" for t in corpus()]
-    found = near_copies.shingle_sets(pa.array(texts))
-    names = {}
-    for text, hashes in zip(texts, found):
-        assert len(plain_set(text)) == len(hashes)
-        names.setdefault(plain_set(text), set()).add(hashes.tobytes())
-    assert all(len(v) == 1 for v in names.values()) and len(names) == len({next(iter(v)) for v in names.values()})
-
-
-@pytest.mark.parametrize("chunk", [5, 1024])
-def test_edited_copies_go(spark, monkeypatch, chunk):
-    monkeypatch.setattr(near_copies, "deal", lambda m, k, c, n=chunk: blocks.deal(m, k, c, min(n, chunk)))
-    texts = corpus()
-    assert {r["doc_id"] for r in stage(spark, enumerate(texts))} == kept(texts)
+def test_near_copies_go_and_the_least_id_stays(spark):
+    rows = corpus()
+    found = [r["doc_id"] for r in stage(spark, rows)]
+    assert len(found) == len(set(found)) < len(rows) and set(found) == kept(rows)
 
 
 def test_no_rows_stay_no_rows(spark):
@@ -79,7 +60,7 @@ def test_no_rows_stay_no_rows(spark):
 
 def test_null_and_shared_ids_lose_no_rows(spark):
     first, second, third = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
-    rows = [(None, first), (None, second), (7, third), (7, "an entirely different text of the same id"), (None, third), (7, third)]
+    rows = [(None, first), (None, second), (7, third), (7, "an entirely different text of the same id"), (None, third), (7, third), (None, first)]
     assert sorted((r["doc_id"] or 0, r["text"]) for r in stage(spark, rows)) == sorted([(0, first), (0, second), (7, third), (7, rows[3][1])])
 
 
@@ -89,3 +70,23 @@ def test_each_row_of_an_id_is_judged_by_itself(spark, tmp_path):
     frame = spark.createDataFrame([(None, item, "en", "s", 0), (None, "clean", "en", "s", 0), (7, item, "en", "s", 0), (7, "clean too", "en", "s", 0)], COLUMNS)
     left = pipeline.without_benchmarks(spark, frame, str(tmp_path)).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, "clean"), (7, "clean too")]
+
+
+def write_tables(spark, folder, docs, schema):
+    spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "some words of an item that nobody holds at all. And an answer.")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_the_whole_pipeline_on_an_empty_table(spark, tmp_path):
+    write_tables(spark, tmp_path, [], COLUMNS)
+    packed = pipeline.run(spark, str(tmp_path))
+    assert packed.count() == 0 and {"doc_id", "ids", "sequence_id", "offset"} <= set(packed.columns)
+
+
+def test_the_whole_pipeline_with_clashing_columns_and_nulls(spark, tmp_path):
+    words = " ".join(f"plain{i} words" for i in range(40))
+    docs = [(1, f"{words} one", "en", "s", 1, "x", 2), (None, None, None, None, None, None, None), (2, "", "en", "s", 0, "x", 2), (1, f"{words} one", "en", "s", 1, "y", 3)]
+    write_tables(spark, tmp_path, docs, COLUMNS + ", _row string, length int")
+    packed = pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] or 0 for r in packed) in ([0, 1], [1, 2])
