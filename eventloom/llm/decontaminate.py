@@ -13,16 +13,18 @@ through their lists for the bound: their greatest impact anywhere is added inste
 
 A retrieved item counts as leaked if enough words of its question and of its answer
 stand in order around the passage. The answer is the item's last sentence, or its last
-third if it has one sentence only. Where one of the two has fewer than ``SHORT_WORDS``
-words, so that an edit or two would decide alone, enough words of both together do.
-
-The index is cut into shards of bounded size; documents are scanned once per shard and
-never shuffled, and what is sent to executors is bounded by the shard.
-
-Results by case: null and empty texts and items match nothing; items of fewer than
-``MIN_ITEM_WORDS`` words cannot tell a leak and are left out; an empty table on either
-side gives no rows; repeated document or item rows give one row per pair of ids, and items
-that share an id (null too) are each looked for; other columns are ignored.
+third if it has one sentence only. One rule holds for all lengths: of all words a share of
+``1 - OVERLAP`` may be missing, of the question and of the answer that share or
+``SPARE_WORDS`` words, whichever is more. The shorter an item, the fewer words that is; an
+item that may miss none must stand there word after word.
+
+The index is cut into shards of bounded size, searched one after the other: documents are
+scanned once per shard and never shuffled, and the driver and the executors hold one shard.
+
+Results by case: null and empty texts, and items without a word, match nothing; an empty
+table on either side gives no rows; repeated document or item rows give one row per pair of
+ids with their greatest scores, and items that share an id (null too) are each looked for;
+very long texts are windows like any other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,13 +44,12 @@ UNIT_WORDS = 32
 BLOCK_UNITS = 16
 #: Blocks of an index shard at most; bounds the shard and the table of bounds of a slice.
 SHARD_BLOCKS = 256
-MIN_ITEM_WORDS = 8
 #: Share of a unit's own BM25 score that retrieves it.
 THRESHOLD = 0.6
 #: Share of the words of question and answer that must stand in order.
 OVERLAP = 0.8
-#: Words of a question or answer that need not reach OVERLAP by itself.
-SHORT_WORDS = 8
+#: Words that a question or answer may miss however short it is.
+SPARE_WORDS = 2
 #: Share of an item's three-word phrases that must stand there too: common words alone can stand in any order.
 PHRASES = 0.5
 K1, B = 1.2, 0.75
@@ -99,7 +100,7 @@ def units(items: DataFrame) -> DataFrame:
             for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
                 question, answer = split_item(text)
                 words = question + answer
-                if len(words) < MIN_ITEM_WORDS:
+                if not words:
                     continue
                 n = -(-len(words) // UNIT_WORDS)
                 for unit in range(n):
@@ -212,10 +213,8 @@ def retrieve(index: Index, terms: np.ndarray, start: np.ndarray, end: np.ndarray
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def in_order(wanted: list[str], words: list[str]) -> float:
-    """Share of ``wanted`` that stands in ``words`` in the same order (longest common subsequence, bit-parallel)."""
-    if not wanted:
-        return 1.0
+def in_order(wanted: list[str], words: list[str]) -> int:
+    """How many of ``wanted`` stand in ``words`` in the same order (longest common subsequence, bit-parallel)."""
     masks: dict[str, int] = {}
     for i, word in enumerate(wanted):
         masks[word] = masks.get(word, 0) | 1 << i
@@ -224,23 +223,30 @@ def in_order(wanted: list[str], words: list[str]) -> float:
     for word in words:
         both = state & masks.get(word, 0)
         state = ((state + both) | (state - both)) & full
-    return (len(wanted) - state.bit_count()) / len(wanted)
+    return len(wanted) - state.bit_count()
 
 
 def stands(question: list[str], answer: list[str], words: list[str], overlap: float) -> tuple[float, float] | None:
-    """Overlaps of question and answer if the item counts as standing in ``words``."""
-    q, a = in_order(question, words), in_order(answer, words)
-    short = min(len(question), len(answer)) < SHORT_WORDS
-    if not (q >= overlap and a >= overlap) and not (short and in_order(question + answer, words) >= overlap):
+    """Shares of question and answer found, if the item counts as standing in ``words``."""
+    spare = (1 - overlap) * (1 + 1e-9)
+    item = question + answer
+    may_miss = int(spare * len(item))
+    if not may_miss:
+        n = len(item)
+        return (1.0, 1.0) if any(words[i : i + n] == item for i in range(len(words) - n + 1)) else None
+    missing = [len(part) - in_order(part, words) for part in (question, answer)]
+    if sum(missing) > may_miss or any(m > max(SPARE_WORDS, spare * len(part)) for m, part in zip(missing, (question, answer))):
+        return None
+    # A missing word breaks up to three phrases; of a long item no more than the share may be broken.
+    if missing_phrases(item, words) > min((1 - PHRASES) * (len(item) - 2), 3 * may_miss):
         return None
-    return (q, a) if shared_phrases(question + answer, words) >= PHRASES else None
+    return tuple(1.0 - m / len(part) if part else 1.0 for m, part in zip(missing, (question, answer)))
 
 
-def shared_phrases(wanted: list[str], words: list[str]) -> float:
-    """Share of the three-word phrases of ``wanted`` that stand in ``words``."""
+def missing_phrases(wanted: list[str], words: list[str]) -> int:
+    """Distinct three-word phrases of ``wanted`` that do not stand in ``words``."""
     phrases = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
-    own = phrases(wanted)
-    return len(own & phrases(words)) / len(own) if own else 1.0
+    return len(phrases(wanted) - phrases(words))
 
 
 def _shards(rows: Iterator, limit: int) -> Iterator[list]:
@@ -264,13 +270,12 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     indexed = write_once(units(items), "index")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled().alias("text"))
     ordered = indexed.orderBy("item_id", "unit").toLocalIterator()
-    found = None
+    found = spark.createDataFrame([], _FOUND)
     for shard in _shards(ordered, shard_blocks * BLOCK_UNITS):
         shared = spark.sparkContext.broadcast(Index(shard))
-        part = rows.mapInArrow(_search(shared, threshold, overlap), _FOUND)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], _FOUND)
+        # Written at once, so that the next shard can take this one's place.
+        found = found.union(write_once(rows.mapInArrow(_search(shared, threshold, overlap), _FOUND), "leaks"))
+        shared.unpersist()
     # The units of a long item can lie in two shards.
     return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
 

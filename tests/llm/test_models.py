@@ -198,8 +198,8 @@ def test_leaks_are_found_and_clean_documents_left(spark, shard_blocks):
     b = spark.createDataFrame(items + short, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b, shard_blocks=shard_blocks).collect()}
     norm = lambda t: " ".join(decontaminate._words(t))
-    want = {(i, k) for i, t in docs for k, x in items if len(norm(x).split()) >= 8 and f" {norm(x)} " in f" {norm(t)} "}
-    assert want and want <= got
+    want = {(i, k) for i, t in docs + odd for k, x in items + short if norm(x or "") and f" {norm(x)} " in f" {norm(t or '')} "}
+    assert any(k == 2000 for _, k in want) and want <= got
     assert {i for i, _ in got} == {i for i, _ in want}
 
 
@@ -223,7 +223,7 @@ def test_in_order_is_the_longest_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
-        assert decontaminate.in_order(a, b) == pytest.approx(table[-1, -1] / len(a))
+        assert decontaminate.in_order(a, b) == table[-1, -1]
 
 
 def test_pipeline_stages_decide(spark):
