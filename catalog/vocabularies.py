@@ -21,7 +21,7 @@ from eventloom.operators.bpe import (
     vocab_counts,
     vocab_table,
 )
-from eventloom.operators.pieces import neighbour_pairs
+from eventloom.operators.pair_index import neighbour_pairs
 from eventloom.operators.tokens import SPECIAL_TOKENS, Markers
 from eventloom.operators.word_vocab import WordLevel, positions, token_counts, vocabulary
 from eventloom.sources.events import in_splits, text_column

@@ -1,9 +1,8 @@
 """Byte-pair merges: learning them on the distinct-word table, applying them to words.
 
 While learning, every symbol is one character (``symbol``), so a word is a plain
-string, a pair is two characters and a merge is a literal ``replace``: all of it
-stays in generated code, and the order of strings is the order of symbol ids.
-Word counts never leave the executors; the driver sees the best pairs of a round.
+string, a pair is two characters, a merge is a literal ``replace``, and the order of
+strings is the order of symbol ids. ``pair_index`` holds the words and their pairs.
 """
 
 from __future__ import annotations
@@ -14,17 +13,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import StorageLevel, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.session import materialize
+from eventloom.operators.pair_index import PairIndex
 
 _SYMBOL_BASE = 0x100
 _SURROGATES = 0xD800
-TOP_PAIRS = 512
-MERGES_PER_REWRITE = 48
 MEMO_WORDS = 200_000
 
 
@@ -34,38 +31,6 @@ def symbol(number: int) -> str:
     return chr(point if point < _SURROGATES else point + 0x800)
 
 
-def neighbour_pairs(word: Column) -> Column:
-    """All overlapping pairs of symbols of a word."""
-    return F.regexp_extract_all(word, F.lit("(?s)(?=(..))"), F.lit(1))
-
-
-def pair_weights(words: DataFrame, once_per_word: bool) -> DataFrame:
-    """``pair`` and its ``weight``: the summed frequency of the words (or places) it occurs in."""
-    pairs = neighbour_pairs(F.col("word"))
-    pairs = F.array_distinct(pairs) if once_per_word else pairs
-    return words.select(F.explode(pairs).alias("pair"), "freq").groupBy("pair").agg(F.sum("freq").alias("weight"))
-
-
-def _merged(word: Column, merges: list[tuple[str, str]]) -> Column:
-    """Apply merges in order. One fold over a literal list: the plan keeps its shape from
-    round to round, so its generated code is compiled once."""
-    if not merges:
-        return word
-    listed = F.lit("".join(pair + product for pair, product in merges))
-    steps = F.regexp_extract_all(listed, F.lit("(?s)(...)"), F.lit(1))
-    return F.aggregate(
-        steps,
-        word,
-        lambda w, step: F.replace(w, F.substring(step, 1, 2), F.substring(step, 3, 1)),
-    )
-
-
-def _held(words: DataFrame) -> DataFrame:
-    """Words that still have pairs, written once, spread over all cores and kept in memory."""
-    spread = words.where(F.length("word") > 1).repartition(words.sparkSession.sparkContext.defaultParallelism)
-    return materialize(spread, "bpe-words").persist(StorageLevel.MEMORY_AND_DISK)
-
-
 @dataclass
 class Merges:
     """A learned model: ids by string, and the merges in the order they were learned."""
@@ -101,48 +66,37 @@ def learn(
 ) -> Merges:
     """Learn merges from ``words`` (``word`` in symbols of ``alphabet``, ``freq``).
 
-    Each round takes the pair with the greatest weight (ties: lower symbols) and
-    merges it everywhere. Several merges of one round are taken together where
-    ``_independent`` shows that one by one would give the same result. A merge
-    may produce a string that exists: with ``reuse_ids`` it keeps its id and the
-    vocabulary does not grow, else the string moves to a new id.
+    Every merge takes the pair with the greatest weight (ties: lower symbols) and
+    merges it everywhere. A merge may produce a string that exists: with ``reuse_ids``
+    it keeps its id and the vocabulary does not grow, else the string moves to a new id.
     """
     symbols = [*specials, *alphabet]
     numbers = {s: i for i, s in enumerate(symbols)}
     ids = dict(numbers)
     next_id = n_first = len(ids)
     merges: list[tuple[str, str, str]] = []
-    pending: list[tuple[str, str]] = []
-    base = _held(words)
-    while next_id < vocab_size:
-        current = base.select(_merged(F.col("word"), pending).alias("word"), "freq")
-        if len(pending) >= MERGES_PER_REWRITE:
-            before, base = base, _held(current)
-            before.unpersist()
-            current, pending = base, []
-        ranked = (
-            pair_weights(current, once_per_word)
-            .where(F.col("weight") >= min_weight)
-            .orderBy(F.desc("weight"), "pair")
-            .limit(TOP_PAIRS)
-            .collect()
-        )
-        if not ranked:
-            break
-        top = [(_numbers(r["pair"]), r["weight"]) for r in ranked]
-        for left, right in _independent(top, symbols, complete=len(top) < TOP_PAIRS):
-            if next_id >= vocab_size:
-                break
-            text = symbols[left] + symbols[right]
-            merges.append((symbols[left], symbols[right], text))
-            if text not in numbers:
-                numbers[text] = len(symbols)
-                symbols.append(text)
-            if text not in ids or not reuse_ids:
-                ids[text] = next_id
-                next_id += 1
-            pending.append((symbol(left) + symbol(right), symbol(numbers[text])))
-    base.unpersist()
+
+    def choose(pair: str, alone: bool = True) -> tuple[str, bool] | None:
+        """The symbol that a pair becomes and whether it is a new one; None: no merge."""
+        nonlocal next_id
+        left, right = _numbers(pair)
+        text = symbols[left] + symbols[right]
+        new = text not in numbers
+        if next_id >= vocab_size or not (new or alone):
+            return None
+        merges.append((symbols[left], symbols[right], text))
+        if new:
+            numbers[text] = len(symbols)
+            symbols.append(text)
+        if text not in ids or not reuse_ids:
+            ids[text] = next_id
+            next_id += 1
+        return symbol(numbers[text]), new
+
+    if next_id < vocab_size:
+        index = PairIndex(words, once_per_word, min_weight)
+        while next_id < vocab_size and index.best() is not None:
+            index.take(choose)
     return Merges(ids, merges, n_first)
 
 
@@ -154,44 +108,6 @@ def _numbers(pair: str) -> tuple[int, int]:
     return number(pair[0]), number(pair[1])
 
 
-def _independent(
-    top: list[tuple[tuple[int, int], int]], symbols: list[str], complete: bool
-) -> list[tuple[int, int]]:
-    """The merges at the head of the ranking that do not influence each other.
-
-    A merge only lowers the weight of pairs that share a symbol with it, and a
-    pair it creates weighs no more than such a sharing pair did. So the next
-    pair is also the next choice of one-by-one learning while it shares no
-    symbol with the pairs taken and outweighs every pair that does. Pairs of a
-    symbol with itself, and products that already exist, end the batch.
-    """
-    taken: list[tuple[int, int]] = []
-    used: set[int] = set()
-    strings = set(symbols)
-    for (left, right), weight in top:
-        text = symbols[left] + symbols[right]
-        alone = left == right or text in strings
-        if taken:
-            sure = complete or weight > top[-1][1]  # every pair as heavy as this one is listed
-            if alone or not sure or left in used or right in used:
-                return taken
-            if _heaviest_sharing(top, used, taken) >= weight:
-                return taken
-        taken.append((left, right))
-        if alone:
-            return taken
-        strings.add(text)
-        used |= {left, right}
-    return taken
-
-
-def _heaviest_sharing(top, used: set[int], taken: list[tuple[int, int]]) -> int:
-    for pair, weight in top:
-        if pair not in taken and (pair[0] in used or pair[1] in used):
-            return weight
-    return 0
-
-
 def split_word(word: str, ranks: dict[tuple[str, str], int], pieces: list[str]) -> list[str]:
     """Apply the earliest learned merge of a word everywhere in it, until none applies."""
     while len(pieces) > 1:

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from eventloom.operators import pair_index
 from eventloom.operators.bpe import BytePairTokens, TextBpe, byte_level_words, in_symbols
 from eventloom.operators.pieces import event_encoder, learn, split_word, text_encoder
 
@@ -56,6 +57,59 @@ def test_learning_equals_brute_force(spark, seed):
     assert model.ids == ids
 
 
+@pytest.mark.parametrize("seed", range(10, 18))
+def test_small_blocks_and_windows_learn_the_same(spark, monkeypatch, seed):
+    """Rounds on the executors, blocks of a few words, and counts beyond the window."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(pair_index, "BLOCK_WORDS", rng.choice([1, 4, 15]))
+    monkeypatch.setattr(pair_index, "WINDOW", rng.choice([2, 6, 1000]))
+    monkeypatch.setattr(pair_index, "NAMED_PAIRS", rng.choice([1, 64]))
+    letters = "abcd"[: rng.randint(2, 4)]
+    words = Counter()
+    for _ in range(40):
+        words["".join(rng.choice(letters) for _ in range(rng.randint(1, 8)))] += rng.randint(1, 4)
+    once, reuse, floor = rng.random() < 0.5, rng.random() < 0.5, rng.choice([1, 2])
+    alphabet = sorted({c for w in words for c in w})
+    df = spark.createDataFrame(list(words.items()), "word string, freq bigint").repartition(3)
+    prepared = df.select(in_symbols(F.col("word"), alphabet, 1).alias("word"), "freq")
+    size = len(alphabet) + 1 + 10
+    model = learn(prepared, alphabet, ["<a>"], size, once, floor, reuse)
+    assert (model.ids, model.merges) == brute_force(words, alphabet, ["<a>"], size, once, floor, reuse)
+
+
+def test_a_merge_reads_the_words_that_hold_its_pair(spark, monkeypatch):
+    """Of many words few hold the pairs merged later: the index reads about those, not all."""
+    rng = random.Random(1)
+    monkeypatch.setattr(pair_index, "BLOCK_WORDS", 60)
+    words = {"".join(rng.choice("abcdefghij") for _ in range(7)): 1 for _ in range(3000)}
+    words |= {f"x{i % 10}y{i // 10 % 10}z": 5000 - 100 * i for i in range(40)}
+    alphabet = sorted({c for w in words for c in w})
+    seen = []
+    made = pair_index.PairIndex.__init__
+    monkeypatch.setattr(pair_index.PairIndex, "__init__", lambda self, *a: (seen.append(self), made(self, *a))[1])
+    df = spark.createDataFrame(list(words.items()), "word string, freq bigint")
+    learn(df.select(in_symbols(F.col("word"), alphabet, 0).alias("word"), "freq"), alphabet, [], len(alphabet) + 20, False, 1, True)
+    (index,) = seen
+    assert sum(p.merges for p in index.progress) == 20
+    assert sum(p.changed for p in index.progress) > 0
+    assert sum(p.read for p in index.progress) <= 4 * sum(p.changed for p in index.progress) < 3000
+
+
+def test_words_are_brought_up_to_date_merge_by_merge():
+    steps = pair_index.Steps()
+    for pair, product in [("ab", "X"), ("Xc", "Y"), ("dd", "X"), ("Xc", "Z")]:
+        steps.add(pair, product)
+    assert steps.advance("abc", 0) == "Y"
+    assert steps.advance("ddc", 0) == "Z"  # the product of a later merge meets the later merge only
+    assert steps.advance("Xc", 3) == "Z" and steps.advance("ab", 1) == "ab"
+    assert steps.advance("ddd", 0) == "Xd"
+
+
+def test_no_words_learn_nothing(spark):
+    empty = spark.createDataFrame([], "word string, freq bigint")
+    assert learn(empty, [], ["<a>"], 10, False).merges == []
+
+
 def test_event_words_round_trip(spark):
     counts = [("LAB//5//mg", 9), ("LAB//6//mg", 7), ("Q1", 20), ("Q2", 15), ("aaaa", 3), ("é€", 2)]
     df = spark.createDataFrame(counts, "token string, count bigint")
