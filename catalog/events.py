@@ -137,10 +137,10 @@ def agg_distinct_subjects(f):
     ),
 )
 def agg_quantiles(f):
-    from eventloom.functions.quantiles import exact_quantiles, value_counts
+    from eventloom.functions.quantiles import exact_quantiles
 
     rows = f.events()
-    edges = exact_quantiles(value_counts(rows, ["code"], "numeric_value"), ["code"], "numeric_value", [0.25, 0.5, 0.75])
+    edges = exact_quantiles(rows, ["code"], "numeric_value", [0.25, 0.5, 0.75])
     return edges.select("code", *[F.round(F.get("edges", F.lit(i)), 6).alias(f"q{i + 1}") for i in range(3)])
 
 

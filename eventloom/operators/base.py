@@ -100,12 +100,10 @@ class ValueOperator(MatchingOperator):
         )
 
     def fit(self, train: DataFrame) -> "ValueOperator":
-        from eventloom.functions.quantiles import value_counts
+        return self.fit_values(self.training_values(train))
 
-        return self.fit_counts(value_counts(self.training_values(train), ["code"], "value"))
-
-    def fit_counts(self, counts: DataFrame) -> "ValueOperator":
-        """Learn from rows per (code, value)."""
+    def fit_values(self, values: DataFrame) -> "ValueOperator":
+        """Learn from (code, value) rows."""
         return self
 
     def attach(self, events: DataFrame) -> DataFrame:

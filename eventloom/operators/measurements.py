@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.frames import EventFrame
-from eventloom.functions.quantiles import bin_number, even_probabilities, exact_quantiles, value_counts
+from eventloom.functions.quantiles import bin_number, even_probabilities, exact_quantiles
 from eventloom.functions.text import fixed_text
 from eventloom.operators.base import Operator, value_number
 from eventloom.operators.filters import as_flag
@@ -94,8 +94,7 @@ class DemographicAggregation(Operator):
             )
             parts.append(sums.select(*keys, "m", chosen.alias("value")))
         if medians:
-            counts = value_counts(values.where(F.col("m").isin(medians)), [*keys, "m"], "value")
-            middle = exact_quantiles(counts, [*keys, "m"], "value", [0.5], midpoint=True)
+            middle = exact_quantiles(values.where(F.col("m").isin(medians)), [*keys, "m"], "value", [0.5], midpoint=True)
             parts.append(middle.select(*keys, "m", F.get("edges", F.lit(0)).alias("value")))
         return reduce(DataFrame.unionByName, parts)
 
@@ -103,11 +102,10 @@ class DemographicAggregation(Operator):
         binned = {i: m["num_bins"] for i, m in enumerate(self.measurements) if "num_bins" in m}
         if not binned:
             return self
-        values = self.subject_values(train).where(F.col("m").isin(list(binned)))
-        counts = materialize(value_counts(values, ["m"], "value"), "measurement-counts")
+        values = materialize(self.subject_values(train).where(F.col("m").isin(list(binned))), "measurement-values")
         fits = [
             exact_quantiles(
-                counts.where(F.col("m").isin([i for i, b in binned.items() if b == bins])),
+                values.where(F.col("m").isin([i for i, b in binned.items() if b == bins])),
                 ["m"], "value", even_probabilities(bins),
             )
             for bins in sorted(set(binned.values()))

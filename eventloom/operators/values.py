@@ -16,8 +16,8 @@ class PerCodeEdges(ValueOperator):
 
     probabilities: list[float]
 
-    def fit_counts(self, counts: DataFrame) -> "ValueOperator":
-        edges = exact_quantiles(counts, ["code"], "value", self.probabilities)
+    def fit_values(self, values: DataFrame) -> "ValueOperator":
+        edges = exact_quantiles(values, ["code"], "value", self.probabilities)
         self.fitted = materialize(edges, "code-edges")
         return self
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.quantiles import exact_quantiles, value_counts
+from eventloom.functions.quantiles import exact_quantiles
 from eventloom.functions.text import fixed_text
 from eventloom.session import materialize
 
@@ -100,7 +100,7 @@ def describe(cohort: DataFrame, metrics: list[str], *by: str) -> DataFrame:
         F.max("value").alias("max"),
         F.stddev_samp("value").alias("std"),
     )
-    quartiles = exact_quantiles(value_counts(rows, keys, "value"), keys, "value", [0.25, 0.5, 0.75])
+    quartiles = exact_quantiles(rows, keys, "value", [0.25, 0.5, 0.75])
     named = quartiles.select(
         *keys, *[F.get("edges", F.lit(i)).alias(name) for i, name in enumerate(("q1", "median", "q3"))]
     )

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from catalog.sequences import standard_tokens
 from catalog.texts import phrases
-from eventloom.functions.quantiles import exact_quantiles, value_counts
+from eventloom.functions import quantiles
+from eventloom.functions.quantiles import exact_quantiles
 from eventloom.operators.bpe import BytePairTokens
 from eventloom.operators.phrases import patient_text, word_timeline
 from eventloom.operators.sequence import DemographicSortOrder, NaturalLanguageTranslation, TimeIntervals, build_sequence
@@ -126,7 +127,7 @@ def test_quantiles_of_a_frequent_code(spark):
     df = spark.createDataFrame(values, "code string, value double")
 
     def make():
-        edges = exact_quantiles(value_counts(df, ["code"], "value"), ["code"], "value", [0.0, 0.1, 0.5, 0.77, 1.0])
+        edges = exact_quantiles(df, ["code"], "value", [0.0, 0.1, 0.5, 0.77, 1.0])
         return {r.code: r.edges for r in edges.collect()}
 
     plain, cut = both_ways(spark, make, "50")
@@ -136,3 +137,56 @@ def test_quantiles_of_a_frequent_code(spark):
     for code, edges in plain.items():
         mine = [v for c, v in values if c == code]
         assert edges == list(np.quantile(mine, [0.0, 0.1, 0.5, 0.77, 1.0]))
+
+
+PROBABILITIES = [0.0, 0.013, 0.25, 0.5, 0.77, 1.0]
+
+
+def edge_numbers(kind):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    return {
+        "spread": rng.normal(size=700) * 10.0 ** rng.integers(-300, 300, 700),
+        "close": 1.0 + rng.integers(0, 50, 700) * 2.0**-52,
+        "signs": np.concatenate([[0.0, -0.0] * 50, rng.integers(-3, 4, 300), [5e-324, -5e-324, 1.7e308, -1.7e308]]),
+        "one value": np.full(300, 7.25),
+        "whole": rng.integers(-(10**6), 10**6, 900).astype(float),
+    }[kind]
+
+
+def test_selection_by_leading_bits_equals_a_sort(spark, small_groups):
+    import numpy as np
+
+    kinds = ["spread", "close", "signs", "one value", "whole"]
+    rows = [(k, float(v)) for k in kinds for v in edge_numbers(k)]
+    rows += [(None, float(i % 9)) for i in range(100)] + [("few", 1.0), ("few", 2.0), ("few", None), ("few", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "code string, value double").repartition(5)
+    got = {r.code: r.edges for r in exact_quantiles(df, ["code"], "value", PROBABILITIES).collect()}
+    assert set(got) == {*kinds, None, "few"}
+    for code, edges in got.items():
+        mine = np.sort([v for c, v in rows if c == code and v is not None and v == v])
+        for p, edge in zip(PROBABILITIES, edges):
+            place = (len(mine) - 1) * p
+            low, high = mine[int(place)], mine[min(int(place) + 1, len(mine) - 1)]
+            t = place - int(place)
+            want = low if t == 0 else high - (high - low) * (1 - t) if t >= 0.5 else low + (high - low) * t
+            assert edge == want, (code, p)
+    assert exact_quantiles(df.where("code = 'none'"), ["code"], "value", [0.5]).count() == 0
+
+
+def test_a_pass_counts_buckets_not_values(spark):
+    """However many distinct values a key has, a pass leaves at most 2 ** DIGIT_BITS counts for each bucket looked into."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(200_000).select(F.struct(F.lit("a").alias("code")).alias("_key"), (F.col("id") * 7919 % 199_999 / 8).alias("_value"))
+    numbered = df.select("_key", quantiles._order_number()(F.col("_value")).alias("number"))
+    everything = numbered.select("_key").distinct().withColumn("prefix", F.lit(0).cast("long"))
+    first = quantiles.bucket_counts(numbered, everything, quantiles.DIGIT_BITS)
+    assert first.count() < 500 and first.agg(F.sum("n")).first()[0] == 200_000
+    wanted = first.orderBy(F.desc("n")).limit(2).select("_key", F.col("digit").alias("prefix"))
+    second = quantiles.bucket_counts(numbered, wanted, 2 * quantiles.DIGIT_BITS)
+    assert 0 < second.count() <= 2 * 2**quantiles.DIGIT_BITS
+    plan = second._jdf.queryExecution().executedPlan().toString()
+    before_exchange = plan.split("Exchange hashpartitioning")[1]
+    assert "partial_count" in before_exchange and "Sort " not in plan
