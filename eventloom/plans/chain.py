@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.frames import EventFrame
-from eventloom.functions.quantiles import exact_quantiles, value_counts
+from eventloom.functions.quantiles import exact_quantiles
 from eventloom.operators.base import CodeOperator, Operator, value_number
 from eventloom.operators.codes import CodeEnrichment
 from eventloom.operators.values import PerCodeEdges
@@ -63,7 +63,7 @@ def fit_operators(operators: list[Operator], train: DataFrame, fit_mode: str = "
 
 
 def _fit_together(learners: list[PerCodeEdges], train: DataFrame) -> None:
-    """One scan and one shuffle collect the (code, value) counts of every learner."""
+    """Quantiles of every learner; those that ask for the same ones learn from one table."""
     hits = [
         F.when(
             op.matches() & value_number(train, op.value_column).isNotNull(),
@@ -72,12 +72,13 @@ def _fit_together(learners: list[PerCodeEdges], train: DataFrame) -> None:
         for i, op in enumerate(learners)
     ]
     values = train.select("code", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("code", "hit.*")
-    counts = materialize(value_counts(values, ["op", "code"], "value"), "value-counts")
     by_probabilities: dict[tuple, list[int]] = {}
     for i, op in enumerate(learners):
         by_probabilities.setdefault(tuple(op.probabilities), []).append(i)
+    if len(by_probabilities) > 1:
+        values = materialize(values, "training-values")
     fits = [
-        exact_quantiles(counts.where(F.col("op").isin(ops)), ["op", "code"], "value", list(probabilities))
+        exact_quantiles(values.where(F.col("op").isin(ops)), ["op", "code"], "value", list(probabilities))
         for probabilities, ops in by_probabilities.items()
     ]
     edges = materialize(reduce(DataFrame.unionByName, fits), "code-edges")
