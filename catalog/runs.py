@@ -75,16 +75,26 @@ def run_bpe(f):
     checked(byte_pairs.POSITIONED, *VIEWS_USED, **PHRASES, **byte_pairs.text_learning(SPLIT_TEXTS, "text_sequence_with_time", 90), **byte_pairs.SPELLED),
 )
 def run_text_bpe(f):
-    """Translate, learn a text vocabulary, encode: three jobs with Parquet between them."""
+    """Translate, learn a text vocabulary, encode: the text job over shards of every split."""
     from eventloom.operators.phrases import EventPhrases
-    from eventloom.plans.text_vocab import encode_texts, train_to_largest
-    from eventloom.plans.translation import translate_dataset
-
-    path = stage_path(f, "translated")
-    translate_dataset(EventPhrases(f.labitems(), f.icd(), f.icd()), f.events(), path)
-    texts = f.spark.read.parquet(path)
-    tokenizer = train_to_largest(texts.where(TRAIN), "text_sequence_with_time", [90], 2)
-    return encode_texts(tokenizer, texts).select("subject_id", "split", joined("tokens"), joined("timestamps"))
+    from eventloom.plans.text_job import run_text_job
+    from eventloom.plans.text_vocab import vocab_folder
+    from eventloom.sources.events import EVENT_SPLITS
+    from eventloom.sources.sinks import write_shards
+
+    folder = stage_path(f, "text-job")
+    shards, texts, vocabularies, encoded = (f"{folder}/{name}" for name in ("events", "texts", "vocabularies", "encoded"))
+    splits = list(EVENT_SPLITS)
+    write_shards(f.events(), shards)
+    config = {
+        "translation": {"meds_root": shards, "output_root": texts, "splits": splits},
+        "bpe_training": {"data_root": texts, "output_dir": vocabularies, "vocab_sizes": [90]},
+        "encoding": {"data_root": texts, "tokenizer_dir": vocab_folder(vocabularies, 90), "output_root": encoded, "splits": splits},
+    }
+    run_text_job(f.spark, config, EventPhrases(f.labitems(), f.icd(), f.icd()))
+    rows = [f.spark.read.parquet(f"{encoded}/{split}").withColumn("split", F.lit(split)) for split in splits]
+    both = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return both.select("subject_id", "split", joined("tokens"), joined("timestamps"))
 
 
 @query(

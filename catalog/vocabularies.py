@@ -24,6 +24,7 @@ from eventloom.operators.bpe import (
 from eventloom.operators.pair_index import neighbour_pairs
 from eventloom.operators.tokens import SPECIAL_TOKENS, Markers
 from eventloom.operators.word_vocab import WordLevel, positions, token_counts, vocabulary
+from eventloom.plans.text_vocab import counted_words, vocab_experiments
 from eventloom.sources.events import in_splits, text_column
 
 VOCAB_SIZE = 120
@@ -257,7 +258,7 @@ def text_bpe_bytelevel_train(f):
 @query("text_bpe_eval", checked(EVAL_SQL.format(size=150), "text_rows", **TEXT_BPE, **SPELLED))
 def text_bpe_eval(f):
     tokenizer = text_bpe(f)
-    return text_eval(tokenizer.encode_texts(texts(f, "test"), TEXT), TEXT, tokenizer.vocab_size)
+    return text_eval(counted_words(tokenizer, texts(f, "test"), TEXT), tokenizer.model, [tokenizer.vocab_size])
 
 
 @query(
@@ -272,7 +273,7 @@ LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM spelled
 )
 def text_bpe_vocab_counts(f):
     tokenizer = text_bpe(f)
-    return vocab_counts(tokenizer.encode_texts(texts(f, "test"), TEXT), tokenizer.model, tokenizer.specials)
+    return vocab_counts(counted_words(tokenizer, texts(f, "test"), TEXT), tokenizer)
 
 
 @query(
@@ -289,8 +290,6 @@ FROM (SELECT size, sum(len(form)) AS total FROM reached JOIN bp_run USING (n) JO
     ),
 )
 def vocab_sweep(f):
-    from eventloom.plans.text_vocab import vocab_experiments
-
     return vocab_experiments(texts(f, "train"), texts(f, "test"), TEXT, [120, 135, 150])
 
 

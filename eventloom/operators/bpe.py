@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
 from functools import partial
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from eventloom.operators.pieces import (
     encode_list_column,
     event_encoder,
     learn,
+    lengths_at,
+    merge_ranks,
     special_aware_encoder,
     symbol,
     text_encoder,
@@ -202,6 +208,19 @@ class TextBpe(_TextBytePairs):
         smaller.model = self.model.cut(vocab_size)
         return smaller
 
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, min_frequency: int = 2) -> "TextBpe":
+        """A vocabulary from the ``vocab.csv`` and ``merges`` of its folder."""
+        from eventloom.sources.events import read_vocab
+
+        # As many rows as the vocabulary has entries.
+        ids = {r["str"]: r["token"] for r in read_vocab(spark, f"{folder}/vocab.csv").collect()}
+        rows = spark.read.parquet(f"{folder}/merges").orderBy("rank").collect()
+        merges = [(r["left"], r["right"], r["merged"]) for r in rows]
+        loaded = cls(len(ids), min_frequency)
+        loaded.model = Merges(ids, merges, len(ids) - len({merged for _, _, merged in merges}))
+        return loaded
+
     def decode(self, timelines: DataFrame) -> DataFrame:
         """Text of byte-level ids."""
         spark = timelines.sparkSession
@@ -249,22 +268,60 @@ class WhitespaceBpe(_TextBytePairs):
         )
 
 
-def text_eval(encoded: DataFrame, text: str, vocab_size: int) -> DataFrame:
-    """Sequence length, characters per token and token total of encoded test texts."""
-    n = F.count(F.lit(1))
-    total = F.coalesce(F.sum(F.size("tokens")), F.lit(0))
-    chars = F.coalesce(F.sum(F.length(text)), F.lit(0))
-    return encoded.agg(
-        F.lit(vocab_size).cast("bigint").alias("vocab_size"),
+def text_words(rows: DataFrame, text: str, split: Callable[[Column], Column]) -> DataFrame:
+    """Distinct words of a text column and how often they occur, from one scan.
+
+    The row of the null word counts the texts and their characters.
+    """
+    none = F.lit(None).cast("string")
+    words = F.transform(split(F.col(text)), lambda w: F.struct(w.alias("word"), F.lit(0).cast("long").alias("chars")))
+    texts = F.array(F.struct(none.alias("word"), F.length(text).cast("long").alias("chars")))
+    each = rows.select(F.explode(F.concat(words, texts)).alias("each")).select("each.*")
+    return each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+
+
+def text_eval(words: DataFrame, model: Merges, sizes: list[int]) -> DataFrame:
+    """Sequence length, characters per token and token total for every vocabulary size, from ``text_words``.
+
+    Each distinct word is merged once, whatever the number of sizes.
+    """
+    ranks = merge_ranks(model.merges)
+    cuts = [len(merge_ranks(model.cut(size).merges)) for size in sizes]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, texts, chars = [0] * len(cuts), 0, 0
+        for batch in batches:
+            for word, n, c in zip(*[batch.column(name).to_pylist() for name in ("word", "n", "chars")]):
+                if word is None:
+                    texts, chars = texts + n, chars + c
+                else:
+                    tokens = [t + n * length for t, length in zip(tokens, lengths_at(word, ranks, cuts))]
+        row = {"place": list(range(len(cuts))), "tokens": tokens, "texts": [texts] * len(cuts), "chars": [chars] * len(cuts)}
+        yield pa.RecordBatch.from_pydict(row)
+
+    sums = words.mapInArrow(count, "place long, tokens long, texts long, chars long").groupBy("place").agg(
+        F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts"), F.sum("chars").alias("chars")
+    )
+    asked = words.sparkSession.createDataFrame(list(enumerate(sizes)), "place long, vocab_size long").join(sums, "place", "left")
+    total, n = F.coalesce("tokens", F.lit(0)), F.coalesce("texts", F.lit(0))
+    return asked.select(
+        "vocab_size",
         F.when(n > 0, F.round(total / n, 2)).otherwise(0.0).alias("avg_seq_length"),
-        F.when(total > 0, F.round(chars / total, 2)).otherwise(0.0).alias("compression_ratio"),
-        total.cast("bigint").alias("total_tokens_in_test"),
+        F.when(total > 0, F.round(F.coalesce("chars", F.lit(0)) / total, 2)).otherwise(0.0).alias("compression_ratio"),
+        total.alias("total_tokens_in_test"),
     )
 
 
-def vocab_counts(encoded: DataFrame, model: Merges, specials: list[str]) -> DataFrame:
-    """Occurrences of every vocabulary id in encoded texts."""
-    vocab = vocab_table(encoded.sparkSession, model).drop("count")
-    counts = encoded.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+def vocab_counts(words: DataFrame, tokenizer: "_TextBytePairs") -> DataFrame:
+    """Occurrences of every vocabulary id in the texts that ``text_words`` counted."""
+    vocab = vocab_table(words.sparkSession, tokenizer.model).drop("count")
+    ids = encode_column(tokenizer.encoder(), F.col("word"))
+    each = words.where("word is not null").select(F.explode(ids).alias("token"), "n")
+    counts = each.groupBy("token").agg(F.sum("n").alias("count"))
     joined = vocab.join(counts, "token", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    return joined.orderBy(F.desc(F.col("str").isin(specials)), F.desc("count"), "token").select("token", "str", "count")
+    specials = F.col("str").isin(tokenizer.specials)
+    return joined.orderBy(F.desc(specials), F.desc("count"), "token").select("token", "str", "count")
+
+
+# Executors need no installed copy of this module: its functions travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,9 +7,10 @@ strings is the order of symbol ids. ``pair_index`` holds the words and their pai
 
 from __future__ import annotations
 
+import math
 import re
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -108,12 +109,17 @@ def _numbers(pair: str) -> tuple[int, int]:
     return number(pair[0]), number(pair[1])
 
 
-def split_word(word: str, ranks: dict[tuple[str, str], int], pieces: list[str]) -> list[str]:
-    """Apply the earliest learned merge of a word everywhere in it, until none applies."""
-    while len(pieces) > 1:
-        best = min(zip(pieces, pieces[1:]), key=lambda pair: ranks.get(pair, len(ranks)))
-        if best not in ranks:
-            return pieces
+def merge_steps(word: str, ranks: dict[tuple[str, str], int], pieces: list[str]) -> Iterator[tuple[list[str], float]]:
+    """Pieces of a word before each merge, with the merge's rank: the earliest learned one, everywhere in the word.
+
+    The last step has infinite rank: nothing applies any more.
+    """
+    while True:
+        best = min(zip(pieces, pieces[1:]), key=lambda pair: ranks.get(pair, math.inf), default=None)
+        rank = ranks.get(best, math.inf)
+        yield pieces, rank
+        if rank == math.inf:
+            return
         joined, i = [], 0
         while i < len(pieces):
             if i + 1 < len(pieces) and (pieces[i], pieces[i + 1]) == best:
@@ -123,9 +129,30 @@ def split_word(word: str, ranks: dict[tuple[str, str], int], pieces: list[str])
                 joined.append(pieces[i])
                 i += 1
         pieces = joined
+
+
+def split_word(word: str, ranks: dict[tuple[str, str], int], pieces: list[str]) -> list[str]:
+    """Apply the earliest learned merge of a word everywhere in it, until none applies."""
+    for pieces, _ in merge_steps(word, ranks, pieces):
+        pass
     return pieces
 
 
+def lengths_at(word: str, ranks: dict[tuple[str, str], int], cuts: list[int]) -> list[int]:
+    """Number of pieces of a word under the first ``cut`` ranks, for every cut, from one run of its merges.
+
+    A run with fewer ranks takes the same merges until the first one that it lacks.
+    """
+    lengths: list[int | None] = [None] * len(cuts)
+    for pieces, rank in merge_steps(word, ranks, list(word)):
+        for i, cut in enumerate(cuts):
+            if lengths[i] is None and rank >= cut:
+                lengths[i] = len(pieces)
+        if None not in lengths:
+            break
+    return lengths
+
+
 def _memoized(encode: Callable[[str], list[int]]) -> Callable[[str], list[int]]:
     """Remember recent words; the memo is emptied when full, so a task's memory stays bounded."""
     memo: dict[str, list[int]] = {}
@@ -141,7 +168,7 @@ def _memoized(encode: Callable[[str], list[int]]) -> Callable[[str], list[int]]:
     return lookup
 
 
-def _ranks(merges: list[tuple[str, str, str]]) -> dict[tuple[str, str], int]:
+def merge_ranks(merges: list[tuple[str, str, str]]) -> dict[tuple[str, str], int]:
     ranks: dict[tuple[str, str], int] = {}
     for left, right, _text in merges:
         ranks.setdefault((left, right), len(ranks))
@@ -150,7 +177,7 @@ def _ranks(merges: list[tuple[str, str, str]]) -> dict[tuple[str, str], int]:
 
 def event_encoder(model: Merges, suffix: str, whole: dict[str, int]) -> Callable[[str], list[int]]:
     """Encode one event string; special tokens stay whole, unknown pieces get id 0."""
-    ranks = _ranks(model.merges)
+    ranks = merge_ranks(model.merges)
 
     def encode(word: str) -> list[int]:
         if word in whole:
@@ -165,7 +192,7 @@ def event_encoder(model: Merges, suffix: str, whole: dict[str, int]) -> Callable
 
 def text_encoder(model: Merges, unknown: str) -> Callable[[str], list[int]]:
     """Encode one word of a text."""
-    ranks = _ranks(model.merges)
+    ranks = merge_ranks(model.merges)
     missing = model.ids[unknown]
     return _memoized(lambda word: [model.ids.get(p, missing) for p in split_word(word, ranks, list(word))])
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.bpe import TextBpe, merges_table, text_eval, vocab_counts
+from eventloom.operators.bpe import TextBpe, merges_table, text_eval, text_words, vocab_counts
+from eventloom.session import materialize
 from eventloom.sources.events import in_splits, read_text_splits, text_column
 from eventloom.sources.sinks import write_mode, write_report, write_timelines, write_vocab
 
@@ -22,6 +21,10 @@ def train_to_largest(train: DataFrame, column: str, vocab_sizes: list[int], min_
     return TextBpe(max(vocab_sizes), min_frequency).train_texts(F.col(column), train)
 
 
+def counted_words(tokenizer: TextBpe, rows: DataFrame, column: str = DEFAULT_COLUMN) -> DataFrame:
+    return text_words(rows, column, type(tokenizer).split)
+
+
 def vocab_experiments(
     train: DataFrame,
     test: DataFrame,
@@ -29,12 +32,9 @@ def vocab_experiments(
     vocab_sizes: list[int] = DEFAULT_VOCAB_SIZES,
     min_frequency: int = DEFAULT_MIN_FREQUENCY,
 ) -> DataFrame:
-    """One row of test metrics per vocabulary size."""
+    """One row of test metrics per vocabulary size: one training, one scan of the test texts."""
     largest = train_to_largest(train, column, vocab_sizes, min_frequency)
-    rows = [
-        text_eval(largest.cut(size).encode_texts(test, column), column, size) for size in vocab_sizes
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    return text_eval(counted_words(largest, test, column), largest.model, vocab_sizes)
 
 
 def positional(tokens: Column) -> Column:
@@ -53,6 +53,10 @@ def encode_texts(
     return encoded.select(*keep, "tokens", positional(F.col("tokens")).alias("timestamps"))
 
 
+def vocab_folder(output_dir: str, size: int) -> str:
+    return f"{output_dir.rstrip('/')}/vocab_{size}"
+
+
 def run_text_vocab(
     spark,
     data_root: str,
@@ -68,15 +72,13 @@ def run_text_vocab(
     train, test = in_splits(texts, ["train"]), in_splits(texts, ["test"])
     mode = write_mode(overwrite=overwrite)
     largest = train_to_largest(train, column, vocab_sizes, min_frequency)
-    rows = []
+    words = materialize(counted_words(largest, test, column), "test-words")
     for size in vocab_sizes:
         tokenizer = largest.cut(size)
-        encoded = tokenizer.encode_texts(test, column)
-        folder = f"{output_dir.rstrip('/')}/vocab_{size}"
-        write_vocab(vocab_counts(encoded, tokenizer.model, tokenizer.specials), f"{folder}/vocab.csv", mode)
+        folder = vocab_folder(output_dir, size)
+        write_vocab(vocab_counts(words, tokenizer), f"{folder}/vocab.csv", mode)
         merges_table(spark, tokenizer.model).write.mode(mode).parquet(f"{folder}/merges")
-        rows.append(text_eval(encoded, column, size))
-    write_report(reduce(DataFrame.unionByName, rows), f"{output_dir}/experiment_metrics.csv", mode)
+    write_report(text_eval(words, largest.model, vocab_sizes), f"{output_dir}/experiment_metrics.csv", mode)
     chosen = largest.cut(encode_size) if encode_size else largest
     if encode_size:
         write_timelines(encode_texts(chosen, texts, column), f"{output_dir}/encoded_{encode_size}", mode)
