@@ -482,7 +482,7 @@ def subject_timeline(f):
 @query(
     "time_delta_text",
     with_views(
-        f"SELECT subject_id, seq, {TIME_TEXT.format(d='secs')} AS text FROM (SELECT subject_id, seq, epoch_us(time) / 1e6 AS secs FROM {ME} WHERE epoch_us(time) >= 0)",
+        f"SELECT subject_id, seq, {TIME_TEXT.format(d='secs')} AS text FROM (SELECT subject_id, seq, coalesce(epoch_us(time), 0) / 1e6 AS secs FROM {ME})",
         ME,
     ),
 )
@@ -490,7 +490,6 @@ def time_delta_text(f):
     from eventloom.functions.gaps import elapsed_text
     from eventloom.schema import epoch_seconds
 
-    rows = f.events().where(F.unix_micros("time") >= 0)
-    return rows.select("subject_id", "seq", elapsed_text(epoch_seconds()).alias("text"))
+    return f.events().select("subject_id", "seq", elapsed_text(epoch_seconds()).alias("text"))
 
 

@@ -263,13 +263,13 @@ _strings_query("text_markers", Markers(False, False, True))
         ME,
         "static_subjects",
         **SORTED_STATIC,
-        flat="SELECT *, NULL AS numeric_value, NULL AS unit FROM static_rows",
-        **strings_sql("flat", "seq"),
+        flat=f"""SELECT subject_id, time, t, code, numeric_value, text_value, unit, seq FROM ({text_events_sql()})
+          UNION ALL SELECT subject_id, NULL, t, code, NULL, text_value, NULL, seq FROM static_rows""",
+        **strings_sql("flat", "time NULLS FIRST, seq"),
     ),
 )
 def suppress_placeholder(f):
-    static = with_static(f).where("seq < -1")
-    return shown_strings(build_sequence(static), Markers(False, False, False)).select("subject_id", "strings")
+    return shown_strings(build_sequence(with_static(f)), Markers(False, False, False)).select("subject_id", "strings")
 
 
 @query(
@@ -295,8 +295,7 @@ LEVEL_EVENTS = {
     "levels": f"""SELECT subject_id, seq, e.code, e.text_value, CASE WHEN numeric_value IS NULL THEN NULL
       WHEN starts_with(e.code, 'LAB//') AND edges IS NOT NULL THEN
         CASE WHEN numeric_value < edges[1] THEN 'low' WHEN numeric_value <= edges[3] THEN 'normal' ELSE 'high' END
-      ELSE CAST(numeric_value AS VARCHAR) END AS numeric_value, time FROM {ME} e LEFT JOIN edges q ON e.code = q.code
-      WHERE e.code IS NOT NULL""",
+      ELSE CAST(numeric_value AS VARCHAR) END AS numeric_value, time FROM {ME} e LEFT JOIN edges q ON e.code = q.code""",
     "terms": """SELECT 'M' || upper(code) AS key, arg_max(term, file_order) AS term FROM medical_terms GROUP BY 1
       UNION ALL SELECT 'L' || upper(code), arg_max(term, file_order) FROM lab_terms GROUP BY 1""",
 }
@@ -305,7 +304,7 @@ TITLED = """array_to_string(list_transform(regexp_extract_all(replace(upper(stri
 
 
 def levelled(f):
-    events = f.events().where("code is not null")
+    events = f.events()
     op = QuantileBin3Level("starts_with", "LAB//", "numeric_value").fit(events.where(TRAIN))
     return op.transform(events)
 
@@ -323,7 +322,7 @@ TERM_JOIN = """LEFT JOIN terms ON key = CASE WHEN starts_with(code, 'LAB//') THE
 @query(
     "natural_language_translation",
     with_views(
-        f"SELECT subject_id, seq, {NL_CASES} AS code, numeric_value FROM labelled",
+        f"SELECT subject_id, seq, {NL_CASES} AS code, numeric_value FROM labelled WHERE code IS NOT NULL",
         ME,
         "medical_terms",
         "lab_terms",
@@ -350,7 +349,7 @@ WHERE code NOT IN ('low', 'normal', 'high', 'very low', 'very high')""",
         "medical_terms",
         "lab_terms",
         terms=LEVEL_EVENTS["terms"],
-        mixed=f"SELECT * REPLACE ({LABEL_ROWS} AS code) FROM {ME} WHERE code IS NOT NULL",
+        mixed=f"SELECT * REPLACE ({LABEL_ROWS} AS code) FROM {ME}",
         looked=f"""SELECT *, lead(code) OVER (PARTITION BY subject_id ORDER BY time NULLS FIRST, seq) AS next_code FROM mixed""",
         labelled=f"""SELECT l.*, term, {TITLED} AS titled, CASE WHEN starts_with(code, 'LAB//') AND
           next_code IN ('low', 'normal', 'high', 'very low', 'very high') THEN next_code END AS label
@@ -360,8 +359,7 @@ WHERE code NOT IN ('low', 'normal', 'high', 'very low', 'very high')""",
 def natural_language_next_code(f):
     labels = F.array(*[F.lit(x) for x in ("low", "normal", "high", "very low", "very high")])
     picked = F.get(labels, F.pmod(F.floor(F.col("seq") / 3), F.lit(5)).cast("int"))
-    events = f.events().where("code is not null")
-    mixed = events.withColumn("code", F.when(F.pmod("seq", F.lit(3)) == 0, picked).otherwise(F.col("code")))
+    mixed = f.events().withColumn("code", F.when(F.pmod("seq", F.lit(3)) == 0, picked).otherwise(F.col("code")))
     rows = translator(f, "next_code").apply(build_sequence(mixed))
     return rows.df.select("subject_id", "seq", "code")
 

@@ -56,7 +56,10 @@ def configured_gap(gap: Column, intervals: dict[str, dict]) -> Column:
 
 
 def elapsed_text(seconds: Column) -> Column:
-    """``T0``, ``+2.3 years``, ``+45 days`` ... for a difference in seconds."""
+    """``T0``, ``+2.3 years``, ``+45 days`` ... for a difference in seconds.
+
+    A negative difference is shown in whole seconds (``+-90 seconds``), no difference as ``T0``, null as null.
+    """
     years = seconds / 31_557_600.0
     days = seconds / 86_400.0
     hours = seconds / 3_600.0

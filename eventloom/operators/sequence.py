@@ -150,6 +150,9 @@ class NaturalLanguageTranslation(SequenceOperator):
     ``bin_source="value"`` takes the label from the event's own value, where the
     binning operators put it; ``"next_code"`` from the code of the next event,
     which is then consumed. Lookups are CSV paths or DataFrames.
+
+    An event without a code has no phrase and goes, and so does a label that stands as a
+    code of its own; a null code after a measurement is no label for it.
     """
 
     def __init__(
