@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from catalog.events import ME
 from catalog.fixtures import with_views
-from catalog.registry import query, stage_path
+from catalog.registry import ORACLES, query, stage_path
 from catalog.sequences import TOKEN_ORDER
 from catalog.vocabularies import VOCAB, trained
 from eventloom.reports import cohort, narratives, subjects
 from eventloom.session import materialize
 from eventloom.sources import events as readers
 from eventloom.sources import sinks
+from eventloom.sources.layout import read_bucketed, write_bucketed
 
 LABELLED = (ME, "subject_labels", "static_subjects")
 
@@ -402,6 +403,26 @@ def validate_subjects(f):
     return subjects.validate_subjects(f.events(), f.view("subject_labels"))
 
 
+@query("layout_validate_subjects", ORACLES["validate_subjects"])
+def layout_validate_subjects(f):
+    """Ids on one side only, both sides stored in buckets of subjects: no exchange."""
+    folder = stage_path(f, "layout")
+    for name, df in (("raw", f.events().select("subject_id", "seq")), ("labels", f.view("subject_labels"))):
+        write_bucketed(df, f"{folder}/{name}")
+    return subjects.validate_subjects(read_bucketed(f.spark, f"{folder}/raw"), read_bucketed(f.spark, f"{folder}/labels"))
+
+
+@query("layout_narrative_dataset", ORACLES["narrative_dataset"])
+def layout_narrative_dataset(f):
+    """Narratives from timelines and labels stored in buckets of subjects."""
+    folder = stage_path(f, "layout")
+    timelines, vocab = encoded(f)
+    sinks.write_timelines(timelines, f"{folder}/timelines", by_subject=True)
+    write_bucketed(f.view("subject_labels"), f"{folder}/labels")
+    stored = readers.read_timelines(f.spark, f"{folder}/timelines")
+    return _shown_narratives(narratives.narrative_dataset(stored, phrases(f, vocab), read_bucketed(f.spark, f"{folder}/labels")))
+
+
 @query(
     "validation_summary",
     with_views(
@@ -443,16 +464,19 @@ TIME_TEXT = """CASE WHEN {d} = 0 THEN 'T0' WHEN {d} / 31557600.0 >= 1 THEN '+' |
   WHEN {d} / 60.0 >= 1 THEN '+' || printf('%.0f', {d} / 60.0) || ' minutes' ELSE '+' || printf('%.0f', {d}) || ' seconds' END"""
 
 
-@query(
-    "subject_timeline",
-    with_views(
-        f"""SELECT subject_id, kind, text, ts_us, row_number() OVER w AS pos,
+LOOKED_AT = """SELECT subject_id, kind, text, ts_us, row_number() OVER w AS pos,
 CASE WHEN ts_us = 0 THEN 'None' WHEN kind = 'ehr' AND text = 'MEDS_BIRTH' THEN 'T0'
-  WHEN p IS NULL OR p = 0 THEN CASE WHEN birth <> 0 THEN {TIME_TEXT.format(d="((ts_us - birth) / 1e6)")} ELSE 'T0' END
-  WHEN p = ts_us THEN '-' ELSE {TIME_TEXT.format(d="((ts_us - p) / 1e6)")} END AS gap
+  WHEN p IS NULL OR p = 0 THEN CASE WHEN birth <> 0 THEN {since_birth} ELSE 'T0' END
+  WHEN p = ts_us THEN '-' ELSE {since} END AS gap
 FROM (SELECT *, lag(ts_us) OVER w AS p FROM both_rows WINDOW w AS (PARTITION BY subject_id ORDER BY CAST(ts_us <> 0 AS INT), ts_us, source, pos))
-LEFT JOIN births USING (subject_id)
-WINDOW w AS (PARTITION BY subject_id ORDER BY CAST(ts_us <> 0 AS INT), ts_us, source, pos)""",
+LEFT JOIN births USING (subject_id) {which}
+WINDOW w AS (PARTITION BY subject_id ORDER BY CAST(ts_us <> 0 AS INT), ts_us, source, pos)"""
+
+
+def _looked_at(which: str = "") -> str:
+    times = {"since_birth": TIME_TEXT.format(d="((ts_us - birth) / 1e6)"), "since": TIME_TEXT.format(d="((ts_us - p) / 1e6)")}
+    return with_views(
+        LOOKED_AT.format(**times, which=which),
         ME,
         "subject_notes",
         **LONG,
@@ -462,23 +486,51 @@ WINDOW w AS (PARTITION BY subject_id ORDER BY CAST(ts_us <> 0 AS INT), ts_us, so
           epoch_us(CAST(charttime AS TIMESTAMP)) AS ts_us, text FROM subject_notes WHERE subject_id IN (SELECT subject_id FROM ends)""",
         both_rows="""SELECT subject_id, 'ehr' AS kind, 0 AS source, pos, ts_us, str AS text FROM decoded
           UNION ALL SELECT subject_id, 'note', 1, pos, ts_us, text FROM note_rows""",
-    ),
-)
-def subject_timeline(f):
-    from catalog.sequences import with_positions
+    )
+
+
+def _numbered_notes(f):
     from pyspark.sql import Window
-    from eventloom.ordering import order_groups
 
-    timelines, vocab = encoded(f)
     order = F.row_number().over(Window.partitionBy("subject_id").orderBy("charttime", "text"))
-    notes = f.view("subject_notes").withColumn("note_order", order)
-    df = subjects.subject_timeline(timelines.drop("split"), vocab, notes)
+    return f.view("subject_notes").withColumn("note_order", order)
+
+
+def _shown_timeline(df):
+    from catalog.sequences import with_positions
+    from eventloom.ordering import order_groups
+
     df = df.withColumn("timed", (F.col("ts") != 0).cast("int"))
     placed = with_positions(order_groups(df, ["subject_id"], ["timed", "ts", "source", "place"]))
     ts = F.round(F.col("ts") * 1e6).cast("bigint").alias("ts_us")
     return placed.select("subject_id", "kind", "text", ts, "pos", "gap")
 
 
+@query("subject_timeline", _looked_at())
+def subject_timeline(f):
+    timelines, vocab = encoded(f)
+    return _shown_timeline(subjects.subject_timeline(timelines.drop("split"), vocab, _numbered_notes(f)))
+
+
+@query(
+    "subject_lookup",
+    _looked_at("WHERE subject_id = (SELECT subject_id FROM line GROUP BY subject_id ORDER BY count(*) DESC, subject_id LIMIT 1)"),
+)
+def subject_lookup(f):
+    """The longest timeline, read through an index of the files of all timelines and notes."""
+    from eventloom.sources.file_index import FileIndex
+
+    timelines, vocab = encoded(f)
+    folder = stage_path(f, "lookup")
+    timelines.write.parquet(f"{folder}/timelines")
+    _numbered_notes(f).write.parquet(f"{folder}/notes")
+    indexes = [FileIndex(f.spark, f"{folder}/{name}", f"{folder}/{name}-index").build() for name in ("timelines", "notes")]
+    written = f.spark.read.parquet(f"{folder}/timelines")
+    longest = written.orderBy(F.size("tokens").desc(), "subject_id").first()["subject_id"]
+    found = subjects.look_up_subject(indexes[0], vocab, longest, indexes[1])
+    return _shown_timeline(found.drop("split"))
+
+
 @query(
     "time_delta_text",
     with_views(

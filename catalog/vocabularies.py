@@ -23,7 +23,7 @@ from eventloom.operators.bpe import (
 )
 from eventloom.operators.pair_index import neighbour_pairs
 from eventloom.operators.tokens import SPECIAL_TOKENS, Markers
-from eventloom.operators.word_vocab import WordLevel, positions, token_counts, vocabulary
+from eventloom.operators.word_vocab import WordLevel, token_counts, vocabulary, with_strings
 from eventloom.plans.text_vocab import counted_words, vocab_experiments
 from eventloom.sources.events import in_splits, text_column
 
@@ -352,10 +352,6 @@ def decode_preview(f, length: int | None = None):
     tokenizer = text_bpe(f)
     shown = F.col("tokens") if length is None else F.slice("tokens", 1, length)
     encoded = tokenizer.encode_texts(texts(f), TEXT).select("subject_id", shown.alias("tokens"))
-    ids = positions(encoded, "subject_id").join(vocab_table(f.spark, tokenizer.model).drop("count"), "token")
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "token", "str")))
-    pieces = ids.groupBy("subject_id").agg(
-        F.array_join(F.transform(ordered, lambda t: t["token"].cast("string")), "|").alias("ids"),
-        F.array_join(F.transform(ordered, lambda t: t["str"]), "|").alias("pieces"),
-    )
-    return pieces.join(tokenizer.decode(encoded), "subject_id")
+    named = with_strings(encoded.where(F.size("tokens") > 0), vocab_table(f.spark, tokenizer.model).drop("count"))
+    pieces = named.select("subject_id", "tokens", joined("tokens").alias("ids"), F.array_join("strings", "|").alias("pieces"))
+    return tokenizer.decode(pieces)

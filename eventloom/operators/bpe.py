@@ -24,7 +24,7 @@ from eventloom.operators.pieces import (
     text_encoder,
 )
 from eventloom.operators.tokens import SPECIAL_TOKENS, Markers, assemble
-from eventloom.operators.word_vocab import positions, token_counts
+from eventloom.operators.word_vocab import spoken, token_counts
 from eventloom.ordering import Ordered
 from eventloom.session import materialize
 
@@ -115,14 +115,9 @@ class BytePairTokens:
 
 
 def decode_pieces(timelines: DataFrame, vocab: DataFrame, suffix: str = END_OF_WORD) -> DataFrame:
-    """Join the pieces of a timeline; the suffix becomes a blank. Unknown ids fail."""
-    keys = [c for c in timelines.columns if c not in ("tokens", "timestamps")]
-    looked_up = positions(timelines, *keys).join(vocab.select("token", "str"), "token", "left")
-    message = F.concat(F.lit("Token ID not in vocabulary: "), F.col("token").cast("string"))
-    known = F.when(F.col("str").isNull(), F.raise_error(message).cast("string")).otherwise(F.col("str"))
-    ordered = F.sort_array(F.collect_list(F.struct("pos", known.alias("str"))))
-    joined = F.array_join(F.transform(ordered, lambda t: t["str"]), "")
-    return looked_up.groupBy(*keys).agg(F.trim(F.replace(joined, F.lit(suffix), F.lit(" "))).alias("text"))
+    """Join the pieces of a timeline, looked up inside its array; the suffix becomes a blank. Unknown ids fail."""
+    joined = spoken(timelines, vocab.select("token", "str"), "", strict=True).drop("tokens", "timestamps")
+    return joined.withColumn("text", F.trim(F.replace("text", F.lit(suffix), F.lit(" "))))
 
 
 # Fixed pattern: the contraction, word, number, symbol and blank runs of byte-level splitting.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,9 +80,41 @@ class WordLevel:
         return decode(timelines, self.vocab)
 
 
-def positions(timelines: DataFrame, *keep: str) -> DataFrame:
-    """One row per token id of the timelines, with its position."""
-    return timelines.select(*keep, F.posexplode("tokens").alias("pos", "token"))
+def _strings(strings: DataFrame):
+    """``str`` by ``token``, sent to the executors: at most one row per vocabulary entry."""
+    rows = strings.collect()
+    table: list[str | None] = [None] * (max((r["token"] for r in rows), default=-1) + 1)
+    for row in rows:
+        table[row["token"]] = row["str"]
+    return strings.sparkSession.sparkContext.broadcast(table)
+
+
+def _strings_of(ids: np.ndarray, table: list[str | None]) -> pa.Array:
+    """The string of every id, null for those without."""
+    known = pa.array(table, pa.string())
+    inside = (ids >= 0) & (ids < len(known))
+    if not len(known):
+        return pa.nulls(len(ids), pa.string())
+    return known.take(pa.array(np.where(inside, ids, 0), mask=~inside))
+
+
+def _with_kinds(timelines: DataFrame, more: str) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in timelines.dtypes) + f", {more}"
+
+
+def with_strings(timelines: DataFrame, strings: DataFrame) -> DataFrame:
+    """Add ``strings``: beside each id of ``tokens`` its string, null for ids without one; no shuffle."""
+    shared = _strings(strings)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+            found = _strings_of(lists.flatten().to_numpy(zero_copy_only=False), shared.value)
+            bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(bounds, found)], [*batch.schema.names, "strings"])
+
+    return timelines.mapInArrow(look_up, _with_kinds(timelines, "strings array<string>"))
 
 
 def spoken(timelines: DataFrame, strings: DataFrame, separator: str, strict: bool) -> DataFrame:
@@ -89,20 +123,14 @@ def spoken(timelines: DataFrame, strings: DataFrame, separator: str, strict: boo
     ``strings`` has ``token`` and ``str``, at most one row per vocabulary entry. Ids without a
     string are left out, or fail if ``strict``.
     """
-    rows = strings.collect()
-    table: list[str | None] = [None] * (max((r["token"] for r in rows), default=-1) + 1)
-    for row in rows:
-        table[row["token"]] = row["str"]
-    shared = timelines.sparkSession.sparkContext.broadcast(table)
+    shared = _strings(strings)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(shared.value, pa.string())
         for batch in batches:
             lists = batch.column("tokens")
             ids = lists.flatten().to_numpy(zero_copy_only=False)
-            inside = (ids >= 0) & (ids < len(known))
-            found = known.take(pa.array(np.where(inside, ids, 0))) if len(known) else pa.nulls(len(ids), pa.string())
-            missing = ~inside | found.is_null().to_numpy(zero_copy_only=False)
+            found = _strings_of(ids, shared.value)
+            missing = found.is_null().to_numpy(zero_copy_only=False)
             if strict and missing.any():
                 raise ValueError(f"the vocabulary has no entry for id {ids[missing][0]}")
             counts = np.concatenate([[0], np.cumsum(~missing)])
@@ -112,10 +140,13 @@ def spoken(timelines: DataFrame, strings: DataFrame, separator: str, strict: boo
             text = pc.binary_join(kept.cast(pa.list_(pa.string())), separator)
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "text"])
 
-    kinds = ", ".join(f"`{name}` {kind}" for name, kind in timelines.dtypes)
-    return timelines.mapInArrow(look_up, f"{kinds}, text string")
+    return timelines.mapInArrow(look_up, _with_kinds(timelines, "text string"))
 
 
 def decode(timelines: DataFrame, vocab: DataFrame) -> DataFrame:
     """``text``: the strings of a timeline joined by blanks; an id outside the vocabulary fails."""
     return spoken(timelines, vocab.select("token", "str"), " ", strict=True).drop("tokens", "timestamps")
+
+
+# Executors need no installed copy of this module: its functions travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.gaps import elapsed_text
+from eventloom.operators.word_vocab import with_strings
 from eventloom.ordering import last_before, order_groups
 from eventloom.schema import BIRTH
+from eventloom.sources.file_index import FileIndex
 
 
 def validate_subjects(raw: DataFrame, tokenized: DataFrame) -> DataFrame:
@@ -48,6 +50,11 @@ def shard_index(timelines: DataFrame, notes: DataFrame | None = None) -> DataFra
     return index.join(shards(notes, "clinical_note_shard_filepath"), "subject_id", "left")
 
 
+def look_up_subject(timelines: FileIndex, vocab: DataFrame, subject_id: int, notes: FileIndex | None = None) -> DataFrame:
+    """``subject_timeline`` of one subject, reading only files that may hold it."""
+    return subject_timeline(timelines.read(subject_id), vocab, None if notes is None else notes.read(subject_id))
+
+
 def subject_timeline(
     timelines: DataFrame, vocab: DataFrame, notes: DataFrame | None = None, subject_id: int | None = None
 ) -> DataFrame:
@@ -60,13 +67,12 @@ def subject_timeline(
         timelines = timelines.where(F.col("subject_id") == subject_id)
         notes = None if notes is None else notes.where(F.col("subject_id") == subject_id)
     keys = [c for c in timelines.columns if c in ("subject_id", "split")]
-    tokens = timelines.select(*keys, "chunk", F.posexplode(F.arrays_zip("tokens", "timestamps")).alias("pos", "t"))
-    tokens = tokens.select(
-        *keys, F.struct("chunk", "pos").alias("place"), F.col("t.tokens").alias("token"), F.col("t.timestamps").alias("ts")
-    )
-    events = tokens.join(vocab.select("token", "str"), "token").select(
-        *keys, F.lit("ehr").alias("kind"), F.lit(0).alias("source"), "place", "ts", F.col("str").alias("text")
-    )
+    named = with_strings(timelines.select(*keys, "chunk", "tokens", "timestamps"), vocab.select("token", "str"))
+    tokens = named.select(*keys, "chunk", F.posexplode(F.arrays_zip("strings", "timestamps")).alias("pos", "t"))
+    events = tokens.where("t.strings is not null").select(
+        *keys, F.lit("ehr").alias("kind"), F.lit(0).alias("source"), F.struct("chunk", "pos").alias("place"),
+        F.col("t.timestamps").alias("ts"), F.col("t.strings").alias("text"),
+    )
     rows = events
     if notes is not None:
         subjects = timelines.select(*keys).distinct()

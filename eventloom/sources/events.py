@@ -79,7 +79,10 @@ def in_splits(rows: DataFrame, splits: list[str] | tuple[str, ...]) -> DataFrame
 
 
 def read_timelines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Timelines however they are laid out."""
+    from eventloom.sources.layout import is_bucketed, read_bucketed
+
+    return read_bucketed(spark, path) if is_bucketed(spark, path) else spark.read.parquet(path)
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.sources.layout import write_bucketed
+
 MODES = {"fail": "errorifexists", "overwrite": "overwrite", "skip": "ignore"}
 
 
@@ -12,8 +14,11 @@ def write_mode(overwrite: bool = False, skip_existing: bool = False) -> str:
     return MODES["overwrite" if overwrite else "skip" if skip_existing else "fail"]
 
 
-def write_timelines(timelines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Parquet, one folder per split."""
+def write_timelines(timelines: DataFrame, path: str, mode: str = "errorifexists", by_subject: bool = False) -> None:
+    """Parquet, one folder per split; ``by_subject``: buckets of subjects instead, for joins without an exchange."""
+    if by_subject:
+        write_bucketed(timelines, path, mode=mode)
+        return
     writer = timelines.write.mode(mode)
     (writer.partitionBy("split") if "split" in timelines.columns else writer).parquet(path)
 
