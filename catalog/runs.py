@@ -457,3 +457,25 @@ def run_enrich_config(f):
             "tokenization": word_level(5500),
         },
     )
+
+
+# ---- arriving shards
+
+
+@query("stream_subjects", with_views(ENCODED_SQL, ME, **VOCAB))
+def stream_subjects(f):
+    """The main path over shards that arrive by time, subjects spread over all of them."""
+    from eventloom.streaming.subjects import encode_arriving, timelines
+
+    events = f.events()
+    run = TimelineRun.from_config({**STANDARD, "tokenization": word_level(VOCAB_SIZE)})
+    run.train(run.fit(events).tokens(events))
+    folder = stage_path(f, "stream")
+    shards, output, checkpoint = (f"{folder}/{name}" for name in ("shards", "output", "checkpoint"))
+    arriving = events.drop("split")
+    edges = [F.lit(e) for e in arriving.agg(F.percentile_approx("time", [0.3, 0.7])).first()[0]]
+    first = F.col("time").isNull() | (F.col("time") < edges[0])
+    for part in (first, ~first & (F.col("time") < edges[1]), ~first & (F.col("time") >= edges[1])):
+        arriving.where(part).write.mode("append").parquet(shards)
+        encode_arriving(f.spark, run, shards, arriving.schema, output, checkpoint).awaitTermination()
+    return shown_timelines(timelines(f.spark, run, output).join(events.select("subject_id", "split").distinct(), "subject_id"))

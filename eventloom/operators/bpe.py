@@ -107,8 +107,15 @@ class BytePairTokens:
         """Timelines of piece ids; each piece has its word's time."""
         if self.model is None or not self.model.merges:
             raise ValueError("train before encoding")
-        ids = encode_column(self.encoder(), F.col("token"))
-        return assemble(rows, ids, SPECIAL_TOKENS.index("<start>"), SPECIAL_TOKENS.index("<end>"), "tokens")
+        return assemble(rows, encode_column(self.encoder(), F.col("token")), *self.edge_ids(), "tokens")
+
+    def token_ids(self, tokens: DataFrame) -> DataFrame:
+        """Token rows with ``ids``, what each token becomes."""
+        return tokens.withColumn("ids", encode_column(self.encoder(), F.col("token")))
+
+    def edge_ids(self) -> tuple[int, int]:
+        """Ids that open and close a timeline."""
+        return SPECIAL_TOKENS.index("<start>"), SPECIAL_TOKENS.index("<end>")
 
     def decode(self, timelines: DataFrame) -> DataFrame:
         return decode_pieces(timelines, vocab_table(timelines.sparkSession, self.model), self.suffix)
@@ -257,10 +264,15 @@ class WhitespaceBpe(_TextBytePairs):
 
     def encode(self, rows: Ordered) -> DataFrame:
         """Timelines of piece ids; each piece has its string's time."""
-        ids = self.model.ids
-        return assemble(
-            rows, encode_column(self.encoder(), F.col("token")), ids["<start>"], ids["<end>"], "tokens"
-        )
+        return assemble(rows, encode_column(self.encoder(), F.col("token")), *self.edge_ids(), "tokens")
+
+    def token_ids(self, tokens: DataFrame) -> DataFrame:
+        """Token rows with ``ids``, what each token becomes."""
+        return tokens.withColumn("ids", encode_column(self.encoder(), F.col("token")))
+
+    def edge_ids(self) -> tuple[int, int]:
+        """Ids that open and close a timeline."""
+        return self.model.ids["<start>"], self.model.ids["<end>"]
 
 
 def text_words(rows: DataFrame, text: str, split: Callable[[Column], Column]) -> DataFrame:

@@ -6,10 +6,13 @@ The long table stays long: one row per event with the columns that order it.
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.gaps import LADDERS, configured_gap
+from eventloom.functions.gaps import LADDERS, LEAST_GAP, configured_gap, cut_ranges
 from eventloom.functions.text import part, title_text
 from eventloom.operators.base import value_text
 from eventloom.operators.filters import as_flag
@@ -21,12 +24,9 @@ BASE_ORDER = ["t_us", "seq", "slot"]
 EVENT_SLOT = 1
 
 
-def build_sequence(events: DataFrame, source: DataFrame | None = None) -> Ordered:
-    """Order each subject's events by time (untimed first), then source order.
-
-    ``source``: the table ``events`` were derived from, to count rows per subject.
-    """
-    df = events.withColumns(
+def sequence_rows(events: DataFrame) -> DataFrame:
+    """Events with their values as text and the columns that order them."""
+    return events.withColumns(
         {
             "t_us": epoch_us(),
             "slot": F.lit(EVENT_SLOT),
@@ -34,6 +34,14 @@ def build_sequence(events: DataFrame, source: DataFrame | None = None) -> Ordere
             "text_value": value_text(events, "text_value"),
         }
     )
+
+
+def build_sequence(events: DataFrame, source: DataFrame | None = None) -> Ordered:
+    """Order each subject's events by time (untimed first), then source order.
+
+    ``source``: the table ``events`` were derived from, to count rows per subject.
+    """
+    df = sequence_rows(events)
     return order_groups(df, subject_keys(events), BASE_ORDER, source)
 
 
@@ -78,13 +86,26 @@ class TimeIntervals(SequenceOperator):
             return F.concat(F.lit("<time_interval_"), name, F.lit(">"))
         return F.concat(F.lit(self.unwrapped_prefix if self.dynamic else ""), name)
 
+    def named(self) -> Callable[[int], bool]:
+        """Whether a gap in microseconds has a name, as plain Python."""
+        if self.dynamic:
+            least = LEAST_GAP[self.dataset]
+            return lambda gap: gap >= least
+        starts, names = cut_ranges(self.intervals)
+        return lambda gap: gap >= starts[0] and names[bisect.bisect_right(starts, gap) - 1] is not None
+
     def apply(self, rows: Ordered) -> Ordered:
-        columns = rows.df.columns
         timed = F.when(F.col("time").isNotNull(), F.col("t_us"))
         birth = F.coalesce(F.col("code") == BIRTH, F.lit(False))
         rows = last_before(rows, F.when(~birth, timed), "_seen")
         marked = birth & self.gap_name(timed - F.col("_seen")).isNotNull()
         rows = last_before(rows, F.when(~birth | marked, timed), "_seen")
+        return rows.with_df(self.with_gaps(rows.df))
+
+    def with_gaps(self, df: DataFrame) -> DataFrame:
+        """Gap rows before the events of ``df``; ``_seen`` is the time of the event before, and goes."""
+        columns = [c for c in df.columns if c != "_seen"]
+        timed = F.when(F.col("time").isNotNull(), F.col("t_us"))
         gap_row = {
             "code": self.token(timed - F.col("_seen")),
             "numeric_value": F.lit(None).cast("string"),
@@ -97,8 +118,7 @@ class TimeIntervals(SequenceOperator):
         gap = F.struct(*[gap_row[c].alias(c) for c in kept])
         both = F.when(gap["code"].isNotNull(), F.array(gap, event)).otherwise(F.array(event))
         others = [c for c in columns if c not in kept]
-        df = rows.df.select(*others, F.explode(both).alias("row")).select(*others, "row.*")
-        return rows.with_df(df.select(columns))
+        return df.select(*others, F.explode(both).alias("row")).select(*others, "row.*").select(columns)
 
 
 class DemographicSortOrder(SequenceOperator):

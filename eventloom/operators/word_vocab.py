@@ -72,9 +72,16 @@ class WordLevel:
         """Timelines: ``tokens`` and ``timestamps`` per subject."""
         if self.vocab is None:
             raise ValueError("train before encoding")
-        known = rows.with_df(with_ids(rows.df, self.vocab, self.vocab_size))
-        start, end = SPECIAL_TOKENS.index("<start>"), SPECIAL_TOKENS.index("<end>")
-        return assemble(known, F.array("id"), start, end, "tokens")
+        known = rows.with_df(self.token_ids(rows.df))
+        return assemble(known, F.col("ids"), *self.edge_ids(), "tokens")
+
+    def token_ids(self, tokens: DataFrame) -> DataFrame:
+        """Token rows with ``ids``, what each token becomes."""
+        return with_ids(tokens, self.vocab, self.vocab_size).withColumn("ids", F.array("id")).drop("id")
+
+    def edge_ids(self) -> tuple[int, int]:
+        """Ids that open and close a timeline."""
+        return SPECIAL_TOKENS.index("<start>"), SPECIAL_TOKENS.index("<end>")
 
     def decode(self, timelines: DataFrame) -> DataFrame:
         return decode(timelines, self.vocab)

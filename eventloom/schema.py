@@ -50,11 +50,11 @@ def _with_source_order(df: DataFrame) -> DataFrame:
     """``seq`` from the rank of the file among the sorted paths and the row's place in it.
 
     The ranks are a table of as many rows as the scan lists files. A stream has no
-    list of its files; there the hash of the path stands for the rank.
+    list of its files; there a subject's events of one file are ordered only.
     """
     path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     if df.isStreaming:
-        return df.withColumn("seq", F.shiftleft(F.pmod(F.xxhash64(path), F.lit(1 << 20)), 40) + row)
+        return df.withColumn("seq", row)
     # Paths are listed as ``file:///a`` and shown as ``file:/a``.
     listed = sorted(re.sub(SCHEME, r"\1:/", name) for name in df.inputFiles())
     ranks = df.sparkSession.createDataFrame(list(enumerate(listed)), "_rank bigint, _file string")

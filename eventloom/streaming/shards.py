@@ -1,7 +1,8 @@
 """Encoding event shards as they arrive, with a fitted and trained run.
 
 A shard holds whole subjects, so each micro-batch of new files is encoded like a
-small table. The checkpoint remembers which files are done; a batch is written
+small table, and the row's place in its file orders a subject's events (``subjects``
+encodes subjects that are spread over shards). The checkpoint remembers which files are done; a batch is written
 under its number, so one that is repeated after a failure replaces itself.
 """
 
@@ -31,13 +32,12 @@ def encode_new_shards(
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(shards)
-        .select("*", "_metadata.file_path", "_metadata.row_index")
+        .select("*", "_metadata.row_index")
     )
 
     def encode(batch: DataFrame, number: int) -> None:
-        seq = F.shiftleft(F.pmod(F.xxhash64("file_path"), F.lit(1 << 20)), 40) + F.col("row_index")
-        events = batch if "seq" in batch.columns else batch.withColumn("seq", seq)
-        rows = run.tokens(event_table(events.drop("file_path", "row_index")))
+        events = batch if "seq" in batch.columns else batch.withColumn("seq", F.col("row_index"))
+        rows = run.tokens(event_table(events.drop("row_index")))
         write_timelines(run.encode(rows), f"{output}/batch={number}", "overwrite")
 
     return (
