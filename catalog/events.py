@@ -460,13 +460,20 @@ UNION ALL SELECT 'level', code, array_to_string(list_transform(edges, lambda e:
     ),
 )
 def fit_jointly(f):
-    ops = [
+    ops = jointly_fitted()
+    fit_operators(ops, f.events().where(TRAIN))
+    return shown_joint_edges(ops)
+
+
+def jointly_fitted() -> list:
+    return [
         QuantileBin("starts_with", "LAB//", 5, "numeric_value"),
         QuantileBin3Level("starts_with", "MEDICAL//", "numeric_value"),
         CodeTruncation("contains", "//"),
     ]
-    fit_operators(ops, f.events().where(TRAIN))
 
+
+def shown_joint_edges(ops: list):
     def shown_edges(name: str, edges) -> list:
         text = F.array_join(F.transform(edges, lambda e: float_text(F.round(e, 4))), "|")
         return [F.lit(name).alias("operator"), "code", text.alias("inner_edges")]

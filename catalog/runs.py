@@ -13,7 +13,7 @@ from catalog.byte_pairs import checked
 from catalog.events import AGES_SQL, BMI, GENDER, GENDER_SQL, MARITAL, MARITAL_SQL, ME, TRAIN, edges_sql
 from catalog.events import BIN_SQL, ICU_ALLOWED, ICU_NOISE, WEIGHT_LABELS, bmi_edges_sql, subject_values_sql
 from catalog.fixtures import with_views
-from catalog.registry import joined, query, stage_path
+from catalog.registry import ORACLES, joined, query, stage_path
 from catalog.reports import LABEL_SQL, LONG, SAID, TERMS
 from catalog.sequences import (
     INTERVAL_CONFIG,
@@ -479,3 +479,48 @@ def stream_subjects(f):
         arriving.where(part).write.mode("append").parquet(shards)
         encode_arriving(f.spark, run, shards, arriving.schema, output, checkpoint).awaitTermination()
     return shown_timelines(timelines(f.spark, run, output).join(events.select("subject_id", "split").distinct(), "subject_id"))
+
+
+# ---- counts kept per shard
+
+
+def _in_two_parts(f, counted, by: str = "subject_id"):
+    """Merged counts after two updates, with half of the subjects in shards that came later."""
+    from eventloom.plans.shard_counts import ShardCounts
+
+    folder = stage_path(f, "shard-counts")
+    store = ShardCounts(f.spark, f"{folder}/shards", f"{folder}/counts", counted)
+    train = f.events().where(TRAIN)
+    for part in (0, 1):
+        train.where(F.pmod(by, F.lit(2)) == part).repartition(3, by).write.mode("append").parquet(f"{folder}/shards")
+        store.update()
+    return store.merged()
+
+
+@query("counts_by_shard", ORACLES["agg_code_counts"])
+def counts_by_shard(f):
+    from eventloom.plans.shard_counts import codes
+
+    return _in_two_parts(f, codes)
+
+
+@query("fit_by_shard", ORACLES["fit_jointly"])
+def fit_by_shard(f):
+    """The joint fit from counts per shard."""
+    from catalog.events import jointly_fitted, shown_joint_edges
+    from eventloom.plans.shard_counts import fit_values, values_of
+
+    ops = jointly_fitted()
+    fit_values(ops, _in_two_parts(f, values_of(ops)))
+    return shown_joint_edges(ops)
+
+
+@query("vocab_by_shard", ORACLES["word_vocab_train"])
+def vocab_by_shard(f):
+    """The vocabulary of the main path from token counts per shard."""
+    from eventloom.operators.word_vocab import WordLevel
+    from eventloom.plans.shard_counts import tokens_of
+
+    run = TimelineRun.from_config({**STANDARD, "tokenization": word_level(VOCAB_SIZE)}).fit(f.events())
+    counts = _in_two_parts(f, tokens_of(run)).withColumnRenamed("n", "count")
+    return WordLevel(VOCAB_SIZE).train_counts(counts).vocab

@@ -31,16 +31,17 @@ def even_probabilities(bins: int) -> list[float]:
 
 
 def exact_quantiles(
-    rows: DataFrame, keys: list[str], value: str, probabilities: list[float], midpoint: bool = False
+    rows: DataFrame, keys: list[str], value: str, probabilities: list[float], midpoint: bool = False, weight: str | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles per key as an array column ``edges``.
 
     Null and NaN values do not count. ``midpoint`` averages the two order statistics (a median).
+    ``weight`` names a column that says how many values a row stands for.
     """
-    number = F.col(value).cast("double")
-    real = rows.where(number.isNotNull() & ~F.isnan(number)).select(F.struct(*keys).alias("_key"), number.alias("_value"))
-    sizes = real.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > group_limit(rows))
+    number, times = F.col(value).cast("double"), F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    real = rows.where(number.isNotNull() & ~F.isnan(number)).select(F.struct(*keys).alias("_key"), number.alias("_value"), times.alias("_n"))
+    sizes = real.groupBy("_key").agg(F.count(F.lit(1)).alias("rows"), F.sum("_n").alias("total"))
+    large = sizes.where(F.col("rows") > group_limit(rows)).drop("rows")
     n_large = large.count()
     found = _sorted(real, probabilities) if not n_large else _in_two_ways(real, materialize(large, "large-keys"), probabilities)
     edge = F.struct("i", _between(midpoint).alias("edge"))
@@ -63,7 +64,7 @@ def _asks(probabilities: list[float]) -> Column:
 
 def _sorted(real: DataFrame, probabilities: list[float]) -> DataFrame:
     """Order statistics by a running count over the distinct values of each key."""
-    counts = real.groupBy("_key", "_value").agg(F.count(F.lit(1)).alias("n"))
+    counts = real.groupBy("_key", "_value").agg(F.sum("_n").alias("n"))
     ordered = Window.partitionBy("_key").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counts.withColumn("past", F.sum("n").over(ordered)).withColumn("total", F.sum("n").over(Window.partitionBy("_key")))
     first = F.col("past") - F.col("n")
@@ -89,8 +90,8 @@ def _in_two_ways(real: DataFrame, large: DataFrame, probabilities: list[float])
 
 def _selected(real: DataFrame, sizes: DataFrame, probabilities: list[float]) -> DataFrame:
     """Order statistics by counts of leading bits."""
-    numbered = materialize(real.select("_key", _order_number()(F.col("_value")).alias("number")), "order-numbers")
-    asks = sizes.withColumnRenamed("n", "total").select("_key", F.explode(_asks(probabilities)).alias("ask")).select("_key", "ask.*")
+    numbered = materialize(real.select("_key", _order_number()(F.col("_value")).alias("number"), "_n"), "order-numbers")
+    asks = sizes.select("_key", F.explode(_asks(probabilities)).alias("ask")).select("_key", "ask.*")
     ranks = asks.select("_key", F.explode(F.array("below", "above")).alias("rank")).distinct()
     open_ = materialize(ranks.withColumns({"left": F.col("rank"), "prefix": F.lit(0).cast("long")}), "wanted-ranks")
     closed: list[DataFrame] = []
@@ -113,11 +114,11 @@ def _selected(real: DataFrame, sizes: DataFrame, probabilities: list[float]) ->
 def bucket_counts(numbered: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     """Counts, least and greatest number by the leading ``bits`` (``digit``) within wanted buckets of ``DIGIT_BITS`` bits less."""
     prefix = F.shiftright("number", 64 - bits + DIGIT_BITS) if bits > DIGIT_BITS else F.lit(0).cast("long")
-    rows = numbered.select("_key", "number", prefix.alias("prefix"), F.shiftright("number", 64 - bits).alias("digit"))
+    rows = numbered.select("_key", "number", "_n", prefix.alias("prefix"), F.shiftright("number", 64 - bits).alias("digit"))
     # A few rows per large key.
     inside = rows.join(F.broadcast(wanted), ["_key", "prefix"])
     return inside.groupBy("_key", "prefix", "digit").agg(
-        F.count(F.lit(1)).alias("n"), F.min("number").alias("low"), F.max("number").alias("high")
+        F.sum("_n").alias("n"), F.min("number").alias("low"), F.max("number").alias("high")
     )
 
 

@@ -55,6 +55,11 @@ class TopKCodes(MatchingOperator):
             .groupBy("code")
             .agg(F.count(F.lit(1)).alias("n"))
         )
+        return self.fit_counts(counts)
+
+    def fit_counts(self, counts: DataFrame) -> "TopKCodes":
+        """Learn from ``code`` and its number ``n`` of training events; codes without the prefix do not matter."""
+        counts = counts.where(F.col("code").startswith(self.matching_value))
         top = counts.orderBy(F.desc("n"), "code").limit(self.k).select("code")
         self.fitted = materialize(top, "top-codes")
         return self

@@ -64,7 +64,12 @@ class WordLevel:
         self.vocab: DataFrame | None = None
 
     def train(self, rows: Ordered) -> "WordLevel":
-        counts = materialize(token_counts(rows.df), "token-counts")
+        return self.train_counts(token_counts(rows.df))
+
+    def train_counts(self, counts: DataFrame) -> "WordLevel":
+        """Learn from ``token`` and ``count``; null and special tokens do not matter."""
+        real = counts.where(F.col("token").isNotNull() & ~F.col("token").isin(SPECIAL_TOKENS))
+        counts = materialize(real, "token-counts")
         self.vocab = materialize(vocabulary(counts, self.vocab_size), "vocabulary")
         return self
 
