@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.frames import EventFrame
 from eventloom.functions.match import raw_test
+from eventloom.functions.prefixes import with_first_prefix
 from eventloom.operators.base import MatchingOperator, Operator
 from eventloom.schema import BIRTH
 from eventloom.session import materialize
@@ -37,6 +38,20 @@ class FilterEvents(MatchingOperator):
         return frame.map(self.keep)
 
 
+class PrefixFilters(Operator):
+    """Drop rows whose code starts with any of many prefixes, and those without a code, as that many filters do."""
+
+    def __init__(self, prefixes: list[str]):
+        self.prefixes = prefixes
+
+    def keep(self, events: DataFrame) -> DataFrame:
+        found = with_first_prefix(events, F.col("code"), self.prefixes, "_dropped_by")
+        return found.where(F.col("code").isNotNull() & F.col("_dropped_by").isNull()).drop("_dropped_by")
+
+    def apply(self, frame: EventFrame) -> EventFrame:
+        return frame.map(self.keep)
+
+
 class TopKCodes(MatchingOperator):
     """Among codes with a prefix keep the k most frequent of the training events.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.frames import EventFrame
 from eventloom.functions.quantiles import bin_number, even_probabilities, exact_quantiles
+from eventloom.functions.prefixes import with_all_prefixes
 from eventloom.functions.text import fixed_text
 from eventloom.operators.base import Operator, value_number
 from eventloom.operators.filters import as_flag
@@ -64,31 +65,18 @@ class DemographicAggregation(Operator):
     def subject_values(self, events: DataFrame) -> DataFrame:
         """One ``value`` per subject and measurement number ``m``."""
         keys = subject_keys(events)
-        code = F.col("code")
-        hits = [
-            F.when(
-                code.startswith(m["token_pattern"]),
-                F.struct(F.lit(i).alias("m"), value_number(events, m["value_column"]).alias("value")),
-            )
-            for i, m in enumerate(self.measurements)
-        ]
-        any_hit = reduce(lambda a, b: a | b, [code.startswith(p) for p in self.patterns])
-        values = (
-            events.where(any_hit)
-            .select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-            .select(*keys, "hit.*")
-            .where(F.col("value").isNotNull())
-        )
+        numbers = [value_number(events, column).alias(column) for column in VALUE_COLUMNS]
+        matched = with_all_prefixes(events.select(*keys, "code", *numbers), F.col("code"), self.patterns, "m")
+        of_text = F.array(*[F.lit(m["value_column"] == "text_value") for m in self.measurements])
+        value = F.when(F.get(of_text, "m"), F.col("text_value")).otherwise(F.col("numeric_value"))
+        values = matched.select(*keys, "m", value.alias("value")).where(F.col("value").isNotNull())
         kinds = [m["aggregation"] for m in self.measurements]
         medians = [i for i, kind in enumerate(kinds) if kind == "median"]
         simple = [i for i, kind in enumerate(kinds) if kind != "median"]
         parts = []
         if simple:
-            chosen = reduce(
-                lambda rest, i: F.when(F.col("m") == i, F.col(kinds[i])).otherwise(rest),
-                simple,
-                F.lit(None).cast("double"),
-            )
+            kind = F.get(F.array(*map(F.lit, kinds)), "m")
+            chosen = F.when(kind == "mean", F.col("mean")).when(kind == "min", F.col("min")).otherwise(F.col("max"))
             sums = values.where(F.col("m").isin(simple)).groupBy(*keys, "m").agg(
                 _exact_mean("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
             )

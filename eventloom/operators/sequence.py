@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.gaps import LADDERS, LEAST_GAP, configured_gap, cut_ranges
+from eventloom.functions.prefixes import with_first_prefix
 from eventloom.functions.text import part, title_text
 from eventloom.operators.base import value_text
 from eventloom.operators.filters import as_flag
@@ -127,23 +128,21 @@ class DemographicSortOrder(SequenceOperator):
     def __init__(self, token_patterns: list[str]):
         self.patterns = list(dict.fromkeys(token_patterns))
 
-    def priority(self) -> Column:
-        found = F.lit(len(self.patterns))
-        for column in ("code", "text_value"):  # text wins over code
-            for i, pattern in reversed(list(enumerate(self.patterns))):
-                hit = F.col(column).startswith(pattern) & (F.col(column) != "")
-                found = F.when(F.coalesce(hit, F.lit(False)), F.lit(i)).otherwise(found)
-        return found
-
     def apply(self, rows: Ordered) -> Ordered:
         untimed = F.col("time").isNull()
-        df = rows.df.withColumns(
+        df = rows.df
+        for column in ("code", "text_value"):
+            looked_at = F.when(untimed & (F.col(column) != ""), F.col(column))
+            df = with_first_prefix(df, looked_at, self.patterns, f"_{column}_place")
+        # Text wins over code.
+        place = F.coalesce("_text_value_place", "_code_place", F.lit(len(self.patterns)))
+        df = df.withColumns(
             {
-                "rank": F.when(untimed, self.priority()),
+                "rank": F.when(untimed, place),
                 "rank_text": F.when(untimed, F.coalesce("text_value", F.lit(""))),
                 "rank_code": F.when(untimed, F.coalesce("code", F.lit(""))),
             }
-        )
+        ).drop("_text_value_place", "_code_place")
         # Untimed rows share one t_us, so the ranks only order among themselves.
         return reorder(rows, df, ["t_us", "rank", "rank_text", "rank_code", "seq", "slot"])
 

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import warnings
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.frames import EventFrame
+from eventloom.functions.prefixes import BRANCHES
 from eventloom.functions.quantiles import exact_quantiles
 from eventloom.operators.base import CodeOperator, Operator, value_number
 from eventloom.operators.codes import CodeEnrichment
+from eventloom.operators.filters import FilterEvents, PrefixFilters
 from eventloom.operators.values import PerCodeEdges
 from eventloom.session import materialize
 
@@ -29,6 +32,7 @@ def apply_operators(operators: list[Operator], events: DataFrame) -> DataFrame:
     it they are one table, so later operators appear once in the plan.
     """
     frame = EventFrame(events)
+    operators = _prefix_filters_together(operators)
     last_insert = max((i for i, op in enumerate(operators) if op.inserts), default=-1)
     for i, operator in enumerate(operators):
         frame = operator.apply(frame)
@@ -37,6 +41,15 @@ def apply_operators(operators: list[Operator], events: DataFrame) -> DataFrame:
     return frame.union()
 
 
+def _prefix_filters_together(operators: list[Operator]) -> list[Operator]:
+    """Runs of many filters that drop by prefix as one: a plan of thousands of filters does not compile."""
+    found: list[Operator] = []
+    for by_prefix, run in groupby(operators, lambda op: isinstance(op, FilterEvents) and op.matching_type == "starts_with" and not op.invert):
+        run = list(run)
+        found += [PrefixFilters([op.matching_value for op in run])] if by_prefix and len(run) > BRANCHES else run
+    return found
+
+
 def fit_operators(operators: list[Operator], train: DataFrame, fit_mode: str = "joint") -> list[Operator]:
     """Fit on training events.
 
