@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import filled
+from eventloom.llm.spans import let, running_sums
 
 #: What separates words: ASCII apart from digits and letters. The ASCII letters A-Z are lower-cased later.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -165,9 +166,6 @@ def _word_count(part: Column) -> Column:
     return ((F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))) / 2).cast("int")
 
 
-_PLACE = "array<struct<start:int,last:int>>"
-
-
 def _places(words: Column, regex: Column) -> Column:
     """Matches of a rule as intervals of words, both ends included."""
     found = F.regexp_extract_all(words, regex, F.lit(0))
@@ -176,14 +174,12 @@ def _places(words: Column, regex: Column) -> Column:
         F.slice(F.split(words, regex, -1), F.lit(1), F.size(found)),
         lambda m, gap: F.struct(_word_count(gap).alias("skip"), _word_count(m).alias("n")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACE).alias("all"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + pair["skip"]
-        one = F.struct(begin.alias("start"), (begin + pair["n"] - 1).alias("last"))
-        return F.struct((begin + pair["n"]).alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
+    def placed(held: Column) -> Column:
+        ends = running_sums(F.transform(held, lambda p: p["skip"] + p["n"]))
+        return F.zip_with(held, ends, lambda p, e: F.struct((e - p["n"]).alias("start"), (e - 1).alias("last")))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["all"])
+    return let(pairs, placed)
 
 
 _FOUND = "array<struct<start:int,before:int,priority:int,label:string>>"

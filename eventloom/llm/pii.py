@@ -6,7 +6,8 @@ span raise its score.
 
 The patterns are written so that Java's matcher neither backtracks through a
 run twice nor recurses: a start is taken only at the beginning of a run, and
-repeated groups have a fixed count. A text of any length costs linear time.
+repeated groups have a fixed count. Places and pieces come from ``spans``, so a text of
+any length with any number of spans costs about linear time.
 
 Results by case: a null text counts as empty and has no spans; an empty table
 gives no rows; repeated rows each give their own row; columns of the input are
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import filled
+from eventloom.llm.spans import blocks, let, piece, running, running_sums
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _HOST = "[A-Za-z0-9-]"
@@ -54,15 +56,12 @@ def matches(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("skip"), m.alias("value")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["skip"]
-        end = start + F.length(pair["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+    def placed(held: Column) -> Column:
+        ends = running_sums(F.transform(held, lambda p: p["skip"] + F.length(p["value"])))
+        return F.zip_with(held, ends, lambda p, e: F.struct((e - F.length(p["value"])).alias("start"), e.alias("end"), p["value"].alias("value")))
 
-    return F.aggregate(pairs, empty, step, lambda acc: acc["spans"])
+    return let(pairs, placed)
 
 
 def luhn(digits: Column) -> Column:
@@ -118,15 +117,15 @@ def detect(df: DataFrame, text: str = "text", output: str = "pii") -> DataFrame:
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,score:double>>")
 
     def of(kind: str) -> Column:
-        def scored(span: Column) -> Column:
-            begin = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-            before = F.substring(whole, begin + 1, span["start"] - begin)
+        def scored(cut: Column, span: Column) -> Column:
+            before = piece(cut, F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)), span["start"])
             near = before.rlike(rf"(?i)\b(?:{CONTEXT[kind]})")
             score = F.lit(BASE_SCORE[kind]) + F.when(near, CONTEXT_SCORE).otherwise(0.0)
             return F.struct(F.lit(kind).alias("kind"), span["start"].alias("start"), span["end"].alias("end"), span["value"].alias("value"), score.alias("score"))
 
         spans = F.filter(matches(whole, PATTERNS[kind]), lambda s: _CONFIRM[kind](s["value"]))
-        return F.when(gates[kind], F.transform(spans, scored)).otherwise(none)
+        found = let(spans, lambda held: F.when(F.size(held) == 0, none).otherwise(let(blocks(whole), lambda cut: F.transform(held, lambda s: scored(cut, s)))))
+        return F.when(gates[kind], found).otherwise(none)
 
     return df.withColumn(output, F.concat(*[of(kind) for kind in KINDS]))
 
@@ -155,28 +154,32 @@ def digest(found: DataFrame, spans: str = "pii") -> DataFrame:
 
 def redact(found: DataFrame, spans: str = "pii", text: str = "text") -> DataFrame:
     """Replace every span by ``[KIND]``; overlapping spans become one, named by the first."""
-    kind = "array<struct<kind:string,start:int,end:int>>"
     slim = F.transform(F.col(spans), lambda s: F.struct(s["start"], s["end"], s["kind"]))
-    in_order = F.array_sort(slim)
 
-    def merge(acc: Column, span: Column) -> Column:
-        last = F.element_at(acc, -1)
-        one = F.array(F.struct(span["kind"].alias("kind"), span["start"].alias("start"), span["end"].alias("end")))
-        joined = F.array(F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end")))
-        overlaps = (F.size(acc) > 0) & (span["start"] < F.try_element_at(acc, F.lit(-1))["end"])
-        return F.when(overlaps, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), joined)).otherwise(F.concat(acc, one))
+    def cleaned(held: Column, reach: Column, cut: Column) -> Column:
+        """Spans in order, how far they and those before reach, and the text in blocks."""
+        n = F.size(held)
+        # A span begins a new one if none before it reaches it.
+        heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(held, i)["start"] >= F.get(reach, i - 1)))
 
-    merged = F.when(F.size(spans) > 0, F.aggregate(in_order, F.array().cast(kind), merge))
-    whole = filled(text)
+        def written(at: Column) -> Column:
+            def one(head: Column, k: Column) -> Column:
+                begin = F.when(k == 0, F.lit(0)).otherwise(F.get(reach, head - 1))
+                span = F.get(held, head)
+                return F.concat(piece(cut, begin, span["start"]), F.lit("["), F.upper(span["kind"]), F.lit("]"))
+
+            return F.concat(F.array_join(F.transform(at, one), ""), piece(cut, F.get(reach, n - 1), F.length(text)))
 
-    def piece(span: Column, i: Column) -> Column:
-        begin = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(F.col("_merged"), i)["end"])
-        return F.concat(F.substring(whole, begin + 1, span["start"] - begin), F.lit("["), F.upper(span["kind"]), F.lit("]"))
+        return let(heads, written)
 
-    head = F.array_join(F.transform("_merged", piece), "")
-    tail = F.substring(whole, F.element_at("_merged", -1)["end"] + 1, F.length(whole))
-    clean = F.when(F.col("_merged").isNotNull(), F.concat(head, tail)).otherwise(F.col(text))
-    return found.withColumn("_merged", merged).withColumn(text, clean).drop("_merged", spans)
+    whole = let(
+        F.array_sort(slim),
+        lambda held: let(
+            running(F.transform(held, lambda s: s["end"]), lambda a, b: F.greatest(a, b)),
+            lambda reach: let(blocks(F.col(text)), lambda cut: cleaned(held, reach, cut)),
+        ),
+    )
+    return found.withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(F.col(text))).drop(spans)
 
 
 #: The stated base patterns, and the added one, as plain regular expressions for the SQL below (fixed values).

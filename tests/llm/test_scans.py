@@ -91,6 +91,42 @@ def test_redaction_covers_overlaps_and_keeps_the_rest(spark):
     assert rows[4] == "[EMAIL]@[EMAIL]"  # what the base pattern leaves between two matches
 
 
+def test_many_spans_of_one_text_cost_linear_time(spark):
+    """20,000 addresses, and as many license statements, in one text: minutes when every span copies those before."""
+    import time
+
+    n = 20_000
+    mails = " ".join(f"u{i}@host{i % 7}.org" for i in range(n))
+    grants = "under the mit license " * n
+    df = spark.createDataFrame([(1, mails, 0), (2, grants, 1)], "doc_id long, text string, score int")
+    start = time.time()
+    row = pii.digest(pii.detect(df.where("doc_id = 1"))).first()
+    assert row["n_email"] == n and row["spans"].startswith("email:0:12,email:13:25")
+    assert row["base_sha256"] == hashlib.sha256(",".join(base_spans(mails)).encode()).hexdigest()
+    clean = pii.redact(pii.detect(df.where("doc_id = 1"))).first()["text"]
+    assert clean == " ".join(["[EMAIL]"] * n)
+    found = licenses.digest(licenses.detect(df.where("doc_id = 2"))).first()
+    assert (found["n_words"], found["n_base"], found["first_word"], found["last_word"]) == (4 * n, n, 0, 4 * (n - 1))
+    assert time.time() - start < 60
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 16, 17, 1000])
+def test_running_totals_and_pieces(spark, n):
+    from pyspark.sql import functions as F
+
+    from eventloom.llm import spans
+
+    rng = random.Random(n)
+    values = [rng.randint(0, 50) for _ in range(n)]
+    text = "".join(rng.choice("aé日😀\n ") for _ in range(n * 2))
+    df = spark.createDataFrame([(values, text)], "v array<int>, t string")
+    sums, most = df.select(spans.running_sums(F.col("v")), spans.running(F.col("v"), lambda a, b: F.greatest(a, b))).first()
+    assert sums == [sum(values[: i + 1]) for i in range(n)] and most == [max(values[: i + 1]) for i in range(n)]
+    places = [(a, b) for a, b in ((0, len(text)), (5, 5), (511, 513), (512, 1024), (len(text) // 2, len(text))) if a <= b <= len(text)]
+    got = df.select(*[spans.piece(spans.blocks(F.col("t")), F.lit(a), F.lit(b)) for a, b in places]).first()
+    assert list(got) == [text[a:b] for a, b in places]
+
+
 def test_scans_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.digest(pii.detect(empty)).count() == 0
