@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import heapq
 import sys
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -81,15 +81,19 @@ class Steps:
             word, version = word.replace(*self.made[rank]), rank + 1
 
 
-def changes(old: str, new: str, once_per_word: bool) -> tuple[Counter, Counter]:
+def changes(old: str, new: str, once_per_word: bool) -> tuple[dict[str, int], dict[str, int]]:
     """By pair: how many times more it counts in the new form of a word, and whether the word came (1) or went (-1)."""
-    before, after = Counter(pairs_of(old)), Counter(pairs_of(new))
-    words = Counter(after.keys())
-    words.subtract(before.keys())
+    before, after = pairs_of(old), pairs_of(new)
+    had, has = set(before), set(after)
+    words = dict.fromkeys(has - had, 1) | dict.fromkeys(had - has, -1)
     if once_per_word:
         return words, words
-    after.subtract(before)
-    return after, words
+    more: dict[str, int] = {}
+    for pair in after:
+        more[pair] = more.get(pair, 0) + 1
+    for pair in before:
+        more[pair] = more.get(pair, 0) - 1
+    return more, words
 
 
 @dataclass(frozen=True)
@@ -282,8 +286,8 @@ class PairIndex:
                 fresh.add(product)
             self.steps.add(pair, product)
             taken += 1
-            weights: Counter = Counter()
-            words: Counter = Counter()
+            weights: dict[str, int] = defaultdict(int)
+            words: dict[str, int] = defaultdict(int)
             for row_id in where.pop(pair, ()):
                 old, freq = found[row_id]
                 word = old.replace(pair, product)
@@ -357,10 +361,11 @@ class PairIndex:
                         word = word.replace(pair, product)
                     more, came = changes(old, word, once)
                     out.append({"pair": "", "words": 1, "posted": False})
-                    for pair, n in came.items():
-                        if n or more[pair]:
+                    for pair, times in more.items():
+                        n = came.get(pair, 0)
+                        if n or times:
                             full = {"id": row["id"], "word": word, "freq": row["freq"], "version": version + len(batch)} if n > 0 else {}
-                            out.append({"pair": pair, **full, "weight": more[pair] * row["freq"], "words": n, "posted": n > 0})
+                            out.append({"pair": pair, **full, "weight": times * row["freq"], "words": n, "posted": n > 0})
                 yield pa.RecordBatch.from_pylist(out, _CHANGES)
 
         written = materialize(live.mapInArrow(merged, _CHANGES_SQL), "pair-changes")
