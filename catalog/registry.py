@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.fixtures import Fixtures
-from eventloom.session import scratch_root
+from eventloom.session import run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def stage_path(f: Fixtures, name: str) -> str:
-    return f"{scratch_root(f.spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(f.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def shown(df: DataFrame, *columns: str) -> DataFrame:

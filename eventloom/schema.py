@@ -49,7 +49,7 @@ def event_table(df: DataFrame) -> DataFrame:
 def _with_source_order(df: DataFrame) -> DataFrame:
     """``seq`` from the rank of the file among the sorted paths and the row's place in it.
 
-    The ranks are a table of as many rows as the scan lists files. A stream has no
+    The ranks are a table of as many rows as the scan lists files, whose size decides how it is joined. A stream has no
     list of its files; there a subject's events of one file are ordered only.
     """
     path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
@@ -59,7 +59,7 @@ def _with_source_order(df: DataFrame) -> DataFrame:
     listed = sorted(re.sub(SCHEME, r"\1:/", name) for name in df.inputFiles())
     ranks = df.sparkSession.createDataFrame(list(enumerate(listed)), "_rank bigint, _file string")
     shown = F.regexp_replace(path, SCHEME, "$1:/")
-    placed = df.withColumns({"_file": shown, "_row": row}).join(F.broadcast(ranks), "_file", "left")
+    placed = df.withColumns({"_file": shown, "_row": row}).join(ranks, "_file", "left")
     # Every row's file is listed; a file that is not would have its rows fail here rather than tie.
     rank = F.when(F.col("_rank").isNull(), F.raise_error(F.concat(F.lit("unlisted file "), "_file")).cast("bigint")).otherwise(F.col("_rank"))
     return placed.withColumn("seq", F.shiftleft(rank, 40) + F.col("_row")).drop("_file", "_row", "_rank")

@@ -40,6 +40,21 @@ def scratch_root(spark: SparkSession) -> str:
     return folder
 
 
+_RUN_FOLDERS: set[str] = set()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one. It goes with the application: what is to stay is written elsewhere."""
+    folder = f"{scratch_root(spark)}/eventloom-{spark.sparkContext.applicationId}"
+    if folder not in _RUN_FOLDERS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _RUN_FOLDERS.add(folder)
+    return folder
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the scratch area and read it back.
 
@@ -48,7 +63,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     really below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
