@@ -545,3 +545,22 @@ def time_delta_text(f):
     return f.events().select("subject_id", "seq", elapsed_text(epoch_seconds()).alias("text"))
 
 
+
+
+@query(
+    "sequence_store",
+    with_views(
+        "SELECT subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY pos) - 1 AS pos, token, ts_us FROM line", ME, **LONG
+    ),
+)
+def sequence_store(f):
+    """Every token of every timeline from blocks of a store; subjects above 40 events are cut, whatever the session's limit."""
+    from eventloom.ordering import order_groups
+    from eventloom.sources.sequences import write_sequences
+
+    tokenizer, rows = trained(f)
+    cut = order_groups(rows.df.drop("chunk"), rows.keys, rows.order, limit=40)
+    blocks = write_sequences(tokenizer, cut, stage_path(f, "sequences")).all()
+    each = blocks.select("subject_id", "offset", F.posexplode(F.arrays_zip("tokens", "timestamps")).alias("at", "t"))
+    ts = F.round(F.col("t.timestamps") * 1e6).cast("bigint").alias("ts_us")
+    return each.select("subject_id", (F.col("offset") + F.col("at")).alias("pos"), F.col("t.tokens").alias("token"), ts)

@@ -69,6 +69,11 @@ def assemble(rows: Ordered, values: Column, start, end, name: str) -> DataFrame:
     ``values`` is an array per token row (its ids or its string). ``start`` opens
     the sequence at time 0, ``end`` closes it at the last event's time.
     """
+    return whole_groups(rows, assemble_chunks(rows, values, start, end, name), name, "timestamps")
+
+
+def assemble_chunks(rows: Ordered, values: Column, start, end, name: str) -> DataFrame:
+    """The same with one row per chunk of a cut subject: ``chunk`` orders them."""
     prepared = rows.with_df(rows.df.withColumn("_values", values))
     grouped = gather(
         prepared,
@@ -102,8 +107,7 @@ def assemble(rows: Ordered, values: Column, start, end, name: str) -> DataFrame:
         times,
         F.when(F.col("_last"), F.array(F.col("_end_ts"))).otherwise(no_time),
     )
-    pieces = grouped.select(*rows.keys, "chunk", tokens.alias(name), stamps.alias("timestamps"))
-    return whole_groups(rows, pieces, name, "timestamps")
+    return grouped.select(*rows.keys, "chunk", tokens.alias(name), stamps.alias("timestamps"))
 
 
 def string_sequences(rows: Ordered) -> DataFrame:

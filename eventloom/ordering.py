@@ -20,6 +20,9 @@ from eventloom.session import materialize
 
 MAX_GROUP_ROWS = 1_000_000
 LIMIT_KEY = "eventloom.maxGroupRows"
+#: Items of a group's array that one row may hold.
+MAX_ROW_ITEMS = 50_000_000
+ROW_LIMIT_KEY = "eventloom.maxRowItems"
 
 
 def group_limit(df: DataFrame) -> int:
@@ -158,12 +161,23 @@ def in_order(rows: Ordered, *fields: Column | str, keep: Column | None = None) -
 
 
 def whole_groups(rows: Ordered, gathered: DataFrame, *arrays: str) -> DataFrame:
-    """One row per group at every size: the arrays of a cut group's chunks end to end.
+    """One row per group: the arrays of a cut group's chunks end to end.
 
-    Other columns are the same in all chunks of a group; ``chunk`` becomes 0.
+    Other columns are the same in all chunks of a group; ``chunk`` becomes 0. A group of more
+    items than one row should hold is refused before it is put together.
     """
     if not rows.cut:
         return gathered
+    gathered = materialize(gathered, "chunk-arrays")
+    limit = int(gathered.sparkSession.conf.get(ROW_LIMIT_KEY, str(MAX_ROW_ITEMS)))
+    sizes = gathered.groupBy(*rows.keys).agg(F.sum(F.size(arrays[0])).alias("n")).where(F.col("n") > limit)
+    widest = sizes.orderBy(F.desc("n")).first()
+    if widest is not None:
+        name = ", ".join(f"{k} {widest[k]}" for k in rows.keys)
+        raise ValueError(
+            f"{name} has {widest['n']} items, more than one row holds ({ROW_LIMIT_KEY} = {limit}); "
+            "eventloom.sources.sequences stores it in blocks"
+        )
     others = [c for c in gathered.columns if c not in (*rows.keys, "chunk", *arrays)]
     parts = F.array_sort(F.collect_list(F.struct("chunk", *arrays))).alias("_parts")
     together = gathered.groupBy(*rows.keys).agg(parts, *[F.any_value(c, True).alias(c) for c in others])
