@@ -39,6 +39,8 @@ LEAST_BYTES = 0
 CAPTURED = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
+#: Pages that share one copy of a payload while payloads are restored.
+PART_PAGES = 100_000
 #: Bytes of records that a task gathers in one file.
 FILE_BYTES = 256 << 20
 
@@ -138,9 +140,19 @@ def revisit_records(archive: Archive) -> DataFrame:
 
 
 def restore(archive: Archive) -> DataFrame:
-    """Every page's payload, those of revisits included: headers joined with payloads."""
-    headers = archive.responses.select("page_id", "digest").unionByName(archive.revisits.select("page_id", "digest"))
-    return headers.join(archive.payloads, "digest").select("page_id", "digest", "payload")
+    """Every page's payload, those of revisits included: headers joined with payloads.
+
+    A payload of very many pages is copied once for every ``PART_PAGES`` of them, so that they are many tasks.
+    """
+    kept = ["page_id", "digest", "header"]
+    headers = archive.responses.select(*kept).unionByName(archive.revisits.select(*kept))
+    # All pages divided by PART_PAGES bound the number of such payloads.
+    counts = headers.groupBy("digest").count().where(F.col("count") > PART_PAGES)
+    parts = F.broadcast(counts.select("digest", F.ceil(F.col("count") / PART_PAGES).cast("int").alias("parts")))
+    n = F.coalesce("parts", F.lit(1))
+    dealt = headers.join(parts, "digest", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "header"), n).cast("int"))
+    copied = archive.payloads.join(parts, "digest", "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1)))
+    return dealt.join(copied.drop("parts"), ["digest", "part"]).select("page_id", "digest", "payload")
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes, bytes]:

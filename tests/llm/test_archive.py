@@ -64,6 +64,13 @@ def test_payloads_are_stored_once_and_all_pages_come_back(spark):
     assert back == sorted((page, html or "") for page, _, html in TABLE if page is not None)
 
 
+def test_a_payload_of_many_pages_is_restored_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(archive, "PART_PAGES", 7)
+    table = [(i, f"http://h/{i}", "same page") for i in range(100)] + [(200, "u", "again"), (201, None, None)]
+    back = [(row.page_id, bytes(row.payload).decode()) for row in archive.restore(archive.store(frame(spark, table))).collect()]
+    assert sorted(back) == sorted((page, html or "") for page, _, html in table)
+
+
 def test_records_are_joined_without_an_exchange(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
