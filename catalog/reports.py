@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from catalog.events import ME
 from catalog.fixtures import with_views
 from catalog.registry import ORACLES, query, stage_path
-from catalog.sequences import TOKEN_ORDER
-from catalog.vocabularies import VOCAB, trained
+from catalog.sequences import TOKEN_ORDER, standard_tokens
+from catalog.vocabularies import VOCAB, VOCAB_SIZE, train_tokens, trained
+from eventloom.operators.word_vocab import WordLevel
 from eventloom.reports import cohort, narratives, subjects
 from eventloom.session import materialize
 from eventloom.sources import events as readers
@@ -558,7 +559,9 @@ def sequence_store(f):
     from eventloom.ordering import order_groups
     from eventloom.sources.sequences import write_sequences
 
-    tokenizer, rows = trained(f)
+    rows = standard_tokens(f)
+    rows = rows.with_df(materialize(rows.df, "token-rows"))
+    tokenizer = WordLevel(VOCAB_SIZE).train(train_tokens(rows))
     cut = order_groups(rows.df.drop("chunk"), rows.keys, rows.order, limit=40)
     blocks = write_sequences(tokenizer, cut, stage_path(f, "sequences")).all()
     each = blocks.select("subject_id", "offset", F.posexplode(F.arrays_zip("tokens", "timestamps")).alias("at", "t"))

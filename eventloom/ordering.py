@@ -70,10 +70,14 @@ def order_groups(
     found = large.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows")).first()
     if found["keys"] == 0:
         return Ordered(df.withColumn("chunk", F.lit(0)), keys, order)
-    return _cut(df, keys, order, large.select(*keys), math.ceil(found["rows"] / limit) + 1)
+    return _cut(df, keys, order, large.select(*keys), found["rows"], limit)
 
 
-def _cut(df: DataFrame, keys: list[str], order: list[str], large: DataFrame, pieces: int) -> Ordered:
+def _cut(df: DataFrame, keys: list[str], order: list[str], large: DataFrame, rows: int, limit: int) -> Ordered:
+    # A range per chunk, unless chunks are so small that ranges of many chunks are cheaper to deal out.
+    wanted = math.ceil(rows / limit) + 1
+    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = min(wanted, max(shuffles, math.ceil(rows / MAX_GROUP_ROWS) + 1))
     # At most (all rows / limit) keys can be large, so this table is small.
     large = materialize(large, "large-groups")
     ranged = (
@@ -83,12 +87,27 @@ def _cut(df: DataFrame, keys: list[str], order: list[str], large: DataFrame, pie
     )
     # Range bounds come from sampling: fix them by writing the rows once.
     ranged = materialize(ranged, "large-group-rows")
-    first = materialize(ranged.groupBy(*keys).agg(F.min("piece").alias("first_piece")), "first-pieces")
-    cut = ranged.join(first, keys).withColumn("chunk", F.col("piece") - F.col("first_piece") + 1)
+    if pieces < wanted:
+        cut = _cut_pieces(ranged, keys, order, limit)
+    else:
+        first = materialize(ranged.groupBy(*keys).agg(F.min("piece").alias("first_piece")), "first-pieces")
+        cut = ranged.join(first, keys).withColumn("chunk", F.col("piece") - F.col("first_piece") + 1)
     whole = df.join(large, keys, "left_anti").withColumn("chunk", F.lit(0))
     return Ordered(whole.unionByName(cut.select(whole.columns)), keys, order, cut=True)
 
 
+def _cut_pieces(ranged: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
+    """Every ``limit`` rows of a key within a range become a ``chunk``; rows that tie stay together."""
+    # A window over a key within its range holds no more rows than the range.
+    within = Window.partitionBy(*keys, "piece").orderBy(*order)
+    parts = ranged.withColumn("_part", F.floor((F.rank().over(within) - 1) / limit).cast("int"))
+    # One row per key and range that it touches.
+    sizes = ranged.groupBy(*keys, "piece").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("_parts"))
+    before = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sizes.withColumn("_earlier", F.coalesce(F.sum("_parts").over(before), F.lit(0)).cast("int")).drop("_parts")
+    return parts.join(earlier, [*keys, "piece"]).withColumn("chunk", F.col("_earlier") + F.col("_part") + 1)
+
+
 def reorder(rows: Ordered, df: DataFrame, order: list[str]) -> Ordered:
     """Same rows under another order; cut groups are cut again along it."""
     if not rows.cut:
