@@ -132,6 +132,10 @@ BYTE_LEVEL_RUNS = (
     r"(?U)('s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+)"
 )
 DIGIT_OR_REST = r"(?s)(\p{N}|[^\p{N}]+)"
+# The same words in one pass over a text: a digit ends the text around it.
+DIGITS_AND_RUNS = (
+    r"(?U)(\p{N}|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?[^\s\p{L}\p{N}]+|\s+(?![^\s\p{N}])|\s+)"
+)
 WORD_OR_MARKS = r"(?U)(\w+|[^\w\s]+)"
 
 
@@ -143,6 +147,15 @@ def byte_characters() -> list[str]:
     return [shown[b] for b in range(256)]
 
 
+def spelled_in_bytes(word: str) -> str:
+    """One printable character per UTF-8 byte."""
+    return word.encode().decode("latin-1").translate(_SHOWN_BYTES)
+
+
+_SHOWN_BYTES = dict(enumerate(byte_characters()))
+_BYTE_OF = {shown: byte for byte, shown in enumerate(byte_characters())}
+
+
 def _as_bytes(text: Column) -> Column:
     """One printable character per UTF-8 byte."""
     latin = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
@@ -158,6 +171,11 @@ def byte_level_words(text: Column) -> Column:
     return F.transform(runs, _as_bytes)
 
 
+def byte_level_runs(text: Column) -> Column:
+    """The words of ``byte_level_words`` as they stand in the text."""
+    return F.regexp_extract_all(text, F.lit(DIGITS_AND_RUNS), F.lit(1))
+
+
 def whitespace_words(text: Column) -> Column:
     """Runs of word characters and runs of other marks."""
     return F.regexp_extract_all(text, F.lit(WORD_OR_MARKS), F.lit(1))
@@ -167,6 +185,10 @@ class _TextBytePairs:
     """Merges learned from text; every place a pair occurs counts."""
 
     split = staticmethod(byte_level_words)
+    #: The same words as they stand in the text, and how one of them is spelled in pieces.
+    runs = staticmethod(byte_level_runs)
+    spell = staticmethod(_as_bytes)
+    spell_word = staticmethod(spelled_in_bytes)
 
     def __init__(self, vocab_size: int, specials: list[str], unknown: str, min_frequency: int):
         self.vocab_size = vocab_size
@@ -176,8 +198,9 @@ class _TextBytePairs:
         self.model: Merges | None = None
 
     def train_texts(self, texts: Column, rows: DataFrame) -> "_TextBytePairs":
-        words = rows.select(F.explode(type(self).split(texts)).alias("token"))
-        return self.train_words(words.groupBy("token").agg(F.count(F.lit(1)).alias("count")))
+        words = rows.select(F.explode(type(self).runs(texts)).alias("token"))
+        counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+        return self.train_words(counts.withColumn("token", type(self).spell(F.col("token"))))
 
     def train_words(self, counts: DataFrame) -> "_TextBytePairs":
         words = materialize(counts, "text-word-counts")
@@ -194,9 +217,13 @@ class _TextBytePairs:
     def encoder(self):
         return partial(text_encoder, self.model, self.unknown)
 
+    def run_encoder(self):
+        """Encoder of words as they stand in the text."""
+        return partial(text_encoder, self.model, self.unknown, type(self).spell_word)
+
     def encode_texts(self, rows: DataFrame, text: str, name: str = "tokens") -> DataFrame:
         """Add the ids of every text; narrow, one pass."""
-        return rows.withColumn(name, encode_list_column(self.encoder(), type(self).split(F.col(text))))
+        return rows.withColumn(name, encode_list_column(self.run_encoder(), type(self).runs(F.col(text))))
 
 
 class TextBpe(_TextBytePairs):
@@ -226,20 +253,23 @@ class TextBpe(_TextBytePairs):
     def decode(self, timelines: DataFrame) -> DataFrame:
         """Text of byte-level ids."""
         spark = timelines.sparkSession
-        joined = decode_pieces(timelines, vocab_table(spark, self.model), suffix="\x00")
-        return joined.withColumn("text", text_of_bytes(F.col("text")))
+        joined = spoken(timelines, vocab_table(spark, self.model).select("token", "str"), "", strict=True, as_bytes=bytes_of)
+        # A cut-off sequence may end inside a character: bytes that are no text become U+FFFD.
+        return joined.drop("tokens", "timestamps").withColumn("text", F.make_valid_utf8(F.col("text").cast("string")))
 
 
-def text_of_bytes(shown: Column) -> Column:
-    latin = F.translate(shown, "".join(byte_characters()), "".join(chr(b) for b in range(256)))
-    # A cut-off sequence may end inside a character: bytes that are no text become U+FFFD.
-    return F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
+def bytes_of(piece: str) -> bytes:
+    """The bytes that a piece's printable characters stand for."""
+    return b"".join(bytes([_BYTE_OF[c]]) if c in _BYTE_OF else c.encode("latin-1") for c in piece)
 
 
 class WhitespaceBpe(_TextBytePairs):
     """Vocabulary of subject strings joined by blanks, split into words and marks."""
 
     split = staticmethod(whitespace_words)
+    runs = staticmethod(whitespace_words)
+    spell = staticmethod(lambda word: word)
+    spell_word = None
 
     def __init__(
         self, vocab_size: int = 10_000, markers: Markers = Markers(), special_tokens: list[str] | None = None
@@ -275,16 +305,19 @@ class WhitespaceBpe(_TextBytePairs):
         return self.model.ids["<start>"], self.model.ids["<end>"]
 
 
-def text_words(rows: DataFrame, text: str, split: Callable[[Column], Column]) -> DataFrame:
+def text_words(
+    rows: DataFrame, text: str, split: Callable[[Column], Column], spell: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """Distinct words of a text column and how often they occur, from one scan.
 
-    The row of the null word counts the texts and their characters.
+    The row of the null word counts the texts and their characters. ``spell`` rewrites the distinct words.
     """
     none = F.lit(None).cast("string")
-    words = F.transform(split(F.col(text)), lambda w: F.struct(w.alias("word"), F.lit(0).cast("long").alias("chars")))
-    texts = F.array(F.struct(none.alias("word"), F.length(text).cast("long").alias("chars")))
-    each = rows.select(F.explode(F.concat(words, texts)).alias("each")).select("each.*")
-    return each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    words = F.explode(F.array_append(split(F.col(text)), none)).alias("word")
+    each = rows.select(words, F.length(text).cast("long").alias("chars"))
+    chars = F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("chars"))), F.lit(0))
+    counted = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), chars.alias("chars"))
+    return counted if spell is None else counted.withColumn("word", spell(F.col("word")))
 
 
 def text_eval(words: DataFrame, model: Merges, sizes: list[int]) -> DataFrame:

@@ -6,8 +6,11 @@ words that the index lists for its pair, brings them up to date, and writes rows
 made; all other words and counts stay as they are.
 
 The driver holds the heaviest ``WINDOW`` pairs, with weight and number of words, exact at all
-times: changes are added with their sign. It takes merges in two ways.
+times: changes are added with their sign. It takes merges in three ways.
 
+- A sweep: as long as the next pairs are in a good share of the words there is no index. One pass over the
+  words tries the ``SWEEP_MERGES`` heaviest pairs one after the other and gives the changes of each step; the
+  driver takes the steps as long as each is the heaviest pair after the step before, and drops the others.
 - A block: the heaviest pairs that ``BLOCK_WORDS`` words hold together. Those words are fetched and
   merges are taken one by one among them. That is exact as long as the heaviest pair is one of the
   block's or holds a symbol made within it, for then all its words are there.
@@ -25,6 +28,7 @@ import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -38,12 +42,21 @@ WINDOW = 200_000
 #: Words fetched for a block of merges.
 BLOCK_WORDS = 50_000
 
+#: Merges that a sweep tries, and the share (one in so many) of the words that their pairs must be in.
+SWEEP_MERGES = 24
+SWEEP_SHARE = 4
+#: Merges after which the words of the sweeps are written anew.
+SWEEPS_KEPT = 96
+#: Products of a sweep's steps until they are taken: the last plane, far above any symbol.
+_TRIED = 0x100000
+
 _WORDS = pa.schema([("id", pa.int64()), ("word", pa.string()), ("freq", pa.int64())])
 _INDEX = "pair string, id long, word string, freq long, version int"
 _CHANGES = pa.schema([
     ("pair", pa.string()), ("id", pa.int64()), ("word", pa.string()), ("freq", pa.int64()), ("version", pa.int32()),
     ("weight", pa.int64()), ("words", pa.int64()), ("posted", pa.bool_()),
 ])
+_TALLY = pa.schema([("step", pa.int32()), ("pair", pa.string()), ("weight", pa.int64()), ("words", pa.int64())])
 _CHANGES_SQL = _INDEX + ", weight long, words long, posted boolean"
 
 
@@ -115,19 +128,23 @@ class PairIndex:
         self.window, self.block_words = WINDOW, BLOCK_WORDS
         self.steps = Steps()
         self.progress: list[Progress] = []
+        #: The index; None as long as merges are taken in sweeps.
+        self.parts: list[DataFrame] | None = None
         numbered = words.where(F.length("word") > 1).withColumn("id", F.monotonically_increasing_id())
         self._rebuild(materialize(numbered.select("id", "word", F.col("freq").cast("long").alias("freq")), "pair-words"))
 
     # Tables
 
-    def _rebuild(self, words: DataFrame) -> None:
-        """Counts and index from all words as they are now."""
+    def _rebuild(self, words: DataFrame, indexed: bool = False) -> None:
+        """Counts and, if asked for, the index from all words as they are now."""
         self.words, self.words_version = words, len(self.steps.made)
         words = words.where(F.length("word") > 1)
+        self.n_words = words.count()
         version = F.lit(self.words_version).cast("int").alias("version")
-        listed = words.select(F.explode(F.array_distinct(neighbour_pairs(F.col("word")))).alias("pair"), "id", "word", "freq", version)
-        index = materialize(listed.repartitionByRange("pair").sortWithinPartitions("pair"), "pair-index")
-        self.parts, self.rows, self.stale = [index], index.count(), 0
+        index = words.select(F.explode(F.array_distinct(neighbour_pairs(F.col("word")))).alias("pair"), "id", "word", "freq", version)
+        if indexed:
+            index = materialize(index.repartitionByRange("pair").sortWithinPartitions("pair"), "pair-index")
+            self.parts, self.rows, self.stale = [index], index.count(), 0
         sums = index.groupBy("pair").agg(F.sum("freq").alias("weight"), F.count(F.lit(1)).alias("words"))
         if not self.once:
             places = words.select(F.explode(neighbour_pairs(F.col("word"))).alias("pair"), "freq").groupBy("pair").agg(F.sum("freq").alias("weight"))
@@ -141,9 +158,10 @@ class PairIndex:
         self.heap = [(-w, p) for p, w in self.weight.items()]
         heapq.heapify(self.heap)
 
-    def _renew(self) -> None:
+    def _renew(self, indexed: bool | None = None) -> None:
         now = self._live(self.words.withColumn("version", F.lit(self.words_version)), None)
-        self._rebuild(materialize(now.where("id >= 0"), "pair-words"))
+        indexed = self.parts is not None if indexed is None else indexed
+        self._rebuild(materialize(now.where("id >= 0"), "pair-words"), indexed)
 
     def _live(self, rows: DataFrame, wanted: list[str] | None) -> DataFrame:
         """Words up to date, those with a wanted pair only; one more row per task, of a negative id, counts what was read."""
@@ -249,6 +267,12 @@ class PairIndex:
 
     def take(self, choose) -> None:
         """Take the next merges. ``choose(pair)`` gives the product and whether it is a new symbol, or None to end."""
+        if self.parts is None:
+            ahead = self._ahead()
+            if self.n_words > self.block_words and sum(self.held[p] for p in ahead) * SWEEP_SHARE > self.n_words:
+                self._take_sweep(ahead, choose)
+                return
+            self._renew(indexed=True)
         block, total = [], 0
         ranking = self._ranked()
         for pair in ranking:
@@ -264,6 +288,69 @@ class PairIndex:
         if self.stale > self.rows:
             self._renew()
 
+    def _ahead(self) -> list[str]:
+        """The heaviest pairs, as many as a sweep tries."""
+        ranking = self._ranked()
+        ahead = list(islice(ranking, SWEEP_MERGES))
+        ranking.close()
+        return ahead
+
+    def _take_sweep(self, ahead: list[str], choose) -> None:
+        first = choose(ahead[0])
+        if first is None:
+            return
+        if not first[1]:
+            # The product is a symbol that words hold already: all counts may change.
+            self.steps.add(ahead[0], first[0])
+            self._renew()
+            return
+        made, once = self.steps.made[self.words_version :], self.once
+        tried = [(pair, chr(_TRIED + i)) for i, pair in enumerate(ahead)]
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, str], list[int]] = defaultdict(lambda: [0, 0])
+            for batch in batches:
+                for word, freq in zip(batch.column("word").to_pylist(), batch.column("freq").to_pylist()):
+                    for pair, product in made:
+                        word = word.replace(pair, product)
+                    for step, (pair, product) in enumerate(tried):
+                        if pair in word:
+                            old, word = word, word.replace(pair, product)
+                            more, came = changes(old, word, once)
+                            for p, times in more.items():
+                                held = sums[step, p]
+                                held[0] += times * freq
+                                held[1] += came.get(p, 0)
+            steps, pairs = [step for step, _ in sums], [pair for _, pair in sums]
+            weights, words = [w for w, _ in sums.values()], [n for _, n in sums.values()]
+            yield pa.RecordBatch.from_pydict({"step": steps, "pair": pairs, "weight": weights, "words": words}, _TALLY)
+
+        parts = self.words.select("word", "freq").mapInArrow(tally, "step int, pair string, weight long, words long")
+        # As many rows as pairs of symbols beside the tried ones.
+        rows = parts.groupBy("step", "pair").agg(F.sum("weight").alias("weight"), F.sum("words").alias("words")).collect()
+        by_step: dict[int, list] = defaultdict(list)
+        for row in rows:
+            by_step[row["step"]].append(row)
+        products: dict[int, str] = {}
+        taken = 0
+        for step, pair in enumerate(ahead):
+            chosen = first
+            if step:
+                if self.unsure or self._best() != pair:
+                    break
+                chosen = choose(pair, alone=False)
+                if chosen is None:
+                    break
+            products[_TRIED + step] = chosen[0]
+            self.steps.add(pair, chosen[0])
+            weights = {row["pair"].translate(products): row["weight"] for row in by_step[step]}
+            words = {row["pair"].translate(products): row["words"] for row in by_step[step]}
+            self._add(weights, words, set(products.values()))
+            taken += 1
+        self.progress.append(Progress("sweep", taken, self.n_words, 0))
+        if len(self.steps.made) - self.words_version > SWEEPS_KEPT:
+            self._renew()
+
     def _take_block(self, block: list[str], choose) -> None:
         rows = self._lookup(block).toArrow().to_pylist()
         read = sum(r["freq"] for r in rows if r["id"] < 0)

@@ -12,8 +12,12 @@ import re
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,11 +194,18 @@ def event_encoder(model: Merges, suffix: str, whole: dict[str, int]) -> Callable
     return _memoized(encode)
 
 
-def text_encoder(model: Merges, unknown: str) -> Callable[[str], list[int]]:
-    """Encode one word of a text."""
+def text_encoder(
+    model: Merges, unknown: str, spell: Callable[[str], str] | None = None
+) -> Callable[[str], list[int]]:
+    """Encode one word of a text; ``spell`` gives the characters that its pieces are made of."""
     ranks = merge_ranks(model.merges)
     missing = model.ids[unknown]
-    return _memoized(lambda word: [model.ids.get(p, missing) for p in split_word(word, ranks, list(word))])
+
+    def encode(word: str) -> list[int]:
+        word = word if spell is None else spell(word)
+        return [model.ids.get(p, missing) for p in split_word(word, ranks, list(word))]
+
+    return _memoized(encode)
 
 
 def special_aware_encoder(model: Merges, unknown: str, specials: list[str]) -> Callable[[str], list[int]]:
@@ -229,10 +240,25 @@ def encode_column(make_encoder: Callable[[], Callable[[str], list[int]]], words:
 def encode_list_column(make_encoder: Callable[[], Callable[[str], list[int]]], words: Column) -> Column:
     """Ids of an array of words per row, flattened."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batch: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(batch: pa.Array) -> pa.Array:
         encoder = _shared(make_encoder)
-        return batch.map(lambda ws: None if ws is None else [i for w in ws for i in encoder(w)])
+        held = batch.flatten()
+        # Every distinct word of a batch is encoded once.
+        coded = held.dictionary_encode()
+        each = [() if w is None else encoder(w) for w in coded.dictionary.to_pylist()]
+        lengths = np.fromiter(map(len, each), np.int64, len(each))
+        ids = np.fromiter(chain.from_iterable(each), np.int32, int(lengths.sum()))
+        starts = np.cumsum(lengths) - lengths
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = lengths[which]
+        ends = np.cumsum(sizes)
+        # The place in ``ids`` of each id of each word.
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - sizes), sizes)
+        counts = np.nan_to_num(pc.list_value_length(batch).to_numpy(zero_copy_only=False)).astype(np.int64)
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        offsets = pa.array(bounds, pa.int32(), mask=np.append(batch.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(offsets, pa.array(ids[places], pa.int32()))
 
     return encode(words)
 

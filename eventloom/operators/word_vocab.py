@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,21 +92,21 @@ class WordLevel:
         return decode(timelines, self.vocab)
 
 
-def _strings(strings: DataFrame):
+def _strings(strings: DataFrame, rewrite: Callable[[str], bytes] | None = None):
     """``str`` by ``token``, sent to the executors: at most one row per vocabulary entry."""
     rows = strings.collect()
-    table: list[str | None] = [None] * (max((r["token"] for r in rows), default=-1) + 1)
+    table: list[str | bytes | None] = [None] * (max((r["token"] for r in rows), default=-1) + 1)
     for row in rows:
-        table[row["token"]] = row["str"]
+        table[row["token"]] = row["str"] if rewrite is None or row["str"] is None else rewrite(row["str"])
     return strings.sparkSession.sparkContext.broadcast(table)
 
 
-def _strings_of(ids: np.ndarray, table: list[str | None]) -> pa.Array:
+def _strings_of(ids: np.ndarray, table: list[str | bytes | None], kind: pa.DataType = pa.string()) -> pa.Array:
     """The string of every id, null for those without."""
-    known = pa.array(table, pa.string())
+    known = pa.array(table, kind)
     inside = (ids >= 0) & (ids < len(known))
     if not len(known):
-        return pa.nulls(len(ids), pa.string())
+        return pa.nulls(len(ids), kind)
     return known.take(pa.array(np.where(inside, ids, 0), mask=~inside))
 
 
@@ -129,19 +129,23 @@ def with_strings(timelines: DataFrame, strings: DataFrame) -> DataFrame:
     return timelines.mapInArrow(look_up, _with_kinds(timelines, "strings array<string>"))
 
 
-def spoken(timelines: DataFrame, strings: DataFrame, separator: str, strict: bool) -> DataFrame:
+def spoken(
+    timelines: DataFrame, strings: DataFrame, separator: str, strict: bool, as_bytes: Callable[[str], bytes] | None = None
+) -> DataFrame:
     """Add ``text``: each timeline's ids looked up inside its array and joined; no shuffle.
 
     ``strings`` has ``token`` and ``str``, at most one row per vocabulary entry. Ids without a
-    string are left out, or fail if ``strict``.
+    string are left out, or fail if ``strict``. With ``as_bytes`` each string stands for bytes and ``text`` is binary.
     """
-    shared = _strings(strings)
+    shared = _strings(strings, as_bytes)
+    kind = pa.string() if as_bytes is None else pa.binary()
+    glue = separator if as_bytes is None else separator.encode()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("tokens")
             ids = lists.flatten().to_numpy(zero_copy_only=False)
-            found = _strings_of(ids, shared.value)
+            found = _strings_of(ids, shared.value, kind)
             missing = found.is_null().to_numpy(zero_copy_only=False)
             if strict and missing.any():
                 raise ValueError(f"the vocabulary has no entry for id {ids[missing][0]}")
@@ -149,10 +153,10 @@ def spoken(timelines: DataFrame, strings: DataFrame, separator: str, strict: boo
             sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
             bounds = counts[np.concatenate([[0], np.cumsum(sizes)])]
             kept = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), found.filter(pa.array(~missing)))
-            text = pc.binary_join(kept.cast(pa.list_(pa.string())), separator)
+            text = pc.binary_join(kept.cast(pa.list_(kind)), pa.scalar(glue, kind))
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "text"])
 
-    return timelines.mapInArrow(look_up, _with_kinds(timelines, "text string"))
+    return timelines.mapInArrow(look_up, _with_kinds(timelines, "text string" if as_bytes is None else "text binary"))
 
 
 def decode(timelines: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def train_to_largest(train: DataFrame, column: str, vocab_sizes: list[int], min_
 
 
 def counted_words(tokenizer: TextBpe, rows: DataFrame, column: str = DEFAULT_COLUMN) -> DataFrame:
-    return text_words(rows, column, type(tokenizer).split)
+    return text_words(rows, column, type(tokenizer).runs, type(tokenizer).spell)
 
 
 def vocab_experiments(

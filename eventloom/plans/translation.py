@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.bpe import TextBpe, byte_level_words
+from eventloom.operators.bpe import TextBpe, byte_level_runs
 from eventloom.operators.phrases import EventPhrases, patient_text, word_timeline
 from eventloom.operators.pieces import encode_list_column
 from eventloom.ordering import gather, in_order, whole_groups
@@ -36,7 +36,7 @@ def translate_dataset(
 def encode_events_as_text(tokenizer: TextBpe, phrased: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """Timelines of text ids where every piece has the time of its event."""
     rows = word_timeline(phrased, events)
-    ids = encode_list_column(tokenizer.encoder(), byte_level_words(F.col("token")))
+    ids = encode_list_column(tokenizer.run_encoder(), byte_level_runs(F.col("token")))
     encoded = rows.with_df(rows.df.withColumn("ids", ids))
     grouped = gather(encoded, in_order(encoded, "ids", "ts").alias("items"))
     pieces = grouped.select(

@@ -1,7 +1,17 @@
 """Work that must grow with the rows, not with the rows over a small limit."""
 
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
 from eventloom import ordering
+from eventloom.operators import pair_index
+from eventloom.operators.bpe import TextBpe, _as_bytes, byte_level_runs, byte_level_words, in_symbols, spelled_in_bytes
+from eventloom.operators.pieces import learn
 from eventloom.ordering import order_groups
+from tests.test_byte_pairs import brute_force
 
 
 def test_small_chunks_are_cut_within_a_bounded_number_of_ranges(spark, monkeypatch):
@@ -31,3 +41,46 @@ def test_small_chunks_are_cut_within_a_bounded_number_of_ranges(spark, monkeypat
     for (subject, chunk), held in ends.items():
         later = [k for s, c in ends for k in ends[s, c] if s == subject and c > chunk]
         assert not later or max(held) < min(later)
+
+
+@pytest.mark.parametrize("seed", range(30, 36))
+@pytest.mark.parametrize("share", [0, 10**6])
+def test_sweeps_learn_the_same(spark, monkeypatch, seed, share):
+    """Several merges from one pass over all words, and (share 0) the index from the first merge on."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(pair_index, "BLOCK_WORDS", rng.choice([1, 4, 15]))
+    monkeypatch.setattr(pair_index, "WINDOW", rng.choice([2, 6, 1000]))
+    monkeypatch.setattr(pair_index, "SWEEP_SHARE", share)
+    monkeypatch.setattr(pair_index, "SWEEP_MERGES", rng.choice([2, 24]))
+    monkeypatch.setattr(pair_index, "SWEEPS_KEPT", rng.choice([2, 96]))
+    words = Counter()
+    for _ in range(50):
+        words["".join(rng.choice("abc") for _ in range(rng.randint(1, 8)))] += rng.randint(1, 4)
+    once, reuse = rng.random() < 0.5, rng.random() < 0.5
+    df = spark.createDataFrame(list(words.items()), "word string, freq bigint").repartition(3)
+    seen = []
+    made = pair_index.PairIndex.__init__
+    monkeypatch.setattr(pair_index.PairIndex, "__init__", lambda self, *a: (seen.append(self), made(self, *a))[1])
+    model = learn(df.select(in_symbols(F.col("word"), list("abc"), 1).alias("word"), "freq"), list("abc"), ["<a>"], 15, once, 1, reuse)
+    assert (model.ids, model.merges) == brute_force(words, list("abc"), ["<a>"], 15, once, 1, reuse)
+    (index,) = seen
+    kinds = {p.kind for p in index.progress}
+    assert kinds == {"sweep"} if share else "sweep" not in kinds
+
+
+def test_one_pattern_splits_as_two_and_bytes_come_back(spark):
+    pieces = ["a", "Z", "é", "日本", "𝟜", "٣", "½", "7", "12", " ", "  ", "\t", "\n", " ", " ", "'s", "'ll", "'", "-", "!?", "😀", "\x00", "_", "́"]
+    rng = random.Random(4)
+    texts = ["", " ", "5", " 5", "  5 ", "a  5", "it's 3's"] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    got = df.select(byte_level_words(F.col("text")).alias("two"), F.transform(byte_level_runs(F.col("text")), _as_bytes).alias("one")).collect()
+    assert all(r.one == r.two for r in got)
+    assert all([spelled_in_bytes(w) for w in r.runs] == r.words for r in df.where("id >= 0").select(byte_level_runs(F.col("text")).alias("runs"), byte_level_words(F.col("text")).alias("words")).collect())
+    tokenizer = TextBpe(200, 2).train_texts(F.col("text"), df)
+    encoded = tokenizer.encode_texts(df, "text")
+    encode = tokenizer.encoder()()
+    for r in encoded.withColumn("words", byte_level_words(F.col("text"))).collect():
+        assert r.tokens == (None if r.text is None else [i for w in r.words for i in encode(w)])
+    back = {r.id: r.text for r in tokenizer.decode(encoded.select("id", "tokens").where("id >= 0")).collect()}
+    assert back == {i: t for i, t in enumerate(texts)}
