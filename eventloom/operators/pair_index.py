@@ -9,7 +9,7 @@ The driver holds the heaviest ``WINDOW`` pairs, with weight and number of words,
 times: changes are added with their sign. It takes merges in three ways.
 
 - A sweep: as long as the next pairs are in a good share of the words there is no index. One pass over the
-  words tries the ``SWEEP_MERGES`` heaviest pairs one after the other and gives the changes of each step; the
+  words tries up to ``SWEEP_MERGES`` heaviest pairs one after the other and gives the changes of each step; the
   driver takes the steps as long as each is the heaviest pair after the step before, and drops the others.
 - A block: the heaviest pairs that ``BLOCK_WORDS`` words hold together. Those words are fetched and
   merges are taken one by one among them. That is exact as long as the heaviest pair is one of the
@@ -109,6 +109,24 @@ def changes(old: str, new: str, once_per_word: bool) -> tuple[dict[str, int], di
     return more, words
 
 
+def differences(old: str, new: str, pair: str, product: str, once_per_word: bool) -> Iterator[tuple[str, int, int]]:
+    """What ``changes`` gives, as rows, of a merge whose product ``old`` does not hold."""
+    at = old.index(pair)
+    before, after = old[:at][-1:], old[at + 2 : at + 3]
+    if pair[0] == pair[1] or pair in old[at + 2 :] or before + pair[0] == pair[1] + after:
+        more, came = changes(old, new, once_per_word)
+        for p in more.keys() | came.keys():
+            yield p, more.get(p, 0), came.get(p, 0)
+        return
+    # One place: its pairs go, unless they are elsewhere in the word, and those with the product come.
+    yield pair, -1, -1
+    for gone, come in ((before and before + pair[0], before + product), (after and pair[1] + after, product + after)):
+        if gone:
+            stays = gone in new
+            yield come, 1, 1
+            yield gone, 0 if stays and once_per_word else -1, 0 if stays else -1
+
+
 @dataclass(frozen=True)
 class Progress:
     """One block or round: merges taken, words read through the index, words changed."""
@@ -130,6 +148,7 @@ class PairIndex:
         self.progress: list[Progress] = []
         #: The index; None as long as merges are taken in sweeps.
         self.parts: list[DataFrame] | None = None
+        self.tries = SWEEP_MERGES // 3
         numbered = words.where(F.length("word") > 1).withColumn("id", F.monotonically_increasing_id())
         self._rebuild(materialize(numbered.select("id", "word", F.col("freq").cast("long").alias("freq")), "pair-words"))
 
@@ -270,7 +289,7 @@ class PairIndex:
         if self.parts is None:
             ahead = self._ahead()
             if self.n_words > self.block_words and sum(self.held[p] for p in ahead) * SWEEP_SHARE > self.n_words:
-                self._take_sweep(ahead, choose)
+                self._take_sweep(ahead[: max(1, self.tries)], choose)
                 return
             self._renew(indexed=True)
         block, total = [], 0
@@ -316,11 +335,10 @@ class PairIndex:
                     for step, (pair, product) in enumerate(tried):
                         if pair in word:
                             old, word = word, word.replace(pair, product)
-                            more, came = changes(old, word, once)
-                            for p, times in more.items():
+                            for p, times, n in differences(old, word, pair, product, once):
                                 held = sums[step, p]
                                 held[0] += times * freq
-                                held[1] += came.get(p, 0)
+                                held[1] += n
             steps, pairs = [step for step, _ in sums], [pair for _, pair in sums]
             weights, words = [w for w, _ in sums.values()], [n for _, n in sums.values()]
             yield pa.RecordBatch.from_pydict({"step": steps, "pair": pairs, "weight": weights, "words": words}, _TALLY)
@@ -347,6 +365,7 @@ class PairIndex:
             words = {row["pair"].translate(products): row["words"] for row in by_step[step]}
             self._add(weights, words, set(products.values()))
             taken += 1
+        self.tries = min(SWEEP_MERGES, 2 * taken + 2)
         self.progress.append(Progress("sweep", taken, self.n_words, 0))
         if len(self.steps.made) - self.words_version > SWEEPS_KEPT:
             self._renew()

@@ -84,3 +84,20 @@ def test_one_pattern_splits_as_two_and_bytes_come_back(spark):
         assert r.tokens == (None if r.text is None else [i for w in r.words for i in encode(w)])
     back = {r.id: r.text for r in tokenizer.decode(encoded.select("id", "tokens").where("id >= 0")).collect()}
     assert back == {i: t for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("once", [False, True])
+def test_differences_at_one_place_equal_a_recount(once):
+    rng = random.Random(7)
+    for _ in range(3000):
+        old = "".join(rng.choice("abc") for _ in range(rng.randint(2, 7)))
+        at = rng.randrange(len(old) - 1)
+        pair = old[at : at + 2]
+        new = old.replace(pair, "X")
+        more, came = pair_index.changes(old, new, once)
+        weights, words = Counter(), Counter()
+        for p, times, n in pair_index.differences(old, new, pair, "X", once):
+            weights[p] += times
+            words[p] += n
+        assert {p: n for p, n in weights.items() if n} == {p: n for p, n in more.items() if n}
+        assert {p: n for p, n in words.items() if n} == {p: n for p, n in came.items() if n}
