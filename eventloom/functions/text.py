@@ -39,14 +39,12 @@ def float_text(number: Column) -> Column:
     exponent = F.substring_index(body, "E", -1).try_cast("int")
     digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), r"(?<=.)0+$", "")
 
-    whole = F.substring(F.rpad(digits, 40, "0"), F.lit(1), exponent + 1)
-    rest = F.substring(digits, exponent + 2, F.lit(40))
-    large = F.concat(sign, whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
+    # Each use of a part repeats its code in the generated method, which is only compiled while it is short.
+    filled = F.rpad(digits, 40, "0")
+    pointed = F.concat(sign, F.substring(filled, F.lit(1), exponent + 1), F.lit("."), F.substring(filled, exponent + 2, F.lit(40)))
+    large = F.regexp_replace(pointed, r"(\.\d+?)0+$", "$1")
     small = F.concat(sign, F.lit("0.000"), digits)
-    short = F.when(
-        F.length(digits) > 1,
-        F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), F.lit(40))),
-    ).otherwise(digits)
+    short = F.regexp_replace(digits, "^(.)(.+)$", "$1.$2")
     power = F.abs(exponent).cast("string")
     padded = F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power)
     scientific = F.concat(

@@ -119,8 +119,10 @@ class ValueOperator(MatchingOperator):
         number = value_number(events, self.value_column)
         text = value_text(events, self.value_column)
         numeric_match = self.matches() & number.isNotNull()
-        labelled = F.coalesce(self.label(number), float_text(number))
-        encoded = F.when(value.isNotNull(), F.when(numeric_match, labelled).otherwise(text))
+        # Of a number column the text is that of the number.
+        unlabelled = F.when(numeric_match, float_text(number)).otherwise(text) if is_text(events, self.value_column) else text
+        labelled = F.coalesce(F.when(numeric_match, self.label(number)), unlabelled)
+        encoded = F.when(value.isNotNull(), labelled)
         return self.attach(events).withColumn(self.value_column, encoded).select(columns)
 
     def apply(self, frame: EventFrame) -> EventFrame:

@@ -132,8 +132,9 @@ class DemographicSortOrder(SequenceOperator):
         untimed = F.col("time").isNull()
         df = rows.df
         for column in ("code", "text_value"):
-            looked_at = F.when(untimed & (F.col(column) != ""), F.col(column))
-            df = with_first_prefix(df, looked_at, self.patterns, f"_{column}_place")
+            # A column of its own: inside the test of every pattern the generated method is too long to be compiled.
+            df = df.withColumn("_looked_at", F.when(untimed & (F.col(column) != ""), F.col(column)))
+            df = with_first_prefix(df, F.col("_looked_at"), self.patterns, f"_{column}_place").drop("_looked_at")
         # Text wins over code.
         place = F.coalesce("_text_value_place", "_code_place", F.lit(len(self.patterns)))
         df = df.withColumns(

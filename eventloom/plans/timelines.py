@@ -78,6 +78,10 @@ class TimelineRun:
         The token rows are written to the shared folder between vocabulary and
         encoding: a lost executor does not cost the run its events again.
         """
+        if self.preprocessors:
+            # Every fit and every inserting operator reads the events again. Were they not written, each would
+            # also compute their columns again, and a filter once for every mention of a column.
+            events = materialize(events, "events")
         rows = self.fit(events).tokens(events)
         rows = rows.with_df(materialize(rows.df, "token-rows"))
         return self.train(rows).encode(rows)

@@ -101,3 +101,46 @@ def test_differences_at_one_place_equal_a_recount(once):
             words[p] += n
         assert {p: n for p, n in weights.items() if n} == {p: n for p, n in more.items() if n}
         assert {p: n for p, n in words.items() if n} == {p: n for p, n in came.items() if n}
+
+
+def test_a_run_computes_its_events_once(spark, make_events):
+    """However many operators insert rows and filter, with old and odd times, and a column without a type."""
+    from eventloom.plans.timelines import TimelineRun
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(code):
+        made.add(1)
+        return code
+
+    rows = [(s, at, code, value, None) for s in range(5) for at, code, value in (
+        ("0001-01-01 00:00:00.000001", "MEDS_BIRTH", None), ("1930-01-01", "MEDS_BIRTH", None), ("2024-01-01", "LAB//1", 1.25),
+        ("2024-01-02", None, 2.0), ("2024-01-03", "BMI", 0.1 * s), (None, "LAB//2", float("nan")),
+    )]
+    events = make_events(rows).withColumns({"split": F.lit("train"), "note": F.lit(None)})
+    config = {
+        "preprocessing": [
+            {"type": "filter", "matching_type": "contains", "matching_value": "LAB//3"},
+            {
+                "type": "demographic_aggregation",
+                "measurements": [{"token_pattern": "BMI", "value_column": "numeric_value", "aggregation": "median", "remove_original_tokens": True}],
+            },
+            {"type": "top_k_filter", "matching_type": "starts_with", "matching_value": "LAB//", "k": 2},
+            {"type": "raw_age", "keep_meds_birth": False},
+            {"type": "round_numeric", "matching_type": "starts_with", "matching_value": "LAB//", "value_column": "numeric_value", "decimals": 1},
+        ],
+        "postprocessing": [{"type": "demographic_sort_order", "token_patterns": ["AGE"]}],
+        "tokenization": {"tokenizer": "word_level", "vocab_size": 50, "insert_event_tokens": False, "insert_numeric_tokens": False, "insert_text_tokens": False},
+    }
+
+    def texts(source):
+        run = TimelineRun.from_config(config)
+        return sorted((r.subject_id, r.text) for r in run.tokenizer.decode(run.run(source)).collect())
+
+    seen = texts(events.withColumn("code", F.udf(counted)("code")))
+    assert made.value == len(rows)
+    run = TimelineRun.from_config(config)
+    rows = run.fit(events).tokens(events)
+    unwritten = run.train(rows).tokenizer.decode(run.encode(rows))
+    assert seen == sorted((r.subject_id, r.text) for r in unwritten.collect())
+    assert seen[1] == (1, "<start> AGE 2023.0 LAB//2 nan DEMOGRAPHIC 0.1 LAB//1 1.2 <end>")
