@@ -350,8 +350,10 @@ FROM spelled JOIN chosen USING (subject_id), (SELECT list(str ORDER BY token) AS
 def decode_preview(f, length: int | None = None):
     """The ids of every text (its first ``length`` where given) with their pieces."""
     tokenizer = text_bpe(f)
-    shown = F.col("tokens") if length is None else F.slice("tokens", 1, length)
-    encoded = tokenizer.encode_texts(texts(f), TEXT).select("subject_id", shown.alias("tokens"))
-    named = with_strings(encoded.where(F.size("tokens") > 0), vocab_table(f.spark, tokenizer.model).drop("count"))
-    pieces = named.select("subject_id", "tokens", joined("tokens").alias("ids"), F.array_join("strings", "|").alias("pieces"))
+    kept = F.col("tokens") if length is None else F.slice("tokens", 1, length)
+    encoded = tokenizer.encode_texts(texts(f), TEXT).select("subject_id", kept.alias("tokens"))
+    named = with_strings(encoded, vocab_table(f.spark, tokenizer.model).drop("count"), "|")
+    # A filter before the lookup would be pushed down with the encoding inside, and texts encoded twice.
+    shown = named.where(F.size("tokens") > 0)
+    pieces = shown.select("subject_id", "tokens", joined("tokens").alias("ids"), F.col("strings").alias("pieces"))
     return tokenizer.decode(pieces)

@@ -22,6 +22,7 @@ from eventloom.operators.pieces import (
     special_aware_encoder,
     symbol,
     text_encoder,
+    words_encoder,
 )
 from eventloom.operators.tokens import SPECIAL_TOKENS, Markers, assemble
 from eventloom.operators.word_vocab import spoken, token_counts
@@ -218,8 +219,8 @@ class _TextBytePairs:
         return partial(text_encoder, self.model, self.unknown)
 
     def run_encoder(self):
-        """Encoder of words as they stand in the text."""
-        return partial(text_encoder, self.model, self.unknown, type(self).spell_word)
+        """Encoder of lists of words as they stand in the text."""
+        return partial(words_encoder, self.model, self.unknown, type(self).spell_word)
 
     def encode_texts(self, rows: DataFrame, text: str, name: str = "tokens") -> DataFrame:
         """Add the ids of every text; narrow, one pass."""

@@ -28,6 +28,11 @@ from eventloom.operators.pair_index import PairIndex
 _SYMBOL_BASE = 0x100
 _SURROGATES = 0xD800
 MEMO_WORDS = 200_000
+#: Merges up to which all words of a batch are merged together.
+TOGETHER = 512
+# Private characters: from the first on they stand for merged strings, the last one stands between words.
+_MADE, _BETWEEN = 0xE000, "\uf8ff"
+_PRIVATE = re.compile("[\ue000-\uf8ff]")
 
 
 def symbol(number: int) -> str:
@@ -208,6 +213,61 @@ def text_encoder(
     return _memoized(encode)
 
 
+def words_encoder(
+    model: Merges, unknown: str, spell: Callable[[str], str] | None = None
+) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
+    """Encode many words: the ids of all, and how many each has; a null word has none.
+
+    Few merges are applied one after the other to one text of all words. That is the order of ``merge_steps``: a
+    merge makes an earlier one due again only if its product was known before. ``spell`` must go by character.
+    """
+    encode_word = text_encoder(model, unknown, spell)
+
+    def one_by_one(words: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        each = [() if word is None else encode_word(word) for word in words]
+        lengths = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), np.int32, int(lengths.sum())), lengths
+
+    ranks = merge_ranks(model.merges)
+    if len(ranks) > TOGETHER or any(len(s) == 1 and _PRIVATE.match(s) for s in model.ids):
+        return one_by_one
+    symbols: dict[str, str] = {}
+
+    def as_symbol(string: str) -> str:
+        return string if len(string) == 1 else symbols.setdefault(string, chr(_MADE + len(symbols)))
+
+    steps = []
+    for left, right in ranks:
+        pair = as_symbol(left) + as_symbol(right)
+        steps.append((pair, left + right in symbols, as_symbol(left + right)))
+    codes = np.full(sys.maxunicode + 1, model.ids[unknown], np.int32)
+    for string, number in model.ids.items():
+        if len(string) == 1 or string in symbols:
+            codes[ord(as_symbol(string))] = number
+    between = "" if spell is None else spell(_BETWEEN)
+
+    def together(words: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        text = _BETWEEN.join(word or "" for word in words)
+        if spell is not None:
+            text = spell(text).replace(between, _BETWEEN)
+        if len(_PRIVATE.findall(text)) != len(words) - 1:
+            return one_by_one(words)
+        step = 0
+        while step < len(steps):
+            pair, known, product = steps[step]
+            step += 1
+            if pair in text:
+                text = text.replace(pair, product)
+                if known:
+                    step = 0
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        edges = np.flatnonzero(points == ord(_BETWEEN))
+        lengths = np.diff(np.concatenate([[-1], edges, [len(points)]])) - 1
+        return codes[np.delete(points, edges)], lengths
+
+    return together
+
+
 def special_aware_encoder(model: Merges, unknown: str, specials: list[str]) -> Callable[[str], list[int]]:
     """Encode a string: special tokens stay whole wherever they occur, the rest is split into words."""
     encode_word = text_encoder(model, unknown)
@@ -237,7 +297,9 @@ def encode_column(make_encoder: Callable[[], Callable[[str], list[int]]], words:
     return encode(words)
 
 
-def encode_list_column(make_encoder: Callable[[], Callable[[str], list[int]]], words: Column) -> Column:
+def encode_list_column(
+    make_encoder: Callable[[], Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]], words: Column
+) -> Column:
     """Ids of an array of words per row, flattened."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -246,9 +308,7 @@ def encode_list_column(make_encoder: Callable[[], Callable[[str], list[int]]], w
         held = batch.flatten()
         # Every distinct word of a batch is encoded once.
         coded = held.dictionary_encode()
-        each = [() if w is None else encoder(w) for w in coded.dictionary.to_pylist()]
-        lengths = np.fromiter(map(len, each), np.int64, len(each))
-        ids = np.fromiter(chain.from_iterable(each), np.int32, int(lengths.sum()))
+        ids, lengths = encoder(coded.dictionary.to_pylist())
         starts = np.cumsum(lengths) - lengths
         which = coded.indices.to_numpy(zero_copy_only=False)
         sizes = lengths[which]
@@ -263,10 +323,10 @@ def encode_list_column(make_encoder: Callable[[], Callable[[str], list[int]]], w
     return encode(words)
 
 
-_encoders: dict[object, Callable[[str], list[int]]] = {}
+_encoders: dict[object, Callable] = {}
 
 
-def _shared(make_encoder: Callable[[], Callable[[str], list[int]]]) -> Callable[[str], list[int]]:
+def _shared(make_encoder: Callable[[], Callable]) -> Callable:
     """One encoder per task, so its memo outlives a batch."""
     encoder = _encoders.get(make_encoder)
     if encoder is None:

@@ -16,6 +16,9 @@ from eventloom.operators.tokens import SPECIAL_TOKENS, UNKNOWN, assemble
 from eventloom.ordering import Ordered
 from eventloom.session import materialize
 
+#: Ids whose strings are looked up at once, and so the size of a batch of results.
+SLICE_IDS = 1 << 18
+
 
 def token_counts(tokens: DataFrame) -> DataFrame:
     """Occurrences of every token except the special ones (partial sums before the shuffle)."""
@@ -101,32 +104,77 @@ def _strings(strings: DataFrame, rewrite: Callable[[str], bytes] | None = None):
     return strings.sparkSession.sparkContext.broadcast(table)
 
 
-def _strings_of(ids: np.ndarray, table: list[str | bytes | None], kind: pa.DataType = pa.string()) -> pa.Array:
+def _strings_of(ids: np.ndarray, known: pa.Array) -> pa.Array:
     """The string of every id, null for those without."""
-    known = pa.array(table, kind)
     inside = (ids >= 0) & (ids < len(known))
     if not len(known):
-        return pa.nulls(len(ids), kind)
+        return pa.nulls(len(ids), known.type)
     return known.take(pa.array(np.where(inside, ids, 0), mask=~inside))
 
 
+def _in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches cut into runs of rows of at most ``SLICE_IDS`` ids (one row at least), with the ids and where each row's begin and end."""
+    for batch in batches:
+        sizes = np.nan_to_num(pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False)).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + SLICE_IDS, "right")) - 1)
+            part = batch.slice(start, stop - start)
+            yield part, part.column("tokens").flatten().to_numpy(zero_copy_only=False), bounds[start : stop + 1] - bounds[start]
+            start = stop
+
+
+def _joined(ids: np.ndarray, bounds: np.ndarray, known: pa.Array, behind: pa.Array, strict: bool) -> pa.Array:
+    """The strings of each row's ids in one; ``behind`` has the strings behind the separator.
+
+    Strings that are taken lie one after the other, so a row's text is what lies between its bounds.
+    """
+    missing = ~((ids >= 0) & (ids < len(known)))
+    without = known.is_null().to_numpy(zero_copy_only=False)
+    if without.any():
+        missing[~missing] = without[ids[~missing].astype(np.int64)]
+    if missing.any():
+        if strict:
+            raise ValueError(f"the vocabulary has no entry for id {ids[missing][0]}")
+        bounds = np.concatenate([[0], np.cumsum(~missing)])[bounds]
+        ids = ids[~missing]
+    ids, rows = ids.astype(np.int64), len(bounds) - 1
+    if not len(ids):
+        return pa.array([""] * rows, known.type)
+    first = np.zeros(len(ids), bool)
+    first[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    both = pa.concat_arrays([known, behind])
+    taken = both.take(pa.array(np.where(first, ids, ids + len(known))))
+    ends = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1)
+    return pa.Array.from_buffers(known.type, rows, [None, pa.py_buffer(ends[bounds].tobytes()), taken.buffers()[2]])
+
+
+def _tables(strings: list[str | bytes | None], separator: str | bytes, kind: pa.DataType) -> tuple[pa.Array, pa.Array]:
+    return pa.array(strings, kind), pa.array([None if s is None else separator + s for s in strings], kind)
+
+
 def _with_kinds(timelines: DataFrame, more: str) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in timelines.dtypes) + f", {more}"
 
 
-def with_strings(timelines: DataFrame, strings: DataFrame) -> DataFrame:
-    """Add ``strings``: beside each id of ``tokens`` its string, null for ids without one; no shuffle."""
+def with_strings(timelines: DataFrame, strings: DataFrame, separator: str | None = None) -> DataFrame:
+    """Add ``strings``: beside each id of ``tokens`` its string, null for ids without one; no shuffle.
+
+    With a ``separator``, ``strings`` is one text: those that are not null, joined by it.
+    """
     shared = _strings(strings)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("tokens")
-            sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
-            found = _strings_of(lists.flatten().to_numpy(zero_copy_only=False), shared.value)
-            bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(bounds, found)], [*batch.schema.names, "strings"])
+        known, behind = _tables(shared.value, separator or "", pa.string())
+        for batch, ids, bounds in _in_slices(batches):
+            if separator is None:
+                found = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), _strings_of(ids, known))
+            else:
+                found = _joined(ids, bounds, known, behind, strict=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "strings"])
 
-    return timelines.mapInArrow(look_up, _with_kinds(timelines, "strings array<string>"))
+    return timelines.mapInArrow(look_up, _with_kinds(timelines, "strings array<string>" if separator is None else "strings string"))
 
 
 def spoken(
@@ -142,18 +190,9 @@ def spoken(
     glue = separator if as_bytes is None else separator.encode()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("tokens")
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            found = _strings_of(ids, shared.value, kind)
-            missing = found.is_null().to_numpy(zero_copy_only=False)
-            if strict and missing.any():
-                raise ValueError(f"the vocabulary has no entry for id {ids[missing][0]}")
-            counts = np.concatenate([[0], np.cumsum(~missing)])
-            sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
-            bounds = counts[np.concatenate([[0], np.cumsum(sizes)])]
-            kept = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), found.filter(pa.array(~missing)))
-            text = pc.binary_join(kept.cast(pa.list_(kind)), pa.scalar(glue, kind))
+        known, behind = _tables(shared.value, glue, kind)
+        for batch, ids, bounds in _in_slices(batches):
+            text = _joined(ids, bounds, known, behind, strict)
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "text"])
 
     return timelines.mapInArrow(look_up, _with_kinds(timelines, "text string" if as_bytes is None else "text binary"))

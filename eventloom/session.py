@@ -12,6 +12,8 @@ _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows may hold whole texts: what goes to Python at once is bounded by its bytes, not only by its rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
